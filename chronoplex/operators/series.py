@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
-from ..functions.values import guarded_corr, safe_divide
+from ..functions.values import guarded_corr
 from ..plans.positions import exact_percentiles, with_position
 from .temporal import bucket_start, interval, time_column, within
 
@@ -129,7 +129,8 @@ def aligned_pairs(m: DataFrame, pairs: DataFrame, shift: int = 0, bounded: bool
     left = rows.select(F.col("ts_id").alias("left_ts"), "idx", F.col("n").alias("left_n"), F.col("value").alias("x"))
     right = rows.select(F.col("ts_id").alias("right_ts"), (F.col("idx") - shift).alias("idx"),
                         F.col("n").alias("right_n"), F.col("value").alias("y"))
-    return pairs.join(left, "left_ts").join(right, ["right_ts", "idx"])
+    common = F.least("left_n", "right_n")
+    return pairs.join(left, "left_ts").join(right, ["right_ts", "idx"]).filter(F.col("idx") + max(shift, 0) < common)
 
 
 def pair_correlations(m: DataFrame, pairs: DataFrame, bounded: bool = False) -> DataFrame:
