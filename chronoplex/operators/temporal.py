@@ -65,6 +65,12 @@ def overlapping(df: DataFrame, start, end) -> DataFrame:
 
 
 def within(df: DataFrame, start=None, end=None, column: str = "ts", closed_end: bool = True) -> DataFrame:
+    """Rows of a time range; a ``day`` partition column of samples prunes whole folders."""
+    if column == "ts" and "day" in df.columns:
+        if start is not None:
+            df = df.filter(F.col("day") >= F.to_date(time_column(start)))
+        if end is not None:
+            df = df.filter(F.col("day") <= F.to_date(time_column(end)))
     if start is not None:
         df = df.filter(F.col(column) >= time_column(start))
     if end is not None:

@@ -21,8 +21,9 @@ def write_graph(g: TemporalGraph, root: str, mode: str = "errorifexists") -> Non
     spread.write.mode(mode).partitionBy("day").parquet(f"{root}/measurements")
 
 
-def read_graph(spark: SparkSession, root: str) -> TemporalGraph:
+def read_graph(spark: SparkSession, root: str, keep_day: bool = False) -> TemporalGraph:
+    """The tables of :func:`write_graph`; ``keep_day`` keeps the partition column, so time ranges prune folders."""
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{root}/nodes")
     edges = spark.read.schema(EDGE_SCHEMA).parquet(f"{root}/edges")
     samples = spark.read.schema(f"{MEASUREMENT_SCHEMA}, day DATE").parquet(f"{root}/measurements")
-    return TemporalGraph(nodes, edges, samples.drop("day"))
+    return TemporalGraph(nodes, edges, samples if keep_day else samples.drop("day"))
