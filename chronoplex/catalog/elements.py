@@ -75,9 +75,9 @@ def _(spark, d):
     return scans.neighbours(g.edges, rich, "out")
 
 
-@query("s9_edges_between_pair", "SELECT uid FROM o_edges WHERE src = 'S3' AND dst = 'C7'")
+@query("s9_edges_between_pair", "SELECT uid FROM o_edges WHERE src = 'S12' AND dst = 'C1250'")
 def _(spark, d):
-    return scans.between_pair(order_graph(spark, d).edges, "S3", "C7").select("uid")
+    return scans.between_pair(order_graph(spark, d).edges, "S12", "C1250").select("uid")
 
 
 @query("s10_s11_label_histogram", """
@@ -324,11 +324,11 @@ def _(spark, d):
 
 
 @query("x2_missing_members", """
-SELECT 'C' || c_custkey AS uid FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+SELECT 'C' || p_partkey AS uid FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)""")
 def _(spark, d):
     from ..sources.warehouse import table
 
-    wanted = table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("uid"))
+    wanted = table(spark, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("uid"))
     return X.missing_members(order_graph(spark, d), wanted)
 
 

@@ -253,7 +253,7 @@ def _(spark, d):
 
 @query("g9_shortest_path")
 def _(spark, d):
-    return G.shortest_path(signal_graph(spark, d).edges, "U0", "U100")
+    return G.shortest_path(signal_graph(spark, d).edges, "U113", "U19")
 
 
 # generated series --------------------------------------------------------------------------------
@@ -311,25 +311,25 @@ def _(spark, d):
     return _series(seq.tsgen().node_property("click", "sum", source="temporal"))
 
 
-@query("t5_edge_property", f"SELECT step, round(sum(price), 6) AS value FROM month_grid JOIN o_edges e ON {_valid('e')} GROUP BY step")
+@query("t5_edge_property", f"SELECT step, round(sum(price), 2) AS value FROM month_grid JOIN o_edges e ON {_valid('e')} GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().edge_property("price", "sum"))
+    return _month(spark, d).tsgen().edge_property("price", "sum").select("step", F.round("value", 2).alias("value"))
 
 
 @query("t6_edges_between", """
 SELECT step, count(e.uid)::DOUBLE AS value FROM (SELECT i::BIGINT AS step, TIMESTAMP '1995-01-01' + i * INTERVAL 30 DAY AS t FROM range(80) r(i))
-LEFT JOIN o_edges e ON src = 'S3' AND dst = 'C7' AND start_time <= t AND end_time >= t GROUP BY step""")
+LEFT JOIN o_edges e ON src = 'S12' AND dst = 'C1250' AND start_time <= t AND end_time >= t GROUP BY step""")
 def _(spark, d):
     seq = order_graph(spark, d).snapshot_sequence("1995-01-01", "2001-07-28", "30D")
-    return _series(seq.tsgen().edges_between("S3", "C7"))
+    return _series(seq.tsgen().edges_between("S12", "C1250"))
 
 
 @query("t7_edge_property_between", """
 SELECT step, round(coalesce(max(price), 0), 6) AS value FROM (SELECT i::BIGINT AS step, TIMESTAMP '1995-01-01' + i * INTERVAL 30 DAY AS t FROM range(80) r(i))
-LEFT JOIN o_edges e ON src = 'S3' AND dst = 'C7' AND start_time <= t AND end_time >= t GROUP BY step""")
+LEFT JOIN o_edges e ON src = 'S12' AND dst = 'C1250' AND start_time <= t AND end_time >= t GROUP BY step""")
 def _(spark, d):
     seq = order_graph(spark, d).snapshot_sequence("1995-01-01", "2001-07-28", "30D")
-    return _series(seq.tsgen().edges_between("S3", "C7", prop="price", agg="max"))
+    return _series(seq.tsgen().edges_between("S12", "C1250", prop="price", agg="max"))
 
 
 @query("t8_density", f"WITH {_COUNTS} SELECT step, round(n_edges / (n_nodes * (n_nodes - 1.0::DOUBLE)), 6) AS value FROM n JOIN e USING (step)")

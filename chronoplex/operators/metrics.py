@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import property_number
 from ..plans.fixpoint import hops, strong_components, weak_components
+from ..plans.lineage import cut
 from .scans import edge_ends, edges_among, with_label
 
 
@@ -64,10 +65,10 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     spark = edges.sparkSession
     start = spark.range(1).select(F.lit(source).alias("root"))
     seen = hops(start, edges, until=target)
-    step = seen.filter(F.col("uid") == target)
-    row = step.select("hop").first()
-    path = step.select("hop", "uid", "parent")
+    at = cut(seen.filter(F.col("uid") == target).select("hop", "uid", "parent"))
+    row = at.select("hop").first()
+    path = at
     for _ in range(row.hop if row else 0):
-        above = path.orderBy("hop").limit(1).select(F.col("parent").alias("uid"))
-        path = path.unionByName(seen.join(above, "uid", "left_semi").select("hop", "uid", "parent"))
+        at = cut(seen.join(at.select(F.col("parent").alias("uid")), "uid", "left_semi").select("hop", "uid", "parent"))
+        path = path.unionByName(at)
     return path.select(F.col("hop").alias("position"), "uid")

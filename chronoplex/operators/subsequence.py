@@ -194,3 +194,148 @@ def find_features(m: DataFrame, features: dict[str, float], length: int = 10, to
         score, ok = score + error, ok & (error <= FEATURE_TOLERANCE)
     gap = length // 2 if exclusion_zone is None else exclusion_zone
     return best_without_overlap(w.filter(ok).withColumn("score", score), "score", length - 1 + gap, top_k).drop("rank")
+
+
+def pairs_with_pattern(m: DataFrame, pairs: DataFrame, threshold: float = POOR_MATCH) -> DataFrame:
+    """Pairs ``left_ts, right_ts`` where some window of the left looks like the whole right series.
+
+    The pattern may be as long as any series, so it is cut into blocks like the series itself: the
+    products of each two blocks add to the windows they touch, and windows sum up across blocks.
+    """
+    ids = pairs.select(F.explode(F.array("left_ts", "right_ts")).alias("ts_id")).distinct()
+    rows = with_position(m.join(ids, "ts_id", "left_semi"), ["ts_id"], "ts")
+    stats = rows.groupBy("ts_id").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sd"), F.count(F.lit(1)).alias("n"))
+    blocks = rows.groupBy("ts_id", F.floor(F.col("idx") / BLOCK).alias("b")).agg(
+        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("r"))  # at most BLOCK rows
+    blocks = blocks.join(stats, "ts_id").select("ts_id", "b", "mu", "sd", "n", F.col("r.value").alias("v"))
+    left = blocks.select(F.col("ts_id").alias("left_ts"), F.col("b").alias("lb"), F.col("n").alias("ln"), F.col("mu").alias("lm"), F.col("sd").alias("ls"), F.col("v").alias("lv"))
+    right = blocks.select(F.col("ts_id").alias("right_ts"), F.col("b").alias("rb"), F.col("n").alias("rn"), F.col("mu").alias("rm"), F.col("sd").alias("rs"), F.col("v").alias("rv"))
+
+    @F.pandas_udf("array<struct<dot:double,s1:double,s2:double>>")
+    def products(lv: pd.Series, lm: pd.Series, rv: pd.Series, rm: pd.Series, rs: pd.Series) -> pd.Series:
+        out = []
+        for x, c, q, mu, sd in zip(lv, lm, rv, rm, rs):
+            x, q = np.asarray(x, float) - c, (np.asarray(q, float) - mu) / (sd or 1.0)
+            ones = np.ones(len(q))
+            table = [np.correlate(x, q, "full"), np.correlate(x, ones, "full"), np.correlate(x * x, ones, "full")]
+            out.append([{"dot": a, "s1": b, "s2": d} for a, b, d in zip(*table)])
+        return pd.Series(out)
+
+    touched = pairs.select("left_ts", "right_ts").distinct().join(left, "left_ts").join(right, "right_ts").filter("rn >= 2 AND ln >= rn AND rb <= lb")
+    partial = touched.select("left_ts", "right_ts", "ln", "rn", "ls", "rs", "lb", "rb", F.size("rv").alias("rsize"),
+                             F.posexplode(products("lv", "lm", "rv", "rm", "rs")).alias("at", "p"))
+    start = F.col("lb") * BLOCK - F.col("rb") * BLOCK + F.col("at") - (F.col("rsize") - 1)
+    n, length = F.col("ln"), F.col("rn")
+    windows = (partial.withColumn("i", start).filter((F.col("i") >= 0) & (F.col("i") <= n - length))
+               .groupBy("left_ts", "right_ts", "ln", "rn", "ls", "rs", "i")
+               .agg(F.sum("p.dot").alias("dot"), F.sum("p.s1").alias("s1"), F.sum("p.s2").alias("s2")))
+    var = F.col("s2") / length - F.pow(F.col("s1") / length, 2)
+    flat = var <= 1e-14 * F.pow("ls", 2)
+    own = F.when(F.col("rs") > 0, length).otherwise(0)
+    squared = F.when(flat, own).otherwise(length + own - 2 * F.try_divide(F.col("dot"), F.sqrt(var)))
+    best = windows.groupBy("left_ts", "right_ts").agg(F.min(F.sqrt(F.greatest(F.lit(0.0), squared.cast("double")))).alias("best"))
+    return best.filter(F.col("best") <= threshold).select("left_ts", "right_ts")
+
+
+PROFILE_BLOCK = 1024
+
+
+def window_profile(m: DataFrame, length: int, separation: int | None = None) -> DataFrame:
+    """Nearest other window of every window: ``ts_id, idx, start_ts, neighbour, distance``.
+
+    Windows closer than ``separation`` positions are not compared (default: a quarter of the
+    length, plus one); series shorter than two windows give nothing. Exact for series of any length:
+    windows are ordered by their projection on one direction, in which two windows are never
+    farther apart than in full, and cut into blocks of that order. Neighbouring blocks are compared
+    first; two other blocks only if their gap is below the best distances found so far.
+    """
+    separation = separation or -(-length // 4) + 1
+    direction = np.array(z_normalised([float(i) for i in range(length)]))
+    direction = direction / (np.linalg.norm(direction) or 1.0)
+
+    @F.pandas_udf("array<struct<w:array<double>,p:double>>")
+    def shapes(blocks: pd.Series) -> pd.Series:
+        def one(values):
+            if len(values) < length:
+                return []
+            w = np.lib.stride_tricks.sliding_window_view(np.asarray(values, dtype=float), length)
+            std = w.std(axis=1, keepdims=True)
+            z = (w - w.mean(axis=1, keepdims=True)) / np.where(std == 0, 1.0, std)
+            return [{"w": row, "p": float(p)} for row, p in zip(z, z @ direction)]
+        return blocks.map(one)
+
+    rows = _in_blocks(with_position(m, ["ts_id"], "ts").filter(F.col("n") >= 2 * length), length)
+    pieces = rows.groupBy("ts_id", "block").agg(F.array_sort(F.collect_list(F.struct("idx", "ts", "value"))).alias("r"))  # at most BLOCK + length rows
+    windows = pieces.select("ts_id", F.col("r.idx").alias("i"), F.col("r.ts").alias("t"), F.posexplode(shapes("r.value")).alias("at", "s")).select(
+        "ts_id", F.element_at("i", F.col("at") + 1).alias("widx"), F.element_at("t", F.col("at") + 1).alias("start_ts"), F.col("s.w").alias("w"), F.col("s.p").alias("p"))
+    windows = cut(windows)
+    ranked = with_position(windows.select("ts_id", "widx", "w", "p"), ["ts_id"], "p")
+    blocks = cut(ranked.groupBy("ts_id", F.floor(F.col("idx") / PROFILE_BLOCK).alias("b")).agg(
+        F.collect_list(F.struct("widx", "w")).alias("r"), F.min("p").alias("low"), F.max("p").alias("high"))  # at most PROFILE_BLOCK rows
+        .select("ts_id", "b", "low", "high", F.col("r.widx").alias("ids"), F.flatten("r.w").alias("ws")))
+
+    @F.pandas_udf("array<struct<idx:bigint,neighbour:bigint,distance:double>>")
+    def nearest(ids1: pd.Series, ws1: pd.Series, ids2: pd.Series, ws2: pd.Series) -> pd.Series:
+        def best(ia, a, ib, b):
+            far = np.abs(ia[:, None] - ib[None, :]) >= separation
+            d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+            d = np.where(far, d, np.inf)
+            j = d.argmin(axis=1)
+            exact = np.sqrt(((a - b[j]) ** 2).sum(axis=1))
+            ok = far[np.arange(len(ia)), j]
+            return [{"idx": int(i), "neighbour": int(k), "distance": float(x)} for i, k, x in zip(ia[ok], ib[j][ok], exact[ok])]
+        out = []
+        for i1, w1, i2, w2 in zip(ids1, ws1, ids2, ws2):
+            i1, i2 = np.asarray(i1), np.asarray(i2)
+            a, b = np.asarray(w1, float).reshape(len(i1), length), np.asarray(w2, float).reshape(len(i2), length)
+            same = len(i1) == len(i2) and (i1 == i2).all()
+            out.append(best(i1, a, i2, b) + ([] if same else best(i2, b, i1, a)))
+        return pd.Series(out)
+
+    def compared(block_pairs: DataFrame) -> DataFrame:
+        one = blocks.select("ts_id", F.col("b").alias("b1"), F.col("ids").alias("ids1"), F.col("ws").alias("ws1"))
+        two = blocks.select("ts_id", F.col("b").alias("b2"), F.col("ids").alias("ids2"), F.col("ws").alias("ws2"))
+        both = block_pairs.join(one, ["ts_id", "b1"]).join(two, ["ts_id", "b2"])
+        return both.select("ts_id", F.explode(nearest("ids1", "ws1", "ids2", "ws2")).alias("x")).select("ts_id", "x.*")
+
+    close = F.struct("distance", "neighbour")
+    near = blocks.select("ts_id", F.col("b").alias("b1"), F.explode(F.array("b", F.col("b") + 1)).alias("b2"))
+    found = cut(compared(near).groupBy("ts_id", "idx").agg(F.min(close).alias("x")).select("ts_id", "idx", "x.*"))
+    # how far a block's windows still have to look
+    homes = blocks.select("ts_id", "b", F.explode("ids").alias("idx"))
+    reach = homes.join(found, ["ts_id", "idx"], "left").groupBy("ts_id", "b").agg(F.max(F.coalesce("distance", F.lit(float("inf")))).alias("reach"))
+    extent = blocks.select("ts_id", "b", "low", "high").join(reach, ["ts_id", "b"])
+    a, b = extent.alias("a"), extent.alias("b")
+    open_pairs = a.join(b, (F.col("a.ts_id") == F.col("b.ts_id")) & (F.col("b.b") >= F.col("a.b") + 2)
+                        & (F.col("b.low") - F.col("a.high") < F.greatest(F.col("a.reach"), F.col("b.reach"))))
+    far = compared(open_pairs.select(F.col("a.ts_id").alias("ts_id"), F.col("a.b").alias("b1"), F.col("b.b").alias("b2")))
+    result = found.unionByName(far).groupBy("ts_id", "idx").agg(F.min(close).alias("x")).select("ts_id", "idx", "x.*")
+    starts = windows.select("ts_id", F.col("widx").alias("idx"), "start_ts")
+    return result.join(starts, ["ts_id", "idx"]).select("ts_id", "idx", "start_ts", "neighbour", "distance")
+
+
+def motifs(m: DataFrame, length: int, top_k: int = 5, separation: int | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """Closest pairs of windows, at least ``separation`` apart, no window in two pairs: ``ts_id, idx, neighbour, distance, rank``.
+
+    One round per rank: the best pair left of every series at once.
+    """
+    separation = separation or length
+    profile = window_profile(m, length) if profile is None else profile
+    left = cut(profile.filter(F.abs(F.col("idx") - F.col("neighbour")) >= separation))
+    picked = None
+    for rank in range(1, top_k + 1):
+        best = left.groupBy("ts_id").agg(F.min(F.struct("distance", "idx", "neighbour")).alias("x")).select("ts_id", "x.*")
+        best = cut(best.withColumn("rank", F.lit(rank)))
+        picked = best if picked is None else picked.unionByName(best)
+        used = best.select("ts_id", F.explode(F.array("idx", "neighbour")).alias("u"))
+        for end in ("idx", "neighbour"):
+            left = left.join(used.withColumnRenamed("u", end), ["ts_id", end], "left_anti")
+        left = cut(left) if rank < top_k else left
+    first, second = F.least("idx", "neighbour"), F.greatest("idx", "neighbour")
+    return picked.select("ts_id", first.alias("idx"), second.alias("neighbour"), "distance", "rank")
+
+
+def discords(m: DataFrame, length: int, top_k: int = 5, profile: DataFrame | None = None) -> DataFrame:
+    """Windows with the largest distance to their nearest neighbour, not overlapping."""
+    profile = window_profile(m, length) if profile is None else profile
+    return best_without_overlap(profile.withColumn("score", -F.col("distance")), "score", length - 1, top_k).drop("score")
