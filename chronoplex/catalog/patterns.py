@@ -180,9 +180,9 @@ def _(spark, d):
     return P.find_pattern(merged, "spike", mode="threshold", threshold=2.5).select("ts_id", "idx", r6("distance").alias("distance"))
 
 
-@query("p5_f4_contains_pattern", f"WITH {_distances('drop')} SELECT uid FROM (SELECT 'U' || split_part(ts_id, '_', 3) AS uid, d FROM dist WHERE ts_id LIKE 'ts_view_%') GROUP BY uid HAVING min(d) <= 2.5")
+@query("p5_f4_contains_pattern", f"WITH {_distances('decreasing')} SELECT uid FROM (SELECT 'U' || split_part(ts_id, '_', 3) AS uid, d FROM dist WHERE ts_id LIKE 'ts_view_%') GROUP BY uid HAVING min(d) <= 2.6")
 def _(spark, d):
-    return _users(spark, d).query().nodes("User").where_ts_pattern("view", "drop", threshold=2.5).execute().select("uid")
+    return _users(spark, d).query().nodes("User").where_ts_pattern("view", "decreasing", threshold=2.6).execute().select("uid")
 
 
 @query("p6_window_features", """

@@ -190,8 +190,8 @@ class InducedGraph:
         enters = F.coalesce(F.lag("step").over(in_run) < here - 1, F.lit(True))
         leaves = F.coalesce(F.lead("step").over(in_run) > here + 1, F.lit(True)) & (here < F.col("run_last"))
         marks = F.filter(F.array(
-            F.when(enters, F.struct(here.alias("step"), F.lit("enter").alias("change"))),
-            F.when(leaves, F.struct((here + 1).alias("step"), F.lit("exit").alias("change"))),
+            F.when(F.col("_enters"), F.struct(here.alias("step"), F.lit("enter").alias("change"))),
+            F.when(F.col("_leaves"), F.struct((here + 1).alias("step"), F.lit("exit").alias("change"))),
         ), lambda x: x.isNotNull())
         marked = rows.withColumns({"_enters": enters, "_leaves": leaves}).withColumn("m", F.explode(marks))
         return marked.select("run", "m.step", self.grid.time(F.col("m.step")).alias("snap_ts"), "uid", "m.change")
@@ -286,8 +286,8 @@ class InducedGraph:
             F.col("inherits"), F.when(F.col("size") > F.col("parent_size"), "GROW").when(F.col("size") < F.col("parent_size"), "SHRINK").otherwise("CONTINUE")))
         now = own.filter(F.col("event").isNotNull()).select("run", "step", "event", "component_id", "comp", "size", F.col("n_in").alias("n_related"))
         following = self.change_steps().select("run", (F.col("k") - 1).alias("k"), F.col("step").alias("next_step"))
-        out = self.component_links().select("run", (F.col("k") - 1).alias("k"), F.col("parent").alias("comp"), "parent_out").distinct()
-        past = table.join(following, ["run", "k"]).join(out, ["run", "k", "comp"], "left").withColumn("n_related", F.coalesce("parent_out", F.lit(0)))
+        out = self.component_links().select("run", (F.col("k") - 1).alias("k"), F.col("parent").alias("comp"), F.col("parent_out").alias("n_children")).distinct()
+        past = table.join(following, ["run", "k"]).join(out, ["run", "k", "comp"], "left").withColumn("n_related", F.coalesce("n_children", F.lit(0)))
         gone = past.withColumn("event", F.when(F.col("n_related") == 0, "DEATH").when(F.col("n_related") > 1, "SPLIT"))
         ended = gone.filter(F.col("event").isNotNull()).select("run", F.col("next_step").alias("step"), "event", "component_id", "comp", "size", "n_related")
         return now.unionByName(ended).withColumn("snap_ts", self.grid.time(F.col("step")))

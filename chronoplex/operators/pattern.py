@@ -97,9 +97,10 @@ class PatternQuery:
         return list(dict.fromkeys(texts))
 
     def run(self) -> DataFrame:
-        nodes = {v: self._candidates(v, q, False) for v, q in self._nodes.items()}
         if not self._edges:
             raise ValueError("a pattern without edges is read with node_sets()")
+        ends = {v for e in self._edges for v in (e[0], e[2])}
+        nodes = {v: self._candidates(v, self._nodes.get(v) or QueryStart(self.graph).nodes(), False) for v in ends}
         bound: set[str] = set()
         rows: DataFrame | None = None
         pending = list(self._edges)
@@ -117,7 +118,7 @@ class PatternQuery:
                 rows = rows.join(edges, [v for v in ends if v in bound])
             for v in ends:
                 if v not in bound:
-                    rows = rows.join(nodes.get(v, self.graph.nodes.select(F.col("uid").alias(v))), v)
+                    rows = rows.join(nodes[v], v)
             bound |= set(ends)
         rows = self._apply_cross(rows)
         rows = self._apply_series(rows)

@@ -126,5 +126,5 @@ def _peers(spark: SparkSession, sf_dir: str, events: DataFrame, customer: DataFr
         F.when(turned, v).otherwise(u).alias("src"), F.when(turned, u).otherwise(v).alias("dst"),
         F.lit("Peer").alias("label"),
         F.lit(None).cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"),
-        _text_map(("weight", F.lit(1.0) / (F.col("v") - F.col("u")))).alias("props"), empty_map().alias("ts_ids"),
+        _text_map(("weight", F.try_divide(F.lit(1.0), (F.col("v") - F.col("u")).cast("double")))).alias("props"), empty_map().alias("ts_ids"),
     )
