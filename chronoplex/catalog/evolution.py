@@ -288,9 +288,8 @@ _CUSTOMERS = "WHERE n.label = 'Customer'"
 
 @query("t3_degree_extremes", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, max(k)::DOUBLE AS high, min(k)::DOUBLE AS low, sum(k)::DOUBLE AS total FROM deg GROUP BY step")
 def _(spark, d):
-    t = _month(spark, d).tsgen()
-    part = lambda agg, name: t.degree(agg, label="Customer").select("step", F.col("value").alias(name))
-    return part("max", "high").join(part("min", "low"), "step").join(part("sum", "total"), "step")
+    stats = _month(spark, d).tsgen().degree_stats(label="Customer")
+    return stats.select("step", *[F.col(a).cast("double").alias(b) for a, b in (("max", "high"), ("min", "low"), ("sum", "total"))])
 
 
 @query("t3_weighted_degree", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, round(avg(w), 6) AS value FROM deg GROUP BY step")

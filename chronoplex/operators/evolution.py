@@ -33,8 +33,10 @@ class Evolution:
         return Evolution(self.sequence.window(start, end))
 
     def _filled(self, df: DataFrame) -> DataFrame:
-        return (self.sequence.steps.join(df.select("step", "value"), "step", "left")
-                .withColumn("value", F.coalesce(F.col("value").cast("double"), F.lit(0.0))))
+        value = F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value")
+        if "snap_ts" in df.columns:  # already one row per step
+            return df.select("step", "snap_ts", value)
+        return self.sequence.steps.join(df.select("step", "value"), "step", "left").select("step", "snap_ts", value)
 
     # counts --------------------------------------------------------------------------------------
     def node_count(self, label: str | None = None) -> DataFrame:
@@ -59,27 +61,33 @@ class Evolution:
         nodes = with_label(self.graph.nodes, label).select("uid", "start_time", "end_time")
         return intersect_validity(ends, nodes, ["uid"])
 
-    def degree(self, agg: str = "avg", direction: str = "both", label: str | None = None,
-               weight: str | None = None) -> DataFrame:
-        """Degree over all nodes of a step (label picks nodes, not edges); a self loop counts once."""
-        agg = "avg" if agg == "mean" else agg
+    def degree_stats(self, direction: str = "both", label: str | None = None, weight: str | None = None) -> DataFrame:
+        """``n_nodes, sum, avg, min, max`` of the degree per step, all in one pass; a self loop counts once."""
         ends = self._ends(direction, label, weight, self_loop=1)
         n = self.grid.running_count(with_label(self.graph.nodes, label), name="n_nodes")
-        if agg in ("sum", "avg") and weight is None:
-            total = self.grid.running_count(ends, name="value").drop("snap_ts")
-            value = F.col("value") if agg == "sum" else F.try_divide(F.col("value").cast("double"), F.col("n_nodes"))
-            return self._filled(n.join(total, "step").withColumn("value", value))
         per_node = self.grid.expand(ends).groupBy("step", "uid").agg(F.sum("w").alias("degree"))
         stats = per_node.groupBy("step").agg(
             F.sum("degree").alias("total"), F.min("degree").alias("low"), F.max("degree").alias("high"),
             F.count(F.lit(1)).alias("linked"))
-        some_unlinked = F.col("linked") < F.col("n_nodes")
-        value = {
-            "sum": F.col("total"), "avg": F.try_divide(F.col("total").cast("double"), F.col("n_nodes")),
-            "min": F.when(some_unlinked, F.least(F.col("low"), F.lit(0))).otherwise(F.col("low")),
-            "max": F.when(some_unlinked, F.greatest(F.col("high"), F.lit(0))).otherwise(F.col("high")),
-        }[agg]
-        return self._filled(n.join(stats, "step", "left").withColumn("value", value))
+        unlinked = F.coalesce("linked", F.lit(0)) < F.col("n_nodes")
+        low = F.when(unlinked, F.least(F.coalesce("low", F.lit(0)), F.lit(0))).otherwise(F.col("low"))
+        high = F.when(unlinked, F.greatest(F.coalesce("high", F.lit(0)), F.lit(0))).otherwise(F.col("high"))
+        total = F.coalesce("total", F.lit(0))
+        return n.join(stats, "step", "left").select(
+            "step", "snap_ts", "n_nodes", total.alias("sum"), F.try_divide(total.cast("double"), F.col("n_nodes")).alias("avg"),
+            low.alias("min"), high.alias("max"))
+
+    def degree(self, agg: str = "avg", direction: str = "both", label: str | None = None,
+               weight: str | None = None) -> DataFrame:
+        """Degree over all nodes of a step (label picks nodes, not edges); a self loop counts once."""
+        agg = "avg" if agg == "mean" else agg
+        if agg not in ("sum", "avg") or weight is not None:
+            return self._filled(self.degree_stats(direction, label, weight).withColumn("value", F.col(agg)))
+        ends = self._ends(direction, label, weight, self_loop=1)
+        n = self.grid.running_count(with_label(self.graph.nodes, label), name="n_nodes")
+        total = self.grid.running_count(ends, name="value").drop("snap_ts")
+        value = F.col("value") if agg == "sum" else F.try_divide(F.col("value").cast("double"), F.col("n_nodes"))
+        return self._filled(n.join(total, "step").withColumn("value", value))
 
     def entity_degree(self, uid: str | None = None, direction: str = "both", label: str | None = None,
                       weight: str | None = None) -> DataFrame:

@@ -148,15 +148,9 @@ class SnapshotSequence:
 
     def summary(self) -> DataFrame:
         """Nodes, edges and series per snapshot; steps without any keep a zero row."""
-        series = F.size("ts_ids")
-        n = self.grid.running_count(self.graph.nodes, name="n_nodes")
-        e = self.grid.running_count(self.graph.edges, name="n_edges")
-        ns = self.grid.running_count(self.graph.nodes, amount=series, name="s1")
-        es = self.grid.running_count(self.graph.edges, amount=series, name="s2")
-        return (
-            n.join(e.drop("snap_ts"), "step").join(ns.drop("snap_ts"), "step").join(es.drop("snap_ts"), "step")
-            .select("step", "snap_ts", "n_nodes", "n_edges", (F.col("s1") + F.col("s2")).alias("n_series"))
-        )
+        n = self.grid.running_totals(self.graph.nodes, {"n_nodes": F.lit(1), "_a": F.size("ts_ids")})
+        e = self.grid.running_totals(self.graph.edges, {"n_edges": F.lit(1), "_b": F.size("ts_ids")}).drop("snap_ts")
+        return n.join(e, "step").select("step", "snap_ts", "n_nodes", "n_edges", (F.col("_a") + F.col("_b")).alias("n_series"))
 
     def averages(self) -> DataFrame:
         return self.summary().agg(

@@ -72,16 +72,17 @@ def best_without_overlap(windows: DataFrame, score: str, reach: int, top_k: int)
     needed = (top_k - 1) * (2 * reach + 1) + 1
     best_first = Window.partitionBy("ts_id").orderBy(score, "idx")
     candidates = windows.withColumn("_rank", F.row_number().over(best_first)).filter(F.col("_rank") <= needed)
-    per_series = candidates.groupBy("ts_id").agg(  # at most ``needed`` windows
-        F.array_sort(F.collect_list(F.struct(F.col(score).alias("s"), "idx"))).alias("c"))
-    nothing = F.array().cast("array<bigint>")
+    others = [c for c in windows.columns if c not in ("ts_id", "idx", score)]
+    row = F.struct(F.col(score).alias("s"), "idx", *others)
+    per_series = candidates.groupBy("ts_id").agg(F.array_sort(F.collect_list(row)).alias("c"))  # at most ``needed`` windows
 
     def take(chosen, c):
-        free = ~F.exists(chosen, lambda o: F.abs(o - c["idx"]) <= reach)
-        return F.when((F.size(chosen) < top_k) & free, F.concat(chosen, F.array(c["idx"]))).otherwise(chosen)
+        free = ~F.exists(chosen, lambda o: F.abs(o["idx"] - c["idx"]) <= reach)
+        return F.when((F.size(chosen) < top_k) & free, F.concat(chosen, F.array(c))).otherwise(chosen)
 
-    chosen = per_series.select("ts_id", F.posexplode(F.aggregate("c", nothing, take)).alias("rank", "idx"))
-    return windows.join(chosen, ["ts_id", "idx"]).withColumn("rank", F.col("rank") + 1)
+    none = F.filter("c", lambda c: F.lit(False))
+    chosen = per_series.select("ts_id", F.posexplode(F.aggregate("c", none, take)).alias("rank", "w"))
+    return chosen.select("ts_id", "w.idx", F.col("w.s").alias(score), *[f"w.{c}" for c in others], (F.col("rank") + 1).alias("rank"))
 
 
 def all_without_overlap(windows: DataFrame, score: str, reach: int, block: int | None = None) -> DataFrame:

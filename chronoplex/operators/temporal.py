@@ -165,33 +165,28 @@ class Grid:
         """One row per element and step at which it is valid (column ``step``)."""
         return self.clamp(df).withColumn("step", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
-    def running_count(self, df: DataFrame, keys: list[str] = (), amount: Column | None = None,
-                      name: str = "n") -> DataFrame:
-        """How many elements are valid at each step, without a row per element and step.
+    def running_totals(self, df: DataFrame, amounts: dict[str, Column], keys: list[str] = ()) -> DataFrame:
+        """Sums over the elements valid at each step, without a row per element and step.
 
-        Each element adds its amount at its first step and takes it back after its last one; the
-        sums per step are few, and their running total is the count.
+        Each element adds its amounts at its first step and takes them back after its last one; the
+        sums per step are few, and their running total is the result. Steps without elements stay.
         """
-        keys = list(keys)
-        spark = df.sparkSession
-        amount = F.lit(1) if amount is None else amount
+        keys, names = list(keys), list(amounts)
+        clamped = self.clamp(df.withColumns({f"_{n}": a for n, a in amounts.items()}))
+        mark = lambda step, sign: F.struct(step.alias("step"), *[(sign * F.col(f"_{n}")).alias(n) for n in names])
         marks = (
-            self.clamp(df)
-            .select(*keys, F.explode(F.array(
-                F.struct(F.col("_lo").alias("step"), amount.alias("d")),
-                F.struct((F.col("_hi") + 1).alias("step"), (-amount).alias("d")),
-            )).alias("m"))
-            .groupBy(*keys, "m.step").agg(F.sum("m.d").alias("d"))
+            clamped.select(*keys, F.explode(F.array(mark(F.col("_lo"), 1), mark(F.col("_hi") + 1, -1))).alias("m"))
+            .groupBy(*keys, "m.step").agg(*[F.sum(f"m.{n}").alias(n) for n in names])
         )
-        grid = self.frame(spark)
+        grid = self.frame(df.sparkSession)
         if keys:
-            grid = marks.select(*keys).distinct().crossJoin(grid)
-        order = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-        return (
-            grid.join(marks, [*keys, "step"], "left")
-            .withColumn(name, F.sum(F.coalesce("d", F.lit(0))).over(order))
-            .drop("d")
-        )
+            grid = marks.select(*keys).distinct().crossJoin(grid)  # every key gets a row per step
+        order = Window.partitionBy(*keys, F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)  # one row per step
+        totals = {n: F.sum(F.coalesce(n, F.lit(0))).over(order) for n in names}
+        return grid.join(marks, [*keys, "step"], "left").withColumns(totals)
+
+    def running_count(self, df: DataFrame, keys: list[str] = (), name: str = "n") -> DataFrame:
+        return self.running_totals(df, {name: F.lit(1)}, keys)
 
 
 def bucket_start(ts: Column, width: dt.timedelta, origin=None) -> Column:

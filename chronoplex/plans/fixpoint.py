@@ -33,7 +33,7 @@ def weak_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) ->
         inside = inside.join(ids.withColumnRenamed("uid", end), [*keys, end], "left_semi")
     links = cut(inside.select(*keys, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
-    while True:
+    while not links.isEmpty():
         # a is the larger end; both directions make the neighbourhood of every node
         both = links.select(*keys, F.explode(F.array(
             F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
@@ -87,18 +87,17 @@ def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ())
         for end in ("src", "dst"):
             rest = rest.join(left.withColumnRenamed("uid", end), [*keys, end], "left_semi")
         rest = cut(rest)
-        inner = (rest.select(*keys, F.col("src").alias("uid")).distinct()
-                 .join(rest.select(*keys, F.col("dst").alias("uid")).distinct(), [*keys, "uid"], "left_semi"))
-        trimmed = left.join(inner, [*keys, "uid"], "left_anti")
-        trimmed, kept = cut(trimmed.withColumn("comp", F.col("uid"))), cut(inner.join(left, [*keys, "uid"], "left_semi"))
-        done.append(trimmed)
-        if not trimmed.isEmpty():
+        flag = lambda end, name: rest.select(*keys, F.col(end).alias("uid"), F.lit(True).alias(name)).distinct()
+        state = cut(left.join(flag("src", "_out"), [*keys, "uid"], "left").join(flag("dst", "_in"), [*keys, "uid"], "left")
+                    .select(*keys, "uid", (F.col("_out").isNotNull() & F.col("_in").isNotNull()).alias("_inner")))
+        kept = state.filter("_inner").drop("_inner")
+        done.append(state.filter("NOT _inner").select(*keys, "uid", F.col("uid").alias("comp")))
+        n_kept, n_all = state.agg(F.count_if("_inner"), F.count(F.lit(1))).first()
+        if n_kept == 0:
+            break
+        if n_kept < n_all:
             left = kept
-            if left.isEmpty():
-                break
             continue
-        if kept.isEmpty():
-            break
         colored = _spread_minimum(kept.withColumn("color", F.col("uid")), rest, keys)
         same = (rest.join(colored.withColumnsRenamed({"uid": "src", "color": "c1"}), [*keys, "src"])
                 .join(colored.withColumnsRenamed({"uid": "dst", "color": "c2"}), [*keys, "dst"])

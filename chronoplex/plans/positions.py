@@ -1,9 +1,9 @@
 """Positions and order statistics inside groups of any size.
 
-A plain ``row_number`` over a group sends the whole group to one task. Here groups with more than
-``HOT_ROWS`` rows are first split into chunks along the ordering column; rows are numbered inside
-their chunk and shifted by the rows of the chunks before it. Ordinary groups have one chunk, so
-the common case is one window and a join with a (normally empty) table of hot groups.
+A plain ``row_number`` over a group sends the whole group to one task. So the size of the largest
+group is measured first: up to ``HOT_ROWS`` rows one window is enough. Beyond that the larger groups
+are split into chunks along the ordering column; rows are numbered inside their chunk and shifted
+by the rows of the chunks before it.
 """
 
 from __future__ import annotations
@@ -21,16 +21,24 @@ def _number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
+def _all_small(df: DataFrame, keys: list[str], limit: int) -> bool:
+    """Whether no group has more rows than the limit; one number comes to the driver."""
+    if df.count() <= limit:
+        return True
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
+    return (largest or 0) <= limit
+
+
 def with_position(df: DataFrame, keys: list[str], order: str, weight: str | None = None,
                   hot_rows: int | None = None, bounded: bool = False) -> DataFrame:
     """Add ``idx`` (0-based position, or weight before the row) and ``n`` (group total).
 
-    ``order`` must be unique within a group. ``bounded`` skips the hot-group split for rows
-    whose groups are small by construction, such as buckets of a fixed period.
+    ``order`` must be unique within a group. ``bounded`` skips the measurement for rows whose
+    groups are small by construction, such as buckets of a fixed period.
     """
     hot_rows = hot_rows or HOT_ROWS
     unit = F.col(weight) if weight else F.lit(1)
-    if bounded:
+    if bounded or _all_small(df, keys, hot_rows):
         group = Window.partitionBy(*keys)
         running = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({
