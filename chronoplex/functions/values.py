@@ -85,8 +85,11 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation; NULL where either side is constant or there are under two pairs."""
+    """Pearson correlation; NULL where either side is constant or there are under two pairs.
+
+    ``corr`` itself fails on a constant side in ANSI mode, before any condition around it counts.
+    """
     both = x.isNotNull() & y.isNotNull()
     n = F.count(F.when(both, 1))
     sx, sy = F.stddev_pop(F.when(both, x)), F.stddev_pop(F.when(both, y))
-    return F.when((n >= 2) & (sx > 0) & (sy > 0), F.corr(x, y))
+    return F.when((n >= 2) & (sx > 0) & (sy > 0), F.try_divide(F.covar_pop(x, y), sx * sy))
