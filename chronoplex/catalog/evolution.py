@@ -251,7 +251,10 @@ def _(spark, d):
     return seen.agg(F.max_by("uid", F.struct("hop", "uid")).alias("target"), F.max("hop").alias("hops"))
 
 
-@query("g9_shortest_path")
+@query("g9_shortest_path", """
+WITH RECURSIVE hop(uid, h) AS (SELECT 'U113', 0 UNION SELECT p.dst, h + 1 FROM hop JOIN peers p ON p.src = hop.uid WHERE h < 12), best AS (SELECT uid, min(h) AS h FROM hop GROUP BY uid),
+par AS (SELECT b.uid, b.h, min(p.src) AS parent FROM best b JOIN peers p ON p.dst = b.uid JOIN best a ON a.uid = p.src AND a.h = b.h - 1 GROUP BY b.uid, b.h),
+path(uid, h) AS (SELECT uid, h FROM best WHERE uid = 'U19' UNION SELECT par.parent, par.h - 1 FROM path JOIN par ON par.uid = path.uid) SELECT h AS position, uid FROM path""")
 def _(spark, d):
     return G.shortest_path(signal_graph(spark, d).edges, "U113", "U19")
 

@@ -117,7 +117,11 @@ _relation("more_volatile", "sx > sy")
 _relation("more_stable", "sx < sy")
 
 
-@query("r14_contains_pattern_from")
+@query("r14_contains_pattern_from", """
+WITH w AS (SELECT p.src AS a, p.uid AS e, p.dst AS b, x.idx AS i, q.idx AS j, y.value AS x, q.value AS p, q.n AS m FROM peers p JOIN numbered x ON x.uid = p.src AND x.variable = 'view'
+  JOIN numbered q ON q.uid = p.dst AND q.variable = 'click' AND q.n >= 2 AND x.idx + q.n <= x.n JOIN numbered y ON y.ts_id = x.ts_id AND y.idx = x.idx + q.idx),
+z AS (SELECT a, e, b, i, (x - avg(x) OVER k) / CASE WHEN stddev_pop(x) OVER k = 0 THEN 1 ELSE stddev_pop(x) OVER k END AS x, (p - avg(p) OVER k) / CASE WHEN stddev_pop(p) OVER k = 0 THEN 1 ELSE stddev_pop(p) OVER k END AS p FROM w WINDOW k AS (PARTITION BY e, i)),
+d AS (SELECT a, e, b, i, sqrt(sum(pow(x - p, 2))) AS d FROM z GROUP BY a, e, b, i) SELECT a, b FROM d GROUP BY a, e, b HAVING min(d) <= 3.5""")
 def _(spark, d):
     m = _users(spark, d).match().edge("a", "e", "b", "Peer").where_series("a.view", "contains_pattern_from", "b.click", threshold=3.5)
     return m.run().select("a", "b")

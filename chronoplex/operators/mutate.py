@@ -10,23 +10,27 @@ from .scans import edges_among
 from .temporal import time_column
 
 
+SAMPLE_KEY = ["ts_id", "variable", "ts"]
+
+
 def latest_samples(m: DataFrame, order: str) -> DataFrame:
     """One row per ``ts_id, variable, ts``: the one that comes last in ``order``."""
-    return m.groupBy("ts_id", "variable", "ts").agg(F.max_by("value", order).alias("value"))
+    return m.groupBy(*SAMPLE_KEY).agg(F.max_by("value", order).alias("value"))
 
 
 def upsert_samples(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge samples by ``ts_id, variable, ts``; new values replace old ones."""
-    both = old.withColumn("_order", F.lit(0)).unionByName(new.withColumn("_order", F.lit(1)))
-    return latest_samples(both, "_order")
+    """Merge samples by ``ts_id, variable, ts``; new values replace old ones.
+
+    Old rows pass through an anti join, which does not move them when the new ones are few.
+    """
+    new = new.select(*SAMPLE_KEY, "value").dropDuplicates(SAMPLE_KEY)
+    return old.select(*SAMPLE_KEY, "value").join(new, SAMPLE_KEY, "left_anti").unionByName(new)
 
 
 def upsert_elements(old: DataFrame, new: DataFrame) -> DataFrame:
     """Merge elements by uid; a new row replaces the old one whole."""
-    def tagged(df: DataFrame, order: int) -> DataFrame:
-        return df.select("uid", F.struct(*[c for c in old.columns if c != "uid"]).alias("e"), F.lit(order).alias("_order"))
-
-    return tagged(old, 0).unionByName(tagged(new, 1)).groupBy("uid").agg(F.max_by("e", "_order").alias("e")).select("uid", "e.*").select(*old.columns)
+    new = new.select(*old.columns).dropDuplicates(["uid"])
+    return old.join(new.select("uid"), "uid", "left_anti").select(*old.columns).unionByName(new)
 
 
 def series_id(variable, uid) -> Column:

@@ -70,6 +70,9 @@ def best_without_overlap(windows: DataFrame, score: str, reach: int, top_k: int)
     that many of the best per pick: a ranked filter that Spark also applies before the shuffle.
     """
     needed = (top_k - 1) * (2 * reach + 1) + 1
+    conf, limit = windows.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
+    if needed > int(conf.get(limit, "1000")):
+        conf.set(limit, str(needed))  # keeps the limit before the shuffle
     best_first = Window.partitionBy("ts_id").orderBy(score, "idx")
     candidates = windows.withColumn("_rank", F.row_number().over(best_first)).filter(F.col("_rank") <= needed)
     others = [c for c in windows.columns if c not in ("ts_id", "idx", score)]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Tables of this many rounds are merged into one, so that plans stay short.
+MERGE_EVERY = 16
+
 
 def _signature(edges: DataFrame, cols: list[str]):
     h = F.xxhash64(*cols).cast("decimal(38,0)")
@@ -104,7 +107,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ())
                 .filter(F.col("c1") == F.col("c2")).select(*keys, "src", "dst"))
         same = cut(same)
         found = cut(colored.filter(F.col("uid") == F.col("color")))
-        frontier = found
+        frontier, rounds = found, 0
         while True:
             back = (frontier.join(same.withColumnRenamed("dst", "uid"), [*keys, "uid"])
                     .select(*keys, F.col("src").alias("uid"), "color").distinct()
@@ -113,6 +116,9 @@ def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ())
             if frontier.isEmpty():
                 break
             found = found.unionByName(frontier)
+            rounds += 1
+            if rounds % MERGE_EVERY == 0:
+                found = cut(found)
         found = cut(found.withColumnRenamed("color", "comp"))
         done.append(found)
         left = cut(kept.join(found, [*keys, "uid"], "left_anti"))
@@ -142,5 +148,7 @@ def hops(start: DataFrame, edges: DataFrame, keys: list[str] = (), until: str |
         if frontier.isEmpty():
             return seen
         seen = seen.unionByName(frontier)
+        if hop % MERGE_EVERY == 0:
+            seen = cut(seen)
         if until is not None and not frontier.filter(F.col("uid") == until).isEmpty():
             return seen

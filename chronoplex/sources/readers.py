@@ -93,23 +93,25 @@ def read_measurements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_graph(spark: SparkSession, root: str, node_labels: list[str], edge_labels: list[str],
-                    node_fields: dict | None = None, edge_fields: dict | None = None) -> TemporalGraph:
+                    node_fields: dict | None = None, edge_fields: dict | None = None, multi_line: bool = True) -> TemporalGraph:
     """``nodes/<Label>.json`` and ``edges/<Label>.json``: arrays of objects with embedded series in ``ts``.
 
+    One array is read by one task; ``multi_line=False`` reads one object per line, which splits.
+
     ``ts`` maps a variable to samples of ``start`` (or ``time``) and ``value``; zeros are kept. The id of the source stays as
     property ``node_id``; edges with an unknown end are dropped.
     """
-    nodes, samples = _json_part(spark, f"{root}/nodes", node_labels, NODE_FIELDS | (node_fields or {}), False)
-    edges, edge_samples = _json_part(spark, f"{root}/edges", edge_labels, EDGE_FIELDS | (edge_fields or {}), True)
+    nodes, samples = _json_part(spark, f"{root}/nodes", node_labels, NODE_FIELDS | (node_fields or {}), False, multi_line)
+    edges, edge_samples = _json_part(spark, f"{root}/edges", edge_labels, EDGE_FIELDS | (edge_fields or {}), True, multi_line)
     edges = edges_among(edges, nodes)
     m = samples.unionByName(edge_samples)
     return TemporalGraph(nodes, edges, m.groupBy("ts_id", "variable", "ts").agg(F.max_by("value", "_order").alias("value")))
 
 
-def _json_part(spark: SparkSession, folder: str, labels: list[str], fields: dict, is_edge: bool):
+def _json_part(spark: SparkSession, folder: str, labels: list[str], fields: dict, is_edge: bool, multi_line: bool):
     elements, samples = [], []
     for label in labels:
-        df = spark.read.option("multiLine", True).json(f"{folder}/{label}.json")
+        df = spark.read.option("multiLine", multi_line).json(f"{folder}/{label}.json")
         rows = _elements(df, fields, is_edge, F.lit(label))
         if not is_edge:
             rows = rows.withColumn("props", F.map_concat("props", F.create_map(F.lit("node_id"), F.col("uid"))))
@@ -125,11 +127,10 @@ def _json_part(spark: SparkSession, folder: str, labels: list[str], fields: dict
 
 def _embedded(df: DataFrame, fields: dict, is_edge: bool, label: str) -> DataFrame:
     """The ``ts`` objects as rows, whatever the spelling of their fields."""
-    keyed = _elements(df, fields, is_edge, F.lit(label)).select("uid").columns and df
     uid = _first(df, fields["id"]) if not is_edge else F.coalesce(
         _first(df, fields["id"]), synthetic_edge_id(F.lit(label), _first(df, fields["source"]), _first(df, fields["target"]), _first(df, fields["start"])))
     per_variable = F.from_json(F.to_json("ts"), "map<string,array<map<string,string>>>")
-    rows = (keyed.select(uid.alias("uid"), F.explode(per_variable).alias("variable", "points"))
+    rows = (df.select(uid.alias("uid"), F.explode(per_variable).alias("variable", "points"))
             .select("uid", "variable", F.posexplode("points").alias("_order", "p")))
     at = F.coalesce(*[F.col("p").getItem(n) for n in ("Start", "start", "time")])
     value = F.coalesce(*[F.col("p").getItem(n) for n in ("Value", "value")]).try_cast("double")
