@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import value_as_of
 from ..functions.values import compare_numbers, safe_divide
 from ..model import TemporalGraph
 from .metrics import degrees
-from .series import series_aggregates
+from .scans import edge_ends
+from .series import catalogue_with, series_aggregates
 from .snapshot import Snapshot
-from .temporal import within
+from .temporal import time_column, within
 
 ADDED, REMOVED, PERSISTENT = "added", "removed", "persistent"
 
@@ -33,6 +35,25 @@ def element_changes(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
+def changes_within(df: DataFrame, in_first: Column, in_second: Column) -> DataFrame:
+    """The same for two states of one table with one row per uid: a scan, without any join."""
+    rows = df.withColumns({"_1": in_first, "_2": in_second}).filter("_1 OR _2")
+    sides = [F.when(F.col(f"_{n}"), F.col(c)).alias(f"{c}_{n}") for c in ("props", "ts_ids") for n in (1, 2)]
+    return rows.select("uid", "label", change_type(F.col("_1"), F.col("_2")).alias("change_type"), *sides)
+
+
+def degree_changes_within(nodes: DataFrame, edges: DataFrame, in_first: Column, in_second: Column,
+                          direction: str = "both") -> DataFrame:
+    """Degrees of two states of one graph from one pass over the edges; a self loop counts twice."""
+    marked = edges.withColumns({"_1": in_first.cast("int"), "_2": in_second.cast("int")}).filter("_1 + _2 > 0")
+    counted = edge_ends(marked.select("src", "dst", "_1", "_2"), direction).groupBy(F.col("node").alias("uid")).agg(
+        F.sum("_1").alias("k1"), F.sum("_2").alias("k2"))
+    present = nodes.select("uid", in_first.alias("_1"), in_second.alias("_2")).filter("_1 OR _2")
+    degree = lambda n: F.when(F.col(f"_{n}"), F.coalesce(f"k{n}", F.lit(0))).otherwise(F.lit(0))
+    return present.join(counted, "uid", "left").select(
+        "uid", degree(1).alias("degree_1"), degree(2).alias("degree_2"), (degree(2) - degree(1)).alias("degree_change"))
+
+
 def similarity(changes: DataFrame) -> DataFrame:
     """Churn, addition and deletion rate, and Jaccard of one kind of element, as one row."""
     kinds = [F.count_if(F.col("change_type") == k).alias(f"n_{k}") for k in (ADDED, REMOVED, PERSISTENT)]
@@ -84,8 +105,13 @@ class SnapshotDiff:
 
     def __init__(self, first: Snapshot, second: Snapshot):
         self.first, self.second = first, second
-        self.nodes = element_changes(first.nodes, second.nodes)
-        self.edges = element_changes(first.edges, second.edges)
+        self.same_graph = first.graph is not None and first.graph is second.graph
+        if self.same_graph:
+            self.nodes = changes_within(first.graph.nodes, first.holds(), second.holds())
+            self.edges = changes_within(first.graph.edges, first.holds(), second.holds())
+        else:
+            self.nodes = element_changes(first.nodes, second.nodes)
+            self.edges = element_changes(first.edges, second.edges)
 
     def changes(self, kind: str) -> DataFrame:
         return self.nodes if kind == "node" else self.edges
@@ -97,6 +123,8 @@ class SnapshotDiff:
 
     def value_changes(self) -> DataFrame:
         """Resolved series values of both snapshots, compared like properties."""
+        if self.same_graph and self.first.between is None and self.second.between is None:
+            return _classified(self._point_values())
         def side(s: Snapshot, name: str) -> DataFrame:
             if s.values is None:
                 raise ValueError("series values need snapshots of mode 'hybrid'")
@@ -105,6 +133,17 @@ class SnapshotDiff:
         rows = side(self.first, "old").join(side(self.second, "new"), ["uid", "owner_kind", "property"], "full_outer")
         return _classified(rows)
 
+    def _point_values(self) -> DataFrame:
+        """Values at both moments from one pass over the samples."""
+        g, one, two = self.first.graph, self.first, self.second
+        owners = catalogue_with(g, {"_1": one.holds(), "_2": two.holds()}).filter("_1 OR _2")
+        last = lambda at: value_as_of(F.col("value"), F.col("ts"), time_column(at)).cast("string")
+        latest = F.greatest(time_column(one.at), time_column(two.at))
+        found = g.measurements.filter(F.col("ts") <= latest).groupBy("ts_id").agg(last(one.at).alias("old"), last(two.at).alias("new"))
+        side = lambda n, c: F.when(F.col(n), F.col(c)).alias(c)
+        rows = owners.join(found, "ts_id").select(F.col("owner").alias("uid"), "owner_kind", "property", side("_1", "old"), side("_2", "new"))
+        return rows.filter(F.col("old").isNotNull() | F.col("new").isNotNull())
+
     def property_changes(self, kind: str = "node") -> DataFrame:
         static = property_changes(self.changes(kind))
         if self.first.values is None or self.second.values is None:
@@ -125,6 +164,9 @@ class SnapshotDiff:
 
     def degree_changes(self, direction: str = "both") -> DataFrame:
         """Degree in both snapshots and its change; absent counts as 0, a self loop as 2."""
+        if self.same_graph:
+            g = self.first.graph
+            return degree_changes_within(g.nodes, g.edges, self.first.holds(), self.second.holds(), direction)
         one = degrees(self.first.nodes, self.first.edges, direction).withColumnRenamed("degree", "degree_1")
         two = degrees(self.second.nodes, self.second.edges, direction).withColumnRenamed("degree", "degree_2")
         d1, d2 = F.coalesce("degree_1", F.lit(0)), F.coalesce("degree_2", F.lit(0))

@@ -12,10 +12,9 @@ from ..functions.values import compare_numbers, guarded_corr, safe_divide
 from ..model import TemporalGraph
 from ..plans.lineage import cut
 from ..plans.positions import with_position
-from .diff import DiffQuery, PERSISTENT, element_changes, overall_similarity
-from .metrics import degrees
+from .diff import DiffQuery, PERSISTENT, changes_within, degree_changes_within, overall_similarity
 from .series import slope_column
-from .temporal import overlapping, time_column
+from .temporal import meets, time_column
 
 DTW_BLOCK = 2048
 
@@ -156,10 +155,8 @@ class IntervalDiff:
 
     def __init__(self, graph: TemporalGraph, first: tuple, second: tuple):
         self.graph, self.first, self.second = graph, first, second
-        self.one = {k: overlapping(graph.elements(k), *first) for k in ("node", "edge")}
-        self.two = {k: overlapping(graph.elements(k), *second) for k in ("node", "edge")}
-        self.nodes = element_changes(self.one["node"], self.two["node"])
-        self.edges = element_changes(self.one["edge"], self.two["edge"])
+        self.nodes = changes_within(graph.nodes, meets(*first), meets(*second))
+        self.edges = changes_within(graph.edges, meets(*first), meets(*second))
 
     def changes(self, kind: str) -> DataFrame:
         return self.nodes if kind == "node" else self.edges
@@ -201,10 +198,7 @@ class IntervalDiff:
             *stats("mean_diff", [*basic, ("std", F.stddev_pop)]), *stats("std_diff", basic), *stats("correlation", basic))
 
     def degree_changes(self, direction: str = "both") -> DataFrame:
-        one = degrees(self.one["node"], self.one["edge"], direction).withColumnRenamed("degree", "degree_1")
-        two = degrees(self.two["node"], self.two["edge"], direction).withColumnRenamed("degree", "degree_2")
-        d1, d2 = F.coalesce("degree_1", F.lit(0)), F.coalesce("degree_2", F.lit(0))
-        return one.join(two, "uid", "full_outer").select("uid", d1.alias("degree_1"), d2.alias("degree_2"), (d2 - d1).alias("degree_change"))
+        return degree_changes_within(self.graph.nodes, self.graph.edges, meets(*self.first), meets(*self.second), direction)
 
     def query(self) -> "IntervalDiffQuery":
         return IntervalDiffQuery(self)

@@ -150,6 +150,15 @@ def catalogue(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return owned(nodes, "node").unionByName(owned(edges, "edge"))
 
 
+def catalogue_with(g, columns: dict[str, Column]) -> DataFrame:
+    """The catalogue of a graph with more columns computed from each owner."""
+    def owned(df: DataFrame, kind: str) -> DataFrame:
+        return df.select(F.col("uid").alias("owner"), F.lit(kind).alias("owner_kind"), *[c.alias(n) for n, c in columns.items()],
+                         F.explode("ts_ids").alias("property", "ts_id"))
+
+    return owned(g.nodes, "node").unionByName(owned(g.edges, "edge"))
+
+
 def entity_series(elements: DataFrame, m: DataFrame, prop: str | None = None, start=None, end=None) -> DataFrame:
     """Samples of the series of elements, with a closed time range."""
     owners = elements.select("uid", F.explode("ts_ids").alias("property", "ts_id"))

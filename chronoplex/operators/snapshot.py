@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TemporalGraph
 from .scans import edges_among, with_label
-from .series import catalogue, series_aggregates
-from .temporal import Grid, as_of_grid, overlapping, valid_at, within
+from .series import catalogue, catalogue_with, series_aggregates
+from .temporal import Grid, as_of_grid, is_valid_at, meets, overlapping, valid_at, within
 
 
 @dataclass(frozen=True)
@@ -20,9 +20,18 @@ class Snapshot:
     nodes: DataFrame
     edges: DataFrame
     values: DataFrame | None = None
-    measurements: DataFrame | None = None
+    graph: TemporalGraph | None = None
     at: object = None
     between: tuple | None = None
+    samples: DataFrame | None = None
+
+    @property
+    def measurements(self) -> DataFrame:
+        return self.samples if self.graph is None else self.graph.measurements
+
+    def holds(self) -> Column:
+        """Condition on a row of the graph's tables to be in this snapshot."""
+        return is_valid_at(self.at) if self.between is None else meets(*self.between)
 
     def resolved(self, kind: str = "node") -> DataFrame:
         """Elements with their series values as a map next to the static properties."""
@@ -43,7 +52,7 @@ class Snapshot:
     def with_labels(self, node_label: str) -> "Snapshot":
         """The subgraph of the nodes of a label."""
         nodes = with_label(self.nodes, node_label)
-        return Snapshot(nodes, edges_among(self.edges, nodes), self.values, self.measurements, self.at, self.between)
+        return Snapshot(nodes, edges_among(self.edges, nodes), self.values, None, self.at, self.between, self.measurements)
 
     def density(self, label: str | None = None, directed: bool = True) -> DataFrame:
         from .metrics import density
@@ -75,7 +84,7 @@ def snapshot(g: TemporalGraph, at=None, between: tuple | None = None, mode: str
     pick = (lambda df: valid_at(df, at)) if between is None else (lambda df: overlapping(df, *between))
     nodes, edges = pick(g.nodes), pick(g.edges)
     if mode == "graph":
-        return Snapshot(nodes, edges, at=at, between=between)
+        return Snapshot(nodes, edges, graph=g, at=at, between=between)
     owners = catalogue(nodes, edges)
     inside = within(g.measurements, end=at) if between is None else within(g.measurements, *between)
     if between is None:
@@ -84,7 +93,7 @@ def snapshot(g: TemporalGraph, at=None, between: tuple | None = None, mode: str
         found = series_aggregates(inside, ["ts_id"], [aggregate]).toDF("ts_id", "value")
     else:
         found = inside.select("ts_id", "ts", "value")
-    return Snapshot(nodes, edges, owners.join(found, "ts_id", "left"), g.measurements, at, between)
+    return Snapshot(nodes, edges, owners.join(found, "ts_id", "left"), g, at, between)
 
 
 @dataclass(frozen=True)
@@ -110,7 +119,7 @@ class SnapshotSequence:
 
     def values(self) -> DataFrame:
         """Series values at every step: the last sample at or before it, for owners valid then."""
-        owned = self.grid.expand(catalogue_with_validity(self.graph))
+        owned = self.grid.expand(catalogue_with(self.graph, {c: F.col(c) for c in ("start_time", "end_time")}))
         return self._timed(owned.join(as_of_grid(self.graph.measurements, self.grid), ["ts_id", "step"], "left"))
 
     def window(self, start, end) -> "SnapshotSequence":
@@ -161,11 +170,3 @@ class SnapshotSequence:
         from .evolution import Evolution
 
         return Evolution(self)
-
-
-def catalogue_with_validity(g: TemporalGraph) -> DataFrame:
-    def owned(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(F.col("uid").alias("owner"), F.lit(kind).alias("owner_kind"), "start_time", "end_time",
-                         F.explode("ts_ids").alias("property", "ts_id"))
-
-    return owned(g.nodes, "node").unionByName(owned(g.edges, "edge"))

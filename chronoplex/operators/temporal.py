@@ -47,21 +47,26 @@ def time_column(value) -> Column:
     return value if isinstance(value, Column) else F.timestamp_micros(F.lit(micros(value)))
 
 
-def valid_at(df: DataFrame, at) -> DataFrame:
-    """Elements valid at a moment; both ends are closed and NULL is open."""
+def is_valid_at(at) -> Column:
+    """Valid at a moment: both ends are closed and NULL is open."""
     t = time_column(at)
-    return df.filter(
-        (F.col("start_time").isNull() | (F.col("start_time") <= t))
-        & (F.col("end_time").isNull() | (F.col("end_time") >= t))
-    )
+    started = F.col("start_time").isNull() | (F.col("start_time") <= t)
+    return started & (F.col("end_time").isNull() | (F.col("end_time") >= t))
 
 
-def overlapping(df: DataFrame, start, end) -> DataFrame:
+def meets(start, end) -> Column:
+    """Valid somewhere in a closed interval."""
     a, b = time_column(start), time_column(end)
-    return df.filter(
-        (F.col("start_time").isNull() | (F.col("start_time") <= b))
-        & (F.col("end_time").isNull() | (F.col("end_time") >= a))
-    )
+    started = F.col("start_time").isNull() | (F.col("start_time") <= b)
+    return started & (F.col("end_time").isNull() | (F.col("end_time") >= a))
+
+
+def valid_at(df: DataFrame, at) -> DataFrame:
+    return df.filter(is_valid_at(at))
+
+
+def overlapping(df: DataFrame, start, end) -> DataFrame:
+    return df.filter(meets(start, end))
 
 
 def within(df: DataFrame, start=None, end=None, column: str = "ts", closed_end: bool = True) -> DataFrame:

@@ -124,6 +124,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ())
         left = cut(kept.join(found, [*keys, "uid"], "left_anti"))
         if left.isEmpty():
             break
+        rest = same  # no component spans two labels
     result = done[0]
     for part in done[1:]:
         result = result.unionByName(part)
