@@ -214,3 +214,69 @@ def _(spark, d):
 def _(spark, d):
     n = promote(order_graph(spark, d).nodes, {"acctbal": "double", "nationkey": "int"})
     return n.filter("acctbal BETWEEN 100 AND 900").select("uid", "acctbal", "nationkey")
+
+
+# files: written from the tables, read back by the readers ------------------------------------------
+def _folder(spark):
+    import uuid
+
+    from ..plans.lineage import scratch_root
+
+    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+_GRAPH_SUMS = """
+SELECT 'node' AS part, count(*) AS n, round(sum(acctbal), 2) AS total FROM u_nodes UNION ALL SELECT 'edge', count(*), round(sum(weight), 2) FROM peers
+UNION ALL SELECT 'sample', count(*), round(sum(value), 2) FROM days"""
+
+
+def _sums(g):
+    number = lambda c: F.col("props")[c].cast("double")
+    part = lambda df, name, x: df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 2).alias("total")).select(F.lit(name).alias("part"), "n", "total")
+    return part(g.nodes, "node", number("acctbal")).unionByName(part(g.edges, "edge", number("weight"))).unionByName(part(g.measurements, "sample", F.col("value")))
+
+
+@query("io16_parquet_graph", _GRAPH_SUMS)
+def _(spark, d):
+    from ..sources.writers import read_graph, write_graph
+
+    root = _folder(spark)
+    write_graph(signal_graph(spark, d), root)
+    return _sums(read_graph(spark, root))
+
+
+@query("io4_io15_csv_graph", _GRAPH_SUMS)
+def _(spark, d):
+    g, root = signal_graph(spark, d), _folder(spark)
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    nodes = g.nodes.select(F.col("uid").alias("id"), F.col("props")["acctbal"].alias("acctbal"), text("start_time").alias("start_time"), *[F.col("ts_ids")[k].alias(f"{k}_ts_id") for k in kinds])
+    nodes.write.csv(f"{root}/nodes/User.csv", header=True)
+    g.edges.select(F.col("src").alias("start_id"), F.col("dst").alias("end_id"), F.col("props")["weight"].alias("weight")).write.csv(f"{root}/edges/Peer.csv", header=True)
+    g.measurements.select("ts_id", "variable", text("ts").alias("timestamp"), "value").write.csv(f"{root}/measurements.csv", header=True)
+    return _sums(readers.read_csv_graph(spark, root, ["User"], ["Peer"]))
+
+
+@query("io1_io15_json_graph", _GRAPH_SUMS)
+def _(spark, d):
+    g, root = signal_graph(spark, d), _folder(spark)
+    points = entity_series(g.nodes, g.measurements).groupBy("uid", "property").agg(
+        F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start"), "value")).alias("p"))  # at most one per day
+    series = points.groupBy("uid").pivot("property", ["click", "error", "purchase", "signup", "view"]).agg(F.first("p"))
+    nodes = g.nodes.join(series, "uid").select(F.col("uid").alias("user"), F.col("props")["acctbal"].alias("acctbal"), F.struct("click", "error", "purchase", "signup", "view").alias("ts"))
+    nodes.write.json(f"{root}/nodes/User.json")
+    ghosts = g.edges.withColumn("dst", F.concat(F.lit("ghost"), "dst"))
+    g.edges.unionByName(ghosts).select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("props")["weight"].alias("weight")).write.json(f"{root}/edges/Peer.json")
+    return _sums(readers.read_json_graph(spark, root, ["User"], ["Peer"], node_fields={"id": ("user",)}, multi_line=False))
+
+
+@query("x2_saved_subgraphs", """
+SELECT 'rich' AS subgraph, count(*) AS n_nodes FROM u_nodes WHERE acctbal > 5000 UNION ALL SELECT 'low_nations', count(*) FROM u_nodes WHERE nationkey < 5""")
+def _(spark, d):
+    from ..operators import subgraph as sub
+
+    g, root = signal_graph(spark, d), _folder(spark)
+    q = g.query().nodes("User")
+    sub.save_members(q.where_static("acctbal", ">", 5000).ids(), root, "rich")
+    sub.save_members(q.where_static("nationkey", "<", 5).ids(), root, "low_nations")
+    return sub.list_subgraphs(spark, root)

@@ -322,3 +322,13 @@ def _(spark, d):
 @query("k6_timeline", f"WITH {_TWO} SELECT uid, strftime(t, '%Y-%m-%d %H:%M:%S') AS transition_ts FROM ad")
 def _(spark, d):
     return _two(spark, d).propagation().timeline().withColumn("transition_ts", day_text("transition_ts"))
+
+
+@query("u16_export", "SELECT uid, strftime(ts, '%Y-%m-%d %H:%M:%S') AS snap_ts, round(value, 6) AS view FROM days WHERE variable = 'view' AND value <> 0 AND ts <= TIMESTAMP '2024-01-10'")
+def _(spark, d):
+    return _views(spark, d).export().select("uid", day_text("snap_ts").alias("snap_ts"), r6("view").alias("view"))
+
+
+@query("u16_component_members", f"{_REACH} SELECT step, comp, uid FROM comp")
+def _(spark, d):
+    return _views(spark, d).component_members().select("step", "comp", "uid")

@@ -223,3 +223,20 @@ def _(spark, d):
 @query("p8_discords", f"{_NEIGHBOURS} SELECT ts_id, round(max(d), 6) AS distance FROM nn GROUP BY ts_id")
 def _(spark, d):
     return P.discords(_views(spark, d), 4, top_k=1).select("ts_id", r6("distance").alias("distance"))
+
+
+@query("f8_pattern_matches", f"""
+WITH {_distances('peak')}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY d, idx) AS k FROM dist)
+SELECT 'U' || split_part(ts_id, '_', 3) AS uid, idx, round(d, 6) AS distance FROM r WHERE k = 1 AND ts_id LIKE 'ts_view_%' AND 'U' || split_part(ts_id, '_', 3) IN (SELECT uid FROM u_nodes WHERE acctbal > 2000)""")
+def _(spark, d):
+    q = _users(spark, d).query().nodes("User").where_static("acctbal", ">", 2000)
+    return q.pattern_matches("view", "peak", top_k=1).select("uid", "idx", r6("distance").alias("distance"))
+
+
+@query("p4_match_summary", f"""
+WITH {_distances('increasing')}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY d, idx) AS k FROM dist), sp AS (SELECT ts_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM days GROUP BY ts_id)
+SELECT r.ts_id, 1::BIGINT AS frequency, round(d, 6) AS best_distance, round(1 / days, 6) AS per_day FROM r JOIN sp ON sp.ts_id = r.ts_id WHERE k = 1""")
+def _(spark, d):
+    m = _users(spark, d).measurements
+    s = P.match_summary(P.find_pattern(m, "increasing", top_k=1), m)
+    return s.select("ts_id", "frequency", r6("best_distance").alias("best_distance"), r6("per_day").alias("per_day"))
