@@ -59,14 +59,13 @@ def _(spark, d):
 
 @query("io9_adjacency", """
 SELECT n1::VARCHAR AS src, n2::VARCHAR AS dst, count(*)::DOUBLE AS weight FROM (SELECT a.s_nationkey AS n1, c_nationkey AS n2 FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey)
-WHERE n1 <> n2 AND n1 > 2 GROUP BY n1, n2""")
+WHERE n1 <> n2 GROUP BY n1, n2""")
 def _(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     flows = (l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, c.c_custkey == o.o_custkey))
     matrix = flows.groupBy("s_nationkey").agg(*[F.count_if(F.col("c_nationkey") == i).alias(str(i)) for i in range(25)])
-    edges = X.adjacency_to_edges(matrix, "s_nationkey")
-    return edges.filter(F.col("src").cast("int") > 2).select("src", "dst", "weight")
+    return X.adjacency_to_edges(matrix, "s_nationkey").select("src", "dst", "weight")
 
 
 @query("io10_locations", "SELECT uid, coalesce(CASE WHEN k % 2 = 0 THEN acctbal END, 0) AS lat, coalesce(CASE WHEN k % 2 = 0 THEN nationkey::DOUBLE END, 0) AS lon FROM u_nodes")

@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 _EDITED = """
-p1 AS (SELECT uid, nationkey::VARCHAR AS nation, acctbal AS bal FROM n1), p2 AS (SELECT uid, CASE WHEN nationkey = 3 THEN NULL ELSE nationkey::VARCHAR END AS nation, CASE WHEN nationkey < 5 THEN 10.5 ELSE acctbal END AS bal,
+p1 AS (SELECT uid, nationkey::VARCHAR AS nation, acctbal AS bal, segment FROM n1), p2 AS (SELECT uid, CASE WHEN nationkey = 3 THEN NULL ELSE nationkey::VARCHAR END AS nation, CASE WHEN nationkey < 5 THEN 10.5 ELSE acctbal END AS bal,
   CASE WHEN nationkey = 7 THEN 'yes' END AS vip FROM n2)"""
 
 
@@ -69,12 +69,13 @@ _PROPS = f"""
 WITH {_SIDES}, {_EDITED}, rows AS (
   SELECT uid, 'nationkey' AS property, p1.nation AS old, p2.nation AS new, CASE WHEN p2.nation IS NULL THEN 'removed' ELSE 'persistent' END AS change, NULL::DOUBLE AS delta FROM p1 JOIN p2 USING (uid)
   UNION ALL SELECT uid, 'acctbal', p1.bal::VARCHAR, p2.bal::VARCHAR, CASE WHEN p1.bal = p2.bal THEN 'persistent' ELSE 'changed' END, CASE WHEN p1.bal <> p2.bal THEN p2.bal - p1.bal END FROM p1 JOIN p2 USING (uid)
+  UNION ALL SELECT uid, 'segment', p1.segment, p1.segment, 'persistent', NULL FROM p1 JOIN p2 USING (uid) WHERE p1.segment IS NOT NULL
   UNION ALL SELECT uid, 'vip', NULL, vip, 'added', NULL FROM p1 JOIN p2 USING (uid) WHERE vip IS NOT NULL)"""
 
 
 @query("d4_property_changes", f"{_PROPS} SELECT uid, property, change, round(delta, 6) AS delta FROM rows")
 def _(spark, d):
-    p = _edited(spark, d).property_changes("node").filter("property <> 'segment'")
+    p = _edited(spark, d).property_changes("node")
     return p.select("uid", "property", "change", r6("delta").alias("delta"))
 
 

@@ -103,9 +103,14 @@ def _(spark, d):
     return _views(spark, d).lifecycle().select("step", "comp", "size", "event")
 
 
-@query("u12_lifecycle_relations")
-def _(spark, d):
-    return _views(spark, d).lifecycle_relations()
+@query("u12_lifecycle_relations", f"""
+{_REACH}, lo AS (SELECT lk.*, n_in, n_out FROM lk JOIN inn ON inn.k = lk.k AND inn.comp = lk.comp JOIN ot ON ot.k = lk.k - 1 AND ot.comp = lk.parent),
+ids(k, comp, id) AS (SELECT sz.k, sz.comp, 'C_' || sz.step || '_' || sz.comp FROM sz WHERE NOT EXISTS (SELECT 1 FROM lo WHERE lo.k = sz.k AND lo.comp = sz.comp AND n_in = 1 AND n_out = 1)
+  UNION ALL SELECT lo.k, lo.comp, ids.id FROM ids JOIN lo ON lo.k = ids.k + 1 AND lo.parent = ids.comp AND n_in = 1 AND n_out = 1),
+rel AS (SELECT cs.step, c.id AS child, p.id AS parent, n_in, n_out FROM lo JOIN cs ON cs.k = lo.k JOIN ids c ON c.k = lo.k AND c.comp = lo.comp JOIN ids p ON p.k = lo.k - 1 AND p.comp = lo.parent)
+SELECT step, child AS component_id, 'parent' AS role, parent AS related_id FROM rel WHERE n_in >= 2 OR n_out = 1 UNION ALL SELECT step, parent, 'child', child FROM rel WHERE n_out > 1""")
+def _(spark, d):
+    return _views(spark, d).lifecycle_relations().drop("snap_ts")
 
 
 @query("u13_structural_transitions", f"""
