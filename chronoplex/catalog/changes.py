@@ -209,7 +209,7 @@ def _(spark, d):
     return computed.select("uid", M.get_computed("side").alias("side"))
 
 
-@query("promoted_properties", "SELECT uid, acctbal, nationkey FROM o_nodes WHERE acctbal BETWEEN 100 AND 900")
+@query("s7_promoted_properties", "SELECT uid, acctbal, nationkey FROM o_nodes WHERE acctbal BETWEEN 100 AND 900")
 def _(spark, d):
     n = promote(order_graph(spark, d).nodes, {"acctbal": "double", "nationkey": "int"})
     return n.filter("acctbal BETWEEN 100 AND 900").select("uid", "acctbal", "nationkey")

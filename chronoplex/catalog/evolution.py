@@ -376,14 +376,14 @@ def _(spark, d):
     return _series(_month(spark, d).tsgen().entity_degree("S3", "out"))
 
 
-@query("t13_metric_request", f"""
+@query("t12_t13_metric_request", f"""
 WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, 'node_degree_max_Customer' AS metric, max(k)::DOUBLE AS value FROM deg WHERE step BETWEEN 5 AND 9 GROUP BY step""")
 def _(spark, d):
     t = _month(spark, d).tsgen().window("1996-01-06", "1996-01-10").compute("node", "degree", "max", label="Customer")
     return t.select((F.col("step") + 5).alias("step"), "metric", "value")
 
 
-@query("t14_t15_saved_series", f"""
+@query("t14_t15_m9_saved_series", f"""
 SELECT 'ts_load_' || n.uid AS ts_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS ts, v.value FROM month_grid
 JOIN (SELECT step, count(e.uid)::DOUBLE AS value FROM month_grid LEFT JOIN o_edges e ON {_valid('e')} GROUP BY step) v USING (step)
 CROSS JOIN (SELECT uid FROM o_nodes WHERE label = 'Supplier') n""")

@@ -98,23 +98,23 @@ WITH xy AS (SELECT p.src AS a, p.dst AS b, x.value AS x, y.value AS y, x.idx AS
 st AS (SELECT a, b, count(*) AS k, CASE WHEN count(*) >= 2 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN corr(x, y) END AS r, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM xy GROUP BY a, b)"""
 
 
-def _relation(name: str, test: str, shift: int = 0, **options):
+def _relation(row: str, name: str, test: str, shift: int = 0, **options):
     sql = f"{_PAIRS.format(shift=shift, up=max(shift, 0))} SELECT a, b FROM st WHERE k >= 2 AND ({test})"
 
-    @query(f"r_series_{name}", sql)
+    @query(f"{row}_series_{name}", sql)
     def run(spark, d):
         m = _users(spark, d).match().edge("a", "e", "b", "Peer").where_series("a.view", name, "b.view", **options)
         return m.run().select("a", "b").distinct()
 
 
-_relation("correlates", "r >= 0.3", threshold=0.3)
-_relation("anti_correlates", "r <= -0.3", threshold=0.3)
-_relation("diverges_from", "abs(coalesce(r, 0)) < 0.2", threshold=0.2)
-_relation("similar_to", "abs(mx - my) / abs(my) <= 0.3 AND abs(sx - sy) / abs(sy) <= 0.3", threshold=0.3)
-_relation("leads", "r >= 0.4", shift=2, threshold=0.4, lag=2)
-_relation("lags", "r >= 0.4", shift=-2, threshold=0.4, lag=2)
-_relation("more_volatile", "sx > sy")
-_relation("more_stable", "sx < sy")
+_relation("r10", "correlates", "r >= 0.3", threshold=0.3)
+_relation("r10", "anti_correlates", "r <= -0.3", threshold=0.3)
+_relation("r10", "diverges_from", "abs(coalesce(r, 0)) < 0.2", threshold=0.2)
+_relation("r11", "similar_to", "abs(mx - my) / abs(my) <= 0.3 AND abs(sx - sy) / abs(sy) <= 0.3", threshold=0.3)
+_relation("r12", "leads", "r >= 0.4", shift=2, threshold=0.4, lag=2)
+_relation("r12", "lags", "r >= 0.4", shift=-2, threshold=0.4, lag=2)
+_relation("r13", "more_volatile", "sx > sy")
+_relation("r13", "more_stable", "sx < sy")
 
 
 @query("r14_contains_pattern_from", """

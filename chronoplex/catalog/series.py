@@ -20,7 +20,7 @@ def _days(spark, d):
     return signal_graph(spark, d).measurements
 
 
-@query("a1_a3_a4_basic_aggregates", """
+@query("a1_a3_a4_a16_basic_aggregates", """
 SELECT ts_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max,
        round(sum(value), 6) AS sum, count(*)::DOUBLE AS count, arg_min(value, ts) AS first, arg_max(value, ts) AS last
 FROM samples GROUP BY ts_id""")

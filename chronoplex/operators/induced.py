@@ -210,7 +210,7 @@ class InducedGraph:
             "uid", self.grid.time(F.col("step")).alias("first_ts"))
 
     def members_at_changes(self) -> DataFrame:
-        return self._once("changed_members", lambda: self.membership().join(self.change_steps().select("run", "step", "k"), "step"))
+        return self.membership().join(self.change_steps().select("run", "step", "k"), "step")
 
     # structure -----------------------------------------------------------------------------------
     def adjacency(self) -> DataFrame:
@@ -229,7 +229,7 @@ class InducedGraph:
     def components(self) -> DataFrame:
         """``run, k, step, uid, comp`` at every change step."""
         def make():
-            comps = weak_components(self.members_at_changes().select("step", "uid"), self.edges(), ["step"])
+            comps = weak_components(self.members_at_changes().select("step", "uid"), self.edges(), ["step"], edges_inside=True)
             return comps.join(self.change_steps(), "step").select("run", "k", "step", "uid", "comp")
         return self._once("components", make)
 

@@ -20,19 +20,19 @@ def _signature(edges: DataFrame, cols: list[str]):
     return edges.agg(F.count(F.lit(1)), F.sum(h)).first()
 
 
-def weak_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
+def weak_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = (), edges_inside: bool = False) -> DataFrame:
     """``keys, uid, comp`` with ``comp`` the smallest uid of the weakly connected component.
 
     Alternates two contractions until the edges form stars around the smallest node: link larger
     neighbours to the smallest one, then link smaller neighbours to it. Edge count never grows and
     the number of rounds is logarithmic. Each contraction aggregates before it joins, so a node
     with very many edges costs one row per partition, and AQE splits its join partition.
-    Edges whose ends are not in ``nodes`` do not connect.
+    Edges whose ends are not in ``nodes`` do not connect; ``edges_inside`` says that there are none.
     """
     keys = list(keys)
     ids = nodes.select(*keys, "uid").distinct()
     inside = edges.select(*keys, "src", "dst").filter(F.col("src") != F.col("dst"))
-    for end in ("src", "dst"):
+    for end in () if edges_inside else ("src", "dst"):
         inside = inside.join(ids.withColumnRenamed("uid", end), [*keys, end], "left_semi")
     links = cut(inside.select(*keys, F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     before = None
