@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .simhash import simhash_components
 from .url_filters import filter_urls
 
 LLM_QUERIES: dict = {}
@@ -91,3 +92,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op6_simhash_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words_per_shingle=3, threshold=2)
