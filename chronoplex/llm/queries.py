@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .packing import pack
 from .simhash import simhash_components
 from .url_filters import filter_urls
 
@@ -97,3 +99,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words_per_shingle=3, threshold=2)
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False).drop("ids")
