@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def _runs(largest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 continue
             fresh = np.ones(len(now), dtype=bool)
             fresh[0] = text is None or not texts[0].as_buffer().equals(text.as_buffer())
-            fresh[1:] = pa.compute.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)
+            fresh[1:] = pc.not_equal(texts[1:], texts[:-1]).to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(fresh)
             if not len(starts):
                 ids.append(now)

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,17 +144,17 @@ def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.n
     may hold a special token are left alone.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
-    split = pa.compute.ascii_split_whitespace(texts)
+    split = pc.ascii_split_whitespace(texts)
     offsets = split.offsets.to_numpy()
     words = split.flatten()
     # splitting leaves an empty word where a text begins or ends with white space
     coded = words.dictionary_encode()
     codes, distinct = coded.indices.to_numpy(), coded.dictionary
-    plain = pa.compute.invert(pa.compute.match_substring(distinct, "<"))
-    low = pa.compute.if_else(plain, pa.compute.ascii_lower(distinct), distinct)
-    stem = pa.compute.ascii_rtrim(low, TAIL)
-    splits = pa.compute.and_(plain, pa.compute.match_substring_regex(stem, "[a-z0-9]$"))
-    stem = pa.compute.if_else(splits, stem, low)
+    plain = pc.invert(pc.match_substring(distinct, "<"))
+    low = pc.if_else(plain, pc.ascii_lower(distinct), distinct)
+    stem = pc.ascii_rtrim(low, TAIL)
+    splits = pc.and_(plain, pc.match_substring_regex(stem, "[a-z0-9]$"))
+    stem = pc.if_else(splits, stem, low)
     rest = [w[len(s):] if len(s) < len(w) else "" for w, s in zip(low.to_pylist(), stem.to_pylist())]
     parts = pa.concat_arrays([stem, pa.array(rest, type=pa.large_string())]).dictionary_encode()
     flat, n = _word_ids(parts.dictionary.to_pylist(), path)

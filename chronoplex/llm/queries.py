@@ -10,6 +10,7 @@ from .chat import format_chats, read_chats
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .packing import pack
+from .quality import classify_quality
 from .simhash import simhash_components
 from .url_filters import filter_urls
 
@@ -104,3 +105,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False).drop("ids")
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

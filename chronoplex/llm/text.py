@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ class Words:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each; a longer text is a run of its own."""
-    size = np.frombuffer(pa.compute.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
+    size = np.frombuffer(pc.binary_length(batch.column(column)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), dtype=np.int64)
     at = 0
     total = np.cumsum(size)
     while at < batch.num_rows:
