@@ -12,6 +12,7 @@ from .line_dedup import line_dedup
 from .packing import pack
 from .quality import classify_quality
 from .simhash import simhash_components
+from .toxicity import classify_toxicity
 from .url_filters import filter_urls
 
 LLM_QUERIES: dict = {}
@@ -110,3 +111,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
