@@ -126,7 +126,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep:
     return inner.unionByName(outer)
 
 
-def kept_documents(docs: DataFrame, decided: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose identifier has a kept row in ``decided``; for tables with unique identifiers."""
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+def kept_documents(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each kept row of ``decided`` (made by :func:`exact_dedup` without ``normalize``), with all columns."""
+    kept = decided.filter("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_digest"))
+    rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    found = rows.join(kept, F.col(key).eqNullSafe(F.col("_kept")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    return found.dropDuplicates([key, "_own"]).select(*docs.columns)

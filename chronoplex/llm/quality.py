@@ -217,3 +217,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, hel
     scored = score_quality(docs, fit_quality(docs, labels, "quality", folds, held_out, per_class))
     return scored.select("doc_id", F.coalesce(crc_fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as in score_quality
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in pieces(batch, "text"):
+                chars = pc.fill_null(some.column("n_chars").cast(pa.float64()), 0.0) if "n_chars" in some.schema.names else pa.array(np.zeros(some.num_rows))
+                f = features(some.column("text"), chars.to_numpy(zero_copy_only=False))
+                yield some.filter(pa.array(sent.value.score(f) >= threshold))
+
+    return docs.mapInArrow(stream, docs.schema)
