@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .language_model import score_documents
 from .line_dedup import line_dedup
 from .packing import pack
 from .quality import classify_quality
@@ -122,3 +123,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
