@@ -124,7 +124,7 @@ def train(f: Features, labels: np.ndarray, seed: int = 11) -> FactorisationMachi
     width = BUCKETS + k
     model = FactorisationMachine(0.0, np.zeros(width, np.float32), np.zeros((width, RANK), np.float32), np.zeros(k, np.float32), np.ones(k, np.float32))
     ones = labels.mean() if len(labels) else 0.5
-    if not 0 < ones < 1:
+    if not len(labels) or not 0 < ones < 1:
         model.bias = float(np.clip(2 * ones - 1, -1, 1) * 4)
         return model
     model.centre = f.statistics.mean(axis=0)
