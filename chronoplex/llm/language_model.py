@@ -27,7 +27,7 @@ from .text import Words, crc_fold, mix, pieces
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a chunk, and about how many entries a shard has.
-CHUNK_TOKENS, SHARD_ENTRIES = 2_000_000, 1_000_000
+CHUNK_TOKENS, SHARD_ENTRIES = 1_000_000, 1_000_000
 #: Hashes of the marks before and after a text; no word has them but by chance.
 BEGIN, END = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
