@@ -9,7 +9,7 @@ from ..model import validate
 from ..operators import mutate as M
 from ..operators.series import entity_series
 from ..sources import matrices as X, readers
-from ..sources.warehouse import empty_map, order_graph, signal_graph, table
+from ..sources.warehouse import EVENT_SCHEMA, ORDER_SCHEMA, empty_map, order_graph, signal_graph, table
 from .registry import day_text, query, r6
 
 
@@ -279,3 +279,44 @@ def _(spark, d):
     sub.save_members(q.where_static("acctbal", ">", 5000).ids(), root, "rich")
     sub.save_members(q.where_static("nationkey", "<", 5).ids(), root, "low_nations")
     return sub.list_subgraphs(spark, root)
+
+
+@query("io12_io13_last_of_a_batch", """
+WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, * FROM events)
+SELECT 'ts_' || event_type || '_' || user_id AS ts_id, strftime(day, '%Y-%m-%d %H:%M:%S') AS ts, round(arg_max(value, event_id), 6) AS value
+FROM d GROUP BY event_type, user_id, day""")
+def _(spark, d):
+    events = table(spark, d, "events", EVENT_SCHEMA)
+    new = events.select(F.concat(F.lit("ts_"), "event_type", F.lit("_"), "user_id").alias("ts_id"), F.col("event_type").alias("variable"),
+                        F.date_trunc("day", "ts").alias("ts"), "value", "event_id")
+    m = M.upsert_samples(signal_graph(spark, d).measurements, new, order="event_id")
+    return m.select("ts_id", day_text("ts").alias("ts"), r6("value").alias("value"))
+
+
+@query("m3_m5_changes_with_duplicates", """
+WITH last AS (SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS k, arg_max(o_orderdate, (o_orderdate, o_orderkey)) AS e FROM orders GROUP BY o_custkey)
+SELECT uid, k::VARCHAR AS last_order, strftime(e, '%Y-%m-%d %H:%M:%S') AS end_time FROM o_nodes JOIN last ON uid = 'C' || o_custkey""")
+def _(spark, d):
+    orders = table(spark, d, "orders", ORDER_SCHEMA)
+    rows = orders.select(F.concat(F.lit("C"), "o_custkey").alias("uid"), F.create_map(F.lit("last_order"), F.col("o_orderkey").cast("string")).alias("props"),
+                         F.lit(None).cast("timestamp").alias("start_time"), F.col("o_orderdate").alias("end_time"), F.struct("o_orderdate", "o_orderkey").alias("arrival"))
+    nodes = M.set_properties(order_graph(spark, d).nodes, rows.select("uid", "props", "arrival"), order="arrival")
+    nodes = M.change_validity(nodes, rows.drop("props"), order="arrival")
+    return nodes.filter(F.col("props")["last_order"].isNotNull()).select("uid", F.col("props")["last_order"].alias("last_order"), day_text("end_time").alias("end_time"))
+
+
+@query("m10_append_in_batch_order", """
+WITH l AS (SELECT 'ts_' || event_type || '_' || user_id AS ts_id, max(date_trunc('day', ts)) AS t FROM events GROUP BY 1),
+new AS (SELECT 'ts_' || event_type || '_' || user_id AS ts_id, ts + INTERVAL 15 DAY AS ts, event_id FROM events),
+seen AS (SELECT *, max(ts) OVER (PARTITION BY ts_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM new)
+SELECT ts_id, count(*) FILTER (WHERE seen.ts > t AND (b IS NULL OR seen.ts > b)) AS appended,
+       count(*) FILTER (WHERE NOT (seen.ts > t AND (b IS NULL OR seen.ts > b))) AS rejected FROM seen JOIN l USING (ts_id) GROUP BY ts_id""")
+def _(spark, d):
+    m = signal_graph(spark, d).measurements
+    events = table(spark, d, "events", EVENT_SCHEMA)
+    new = events.select(F.concat(F.lit("ts_"), "event_type", F.lit("_"), "user_id").alias("ts_id"), F.col("event_type").alias("variable"),
+                        (F.col("ts") + F.expr("INTERVAL 15 DAYS")).alias("ts"), "value", "event_id")
+    longer, late = M.append_samples(m, new, order="event_id")
+    size = lambda df, name: df.groupBy("ts_id").agg(F.count(F.lit(1)).alias(name))
+    grown = size(longer, "after").join(size(m, "before"), "ts_id").join(size(late, "rejected"), "ts_id", "left")
+    return grown.select("ts_id", (F.col("after") - F.col("before")).alias("appended"), F.coalesce("rejected", F.lit(0)).cast("long").alias("rejected"))

@@ -21,12 +21,14 @@ MAX_ID, MAX_LABEL = 255, 100
 class TemporalGraph:
     """Nodes and edges with validity, properties and series references, plus the samples of all series.
 
-    A node or edge that *is* a series has no properties and one entry in ``ts_ids``.
+    A node or edge that *is* a series has no properties and one entry in ``ts_ids``. ``named_series`` says that the samples of
+    series property p carry p as their variable, so that scans of one property can skip all others.
     """
 
     nodes: DataFrame
     edges: DataFrame
     measurements: DataFrame
+    named_series: bool = False
 
     @property
     def spark(self):
@@ -40,6 +42,10 @@ class TemporalGraph:
             raise ValueError("kind is 'node' or 'edge'")
         return self.nodes if kind == "node" else self.edges
 
+    def samples_of(self, *properties: str) -> DataFrame:
+        """The measurements that can belong to these series properties."""
+        return self.measurements.filter(F.col("variable").isin(*properties)) if self.named_series and properties else self.measurements
+
     def add_property_columns(self, nodes: dict[str, str] | None = None, edges: dict[str, str] | None = None):
         from .functions.values import promote
 

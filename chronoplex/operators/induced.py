@@ -153,7 +153,7 @@ class InducedGraph:
         names, statics = self.predicate.series, self.predicate.statics
         fixed = [F.col("props").getItem(s).try_cast("double").alias(s) for s in statics]
         owners = self.nodes().select("uid", F.explode("ts_ids").alias("property", "ts_id"), *fixed).filter(F.col("property").isin(names))
-        samples = within(self.graph.measurements, *self._reach())
+        samples = within(self.graph.samples_of(*names), *self._reach())
         if self.zero_is_missing:
             samples = samples.filter(F.col("value") != 0)
         offset = F.unix_micros("ts") - F.unix_micros(time_column(self.grid.start))

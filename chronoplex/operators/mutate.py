@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import TemporalGraph, validate
@@ -13,23 +13,32 @@ from .temporal import time_column
 SAMPLE_KEY = ["ts_id", "variable", "ts"]
 
 
-def latest_samples(m: DataFrame, order: str) -> DataFrame:
-    """One row per ``ts_id, variable, ts``: the one that comes last in ``order``."""
-    return m.groupBy(*SAMPLE_KEY).agg(F.max_by("value", order).alias("value"))
+def _last_of(changes: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row per key: the last in ``order``; without an order, or at a tie, the greatest by its other columns.
+
+    A batch may hold a key several times; the choice must not depend on how its rows are spread. Maps do not sort, so they
+    are compared as sorted entries.
+    """
+    kinds = dict(changes.dtypes)
+    rest = [c for c in changes.columns if c not in keys and c != order]
+    sortable = lambda c: F.array_sort(F.map_entries(c)) if kinds[c].startswith("map<") else F.col(c)
+    rank = F.struct(*([F.col(order)] if order else []), *(sortable(c).alias(f"_{i}") for i, c in enumerate(rest)))
+    best = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("_row")) if rest else changes.select(*keys).distinct()
+    return best.select(*keys, *(f"_row.{c}" for c in rest))
 
 
-def upsert_samples(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge samples by ``ts_id, variable, ts``; new values replace old ones.
+def upsert_samples(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge samples by ``ts_id, variable, ts``; new values replace old ones, the last of a key in ``order`` wins.
 
     Old rows pass through an anti join, which does not move them when the new ones are few.
     """
-    new = new.select(*SAMPLE_KEY, "value").dropDuplicates(SAMPLE_KEY)
+    new = _last_of(new.select(*SAMPLE_KEY, "value", *([order] if order else [])), SAMPLE_KEY, order)
     return old.select(*SAMPLE_KEY, "value").join(new, SAMPLE_KEY, "left_anti").unionByName(new)
 
 
-def upsert_elements(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Merge elements by uid; a new row replaces the old one whole."""
-    new = new.select(*old.columns).dropDuplicates(["uid"])
+def upsert_elements(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Merge elements by uid; a new row replaces the old one whole, the last of a uid in ``order`` wins."""
+    new = _last_of(new.select(*old.columns, *([order] if order else [])), ["uid"], order)
     return old.join(new.select("uid"), "uid", "left_anti").select(*old.columns).unionByName(new)
 
 
@@ -78,9 +87,9 @@ def flatten_series(wide: DataFrame, variables: list[str]) -> DataFrame:
     return steps.withColumn("c", F.explode(cells)).select("ts_id", "c.variable", "ts", "c.value")
 
 
-def set_properties(elements: DataFrame, changes: DataFrame, mode: str = "merge") -> DataFrame:
-    """``changes`` has ``uid, props``; merge into the properties or replace them."""
-    new = changes.select("uid", F.col("props").alias("_new"))
+def set_properties(elements: DataFrame, changes: DataFrame, mode: str = "merge", order: str | None = None) -> DataFrame:
+    """``changes`` has ``uid, props``; merge into the properties or replace them. Of several rows of a uid the last in ``order`` counts."""
+    new = _last_of(changes.select("uid", "props", *([order] if order else [])), ["uid"], order).withColumnRenamed("props", "_new")
     keep = F.map_filter("props", lambda k, v: ~F.array_contains(F.map_keys("_new"), k)) if mode == "merge" else None
     merged = F.map_concat(keep, F.col("_new")) if mode == "merge" else F.col("_new")
     return elements.join(new, "uid", "left").withColumn("props", F.when(F.col("_new").isNull(), F.col("props")).otherwise(merged)).drop("_new")
@@ -93,9 +102,9 @@ def add_series(g: TemporalGraph, kind: str, series: DataFrame) -> TemporalGraph:
     return g.with_(**{f"{kind}s": changed}, measurements=upsert_samples(g.measurements, _samples_of(known)))
 
 
-def change_validity(elements: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes`` has ``uid, start_time, end_time``; a NULL leaves that end as it is."""
-    new = changes.select("uid", F.col("start_time").alias("_s"), F.col("end_time").alias("_e"))
+def change_validity(elements: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """``changes`` has ``uid, start_time, end_time``; a NULL leaves that end as it is. Of several rows of a uid the last in ``order`` counts."""
+    new = _last_of(changes.select("uid", "start_time", "end_time", *([order] if order else [])), ["uid"], order).toDF("uid", "_s", "_e")
     return elements.join(new, "uid", "left").withColumns({
         "start_time": F.coalesce("_s", "start_time"), "end_time": F.coalesce("_e", "end_time")}).drop("_s", "_e")
 
@@ -129,7 +138,7 @@ def delete_edges(g: TemporalGraph, ids: DataFrame) -> TemporalGraph:
 def _drop_samples(g: TemporalGraph, nodes: DataFrame, edges: DataFrame) -> TemporalGraph:
     ids = lambda n, e: n.select(F.explode(F.map_values("ts_ids")).alias("ts_id")).unionByName(e.select(F.explode(F.map_values("ts_ids")).alias("ts_id"))).distinct()
     lost = ids(g.nodes, g.edges).join(ids(nodes, edges), "ts_id", "left_anti")
-    return TemporalGraph(nodes, edges, g.measurements.join(lost, "ts_id", "left_anti"))
+    return g.with_(nodes=nodes, edges=edges, measurements=g.measurements.join(lost, "ts_id", "left_anti"))
 
 
 def delete_samples(m: DataFrame, ids: list[str] | None = None, variables: list[str] | None = None, start=None, end=None) -> DataFrame:
@@ -158,17 +167,26 @@ def attach_graph_series(g: TemporalGraph, points: DataFrame, variable: str, owne
     return g.with_(measurements=upsert_samples(g.measurements, _samples_of(rows)))
 
 
-def append_samples(m: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Append samples later than the last one of their series; earlier ones come back as rejects."""
-    last = m.groupBy("ts_id", "variable").agg(F.max("ts").alias("_last"))
-    checked = new.join(last, ["ts_id", "variable"], "left")
-    late = F.col("_last").isNull() | (F.col("ts") > F.col("_last"))
-    return m.unionByName(checked.filter(late).drop("_last")), checked.filter(~late).drop("_last")
-
+def append_samples(m: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Append samples later than the last one of their series, in the batch's ``order`` (that of time if None).
 
-def update_samples(m: DataFrame, new: DataFrame) -> DataFrame:
-    """Change values of existing samples; others are ignored."""
-    fresh = new.select("ts_id", "variable", "ts", F.col("value").alias("_new"))
+    Rejects come back: samples that are not later than the table's last one, or than one that stands before them in the batch. At
+    equal times the first in ``order`` is appended; without an order the one with the smallest value.
+    """
+    last = m.groupBy("ts_id", "variable").agg(F.max("ts").alias("_last"))
+    if order:
+        earlier = F.max("ts").over(Window.partitionBy("ts_id", "variable").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    else:  # in order of time only rows at the same time compete
+        earlier = F.lag("ts").over(Window.partitionBy(*SAMPLE_KEY).orderBy("value"))
+    checked = new.withColumn("_before", earlier).join(last, ["ts_id", "variable"], "left")
+    late = F.col("ts") > F.greatest("_last", "_before")  # null for the first sample of a new series
+    accepted = checked.filter(F.coalesce(late, F.lit(True)) & F.col("ts").isNotNull()).select(*m.columns)
+    return m.unionByName(accepted), checked.filter(~F.coalesce(late, F.lit(True)) | F.col("ts").isNull()).drop("_last", "_before")
+
+
+def update_samples(m: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """Change values of existing samples; others are ignored. Of several changes of a sample the last in ``order`` counts."""
+    fresh = _last_of(new.select(*SAMPLE_KEY, "value", *([order] if order else [])), SAMPLE_KEY, order).withColumnRenamed("value", "_new")
     return m.join(fresh, ["ts_id", "variable", "ts"], "left").withColumn("value", F.coalesce("_new", "value")).drop("_new")
 
 

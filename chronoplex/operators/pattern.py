@@ -191,8 +191,7 @@ SERIES_RELATIONS = ("correlates", "anti_correlates", "diverges_from", "similar_t
                     "more_volatile", "more_stable", "contains_pattern_from")
 
 
-def related_series(m: DataFrame, pairs: DataFrame, relation: str, threshold: float = 0.7, lag: int = 1,
-                   bounded: bool = False) -> DataFrame:
+def related_series(m: DataFrame, pairs: DataFrame, relation: str, threshold: float = 0.7, lag: int = 1) -> DataFrame:
     """Pairs ``left_ts, right_ts`` whose series stand in a relation over their common length."""
     if relation == "contains_pattern_from":
         from .subsequence import pairs_with_pattern
@@ -202,7 +201,7 @@ def related_series(m: DataFrame, pairs: DataFrame, relation: str, threshold: flo
         return pairs.limit(0)
     ids = pairs.select(F.explode(F.array("left_ts", "right_ts")).alias("ts_id")).distinct()
     shift = {"leads": lag, "lags": -lag}.get(relation, 0)
-    both = aligned_pairs(m.join(ids, "ts_id", "left_semi"), pairs, shift, bounded).groupBy("left_ts", "right_ts")
+    both = aligned_pairs(m.join(ids, "ts_id", "left_semi"), pairs, shift).groupBy("left_ts", "right_ts")
     x, y = F.col("x"), F.col("y")
     stats = both.agg(
         F.count(F.lit(1)).alias("n"), guarded_corr(x, y).alias("r"), F.avg(x).alias("mx"), F.avg(y).alias("my"),

@@ -77,21 +77,24 @@ class ElementQuery:
     def where_python(self, predicate, columns: list[str]) -> "ElementQuery":
         """A Python predicate over the named columns or properties, in Arrow batches.
 
-        The predicate gets pandas Series and returns booleans; rows on which it raises do not match.
+        The predicate gets pandas Series and returns booleans; rows on which it raises do not match. A batch on which it
+        raises is halved until the failing rows stand alone.
         """
         @F.pandas_udf("boolean")
         def batch(*series):
             import pandas as pd
 
-            try:
-                return pd.Series(predicate(*series)).fillna(False).astype(bool)
-            except Exception:
-                def one(row):
-                    try:
-                        return bool(pd.Series(predicate(*[pd.Series([x]) for x in row])).iloc[0])
-                    except Exception:
-                        return False
-                return pd.Series([one(row) for row in zip(*series)], dtype=bool)
+            def halved(parts):
+                try:
+                    return [pd.Series(predicate(*parts)).fillna(False).astype(bool)]
+                except Exception:
+                    n = len(parts[0])
+                    if n == 1:
+                        return [pd.Series([False])]
+                    cuts = (slice(0, n // 2), slice(n // 2, n))
+                    return [r for cut in cuts for r in halved([p.iloc[cut].reset_index(drop=True) for p in parts])]
+
+            return pd.concat(halved(series), ignore_index=True)
 
         args = [self._operand(self.frame, c) for c in columns]
         return self._with(frame=self.frame.filter(batch(*args)))
@@ -128,9 +131,18 @@ class ElementQuery:
 
     def where_ts_compare(self, right: str, right_agg: str, op: str, left: str, left_agg: str) -> "ElementQuery":
         """``right_agg(right) op left_agg(left)``; elements without both series do not match."""
-        a = self._series(right, [right_agg]).withColumnRenamed(A.aggregate_name(right_agg), "_a")
-        b = self._series(left, [left_agg]).withColumnRenamed(A.aggregate_name(left_agg), "_b")
-        passing = a.join(b, "uid").filter(compare_numbers(F.col("_a"), op, F.col("_b")))
+        sides = [(right, A.aggregate_name(right_agg)), (left, A.aggregate_name(left_agg))]
+        if all(name in A.AGGREGATES for _, name in sides):
+            owners = self.frame.select("uid", F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col("ts_ids").getItem(p).alias("ts_id"))
+                                                                  for k, (p, _) in enumerate(sides)))).alias("s"))
+            samples = self.graph.samples_of(right, left).join(owners.select("uid", "s.side", "s.ts_id"), "ts_id")
+            of = lambda k, c: F.when(F.col("side") == k, F.col(c))
+            both = samples.groupBy("uid").agg(
+                *(A.aggregate_column(name, of(k, "value"), of(k, "ts")).alias(f"_{k}") for k, (_, name) in enumerate(sides)),
+                F.bool_or(F.col("side") == 0).alias("_has_0"), F.bool_or(F.col("side") == 1).alias("_has_1")).filter("_has_0 AND _has_1")
+        else:  # an order statistic has a plan of its own
+            both = self._series(right, [right_agg]).toDF("uid", "_0").join(self._series(left, [left_agg]).toDF("uid", "_1"), "uid")
+        passing = both.filter(compare_numbers(F.col("_0"), op, F.col("_1")))
         return self._with(extra=(*self.extra, passing.select("uid")))
 
     def where_ts_bucketed(self, prop: str, width, agg: str, condition: str, op: str, value: float,
@@ -139,7 +151,7 @@ class ElementQuery:
         from .series import bucketed
 
         owners = self._owners(prop)
-        buckets = bucketed(self._samples(owners, start, end), width, agg, origin)
+        buckets = bucketed(self._samples(prop, owners, start, end), width, agg, origin)
         hit = compare_numbers(F.col("value"), op, value)
         verdict = {
             "all": F.bool_and(hit), "any": F.bool_or(hit), "majority": F.avg(hit.cast("double")) > 0.5,
@@ -153,7 +165,7 @@ class ElementQuery:
 
         owners = self._owners(prop)
         values = template_values(pattern) if isinstance(pattern, str) else list(pattern)
-        found = contains_pattern(self._samples(owners), values, threshold, normalize)
+        found = contains_pattern(self._samples(prop, owners), values, threshold, normalize)
         return self._with(extra=(*self.extra, owners.join(found, "ts_id").select("uid")))
 
     def where_ts_similar(self, prop: str, reference: DataFrame | None = None, features: dict | None = None,
@@ -182,12 +194,12 @@ class ElementQuery:
     def where_value_at(self, prop: str, at, op: str, value: float) -> "ElementQuery":
         """Comparison with the sample nearest to a moment."""
         owners = self._owners(prop)
-        near = value_nearest(self._samples(owners), at).filter(compare_numbers(F.col("value"), op, value))
+        near = value_nearest(self._samples(prop, owners), at).filter(compare_numbers(F.col("value"), op, value))
         return self._with(extra=(*self.extra, owners.join(near, "ts_id").select("uid")))
 
     def where_value_as_of(self, prop: str, at, op: str, value: float) -> "ElementQuery":
         owners = self._owners(prop)
-        last = value_as_of(self._samples(owners), at).filter(compare_numbers(F.col("value"), op, value))
+        last = value_as_of(self._samples(prop, owners), at).filter(compare_numbers(F.col("value"), op, value))
         return self._with(extra=(*self.extra, owners.join(last, "ts_id").select("uid")))
 
     def constrain(self, **c) -> "ElementQuery":
@@ -224,21 +236,20 @@ class ElementQuery:
             "count_above": A.count_above(v, limit) > 0, "count_below": A.count_below(v, limit) > 0,
             "percent_above": A.fraction_above(v, limit) >= share, "percent_below": A.fraction_below(v, limit) >= share,
         }[kind]
-        passing = self._samples(owners).groupBy("ts_id").agg(verdict.alias("_ok")).filter("_ok")
+        passing = self._samples(prop, owners).groupBy("ts_id").agg(verdict.alias("_ok")).filter("_ok")
         return self._with(extra=(*self.extra, owners.join(passing, "ts_id").select("uid")))
 
     def _owners(self, prop: str) -> DataFrame:
         """``uid, ts_id`` of the elements that have this series."""
         return self.frame.select("uid", F.col("ts_ids").getItem(prop).alias("ts_id")).filter(F.col("ts_id").isNotNull())
 
-    def _samples(self, owners: DataFrame, start=None, end=None) -> DataFrame:
-        # aggregates are keyed by ts_id, so the join with the owners can follow the aggregation;
-        # joining first would move raw samples
-        return within(self.graph.measurements, start, end)
+    def _samples(self, prop: str, owners: DataFrame, start=None, end=None) -> DataFrame:
+        """The samples of the owners' series only: the property and the range reach the scan, the ids are a semi join."""
+        return within(self.graph.samples_of(prop), start, end).join(owners.select("ts_id"), "ts_id", "left_semi")
 
     def _series(self, prop: str, aggs: list[str], start=None, end=None) -> DataFrame:
         owners = self._owners(prop)
-        stats = series_aggregates(self._samples(owners, start, end), ["ts_id"], aggs)
+        stats = series_aggregates(self._samples(prop, owners, start, end), ["ts_id"], aggs)
         return owners.join(stats, "ts_id").drop("ts_id")
 
     # result --------------------------------------------------------------------------------------
@@ -302,5 +313,5 @@ class ElementQuery:
 
         q = self._with(frame=self.execute(), tests=(), extra=())
         owners = q._owners(prop)
-        samples = self.graph.measurements.join(owners.select("ts_id"), "ts_id", "left_semi")
+        samples = q._samples(prop, owners)
         return owners.join(find_pattern(samples, pattern, **options), "ts_id")

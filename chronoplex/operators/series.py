@@ -103,10 +103,10 @@ def bucketed(m: DataFrame, width, agg: str = "avg", origin=None, keys: list[str]
     return series_aggregates(keyed, [*keys, "bucket"], [name]).withColumnRenamed(name, "value")
 
 
-def trends(m: DataFrame, keys: list[str] = ("ts_id",), bounded: bool = False) -> DataFrame:
+def trends(m: DataFrame, keys: list[str] = ("ts_id",)) -> DataFrame:
     """Slope of the value over its position, and the class of the trend."""
     keys = list(keys)
-    rows = with_position(m, keys, "ts", bounded=bounded)
+    rows = with_position(m, keys, "ts")
     s = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         slope_column(F.col("value"), F.col("idx")).alias("slope"),
@@ -119,13 +119,13 @@ def slope_column(y: Column, x: Column) -> Column:
     return F.when(F.count(y) >= 2, F.regr_slope(y, x.cast("double"))).otherwise(0.0)
 
 
-def aligned_pairs(m: DataFrame, pairs: DataFrame, shift: int = 0, bounded: bool = False) -> DataFrame:
+def aligned_pairs(m: DataFrame, pairs: DataFrame, shift: int = 0) -> DataFrame:
     """Samples of the series of each pair side by side, by position.
 
     ``pairs`` has ``left_ts`` and ``right_ts``; row i of the left meets row i + ``shift`` of the
     right, and both sides stop with the shorter series.
     """
-    rows = with_position(m, ["ts_id"], "ts", bounded=bounded).select("ts_id", "idx", "n", "value")
+    rows = with_position(m, ["ts_id"], "ts").select("ts_id", "idx", "n", "value")
     left = rows.select(F.col("ts_id").alias("left_ts"), "idx", F.col("n").alias("left_n"), F.col("value").alias("x"))
     right = rows.select(F.col("ts_id").alias("right_ts"), (F.col("idx") - shift).alias("idx"),
                         F.col("n").alias("right_n"), F.col("value").alias("y"))
@@ -133,10 +133,10 @@ def aligned_pairs(m: DataFrame, pairs: DataFrame, shift: int = 0, bounded: bool
     return pairs.join(left, "left_ts").join(right, ["right_ts", "idx"]).filter(F.col("idx") + max(shift, 0) < common)
 
 
-def pair_correlations(m: DataFrame, pairs: DataFrame, bounded: bool = False) -> DataFrame:
+def pair_correlations(m: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pearson correlation by position over the common length."""
     return (
-        aligned_pairs(m, pairs.select("left_ts", "right_ts").distinct(), bounded=bounded)
+        aligned_pairs(m, pairs.select("left_ts", "right_ts").distinct())
         .groupBy("left_ts", "right_ts").agg(guarded_corr(F.col("x"), F.col("y")).alias("corr"))
     )
 

@@ -43,7 +43,7 @@ def member_signal(induced: InducedGraph, series: str, agg: str = "mean", scope:
     """Aggregate of the members' values at each change step; nothing to aggregate is 0."""
     members = induced.members_at_changes().select("step", "uid") if scope == "all" else largest_component_members(induced)
     owners = induced.nodes().select("uid", F.col("ts_ids").getItem(series).alias("ts_id"))
-    samples = within(induced.graph.measurements, induced.grid.start, induced.grid.end).filter(induced.grid.on_grid(F.col("ts")))
+    samples = within(induced.graph.samples_of(series), induced.grid.start, induced.grid.end).filter(induced.grid.on_grid(F.col("ts")))
     if induced.zero_is_missing:
         samples = samples.filter(F.col("value") != 0)
     values = (samples.withColumn("step", induced.grid.last_step_at(F.col("ts"))).join(owners, "ts_id")

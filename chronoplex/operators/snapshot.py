@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +53,13 @@ class Snapshot:
     def with_labels(self, node_label: str) -> "Snapshot":
         """The subgraph of the nodes of a label."""
         nodes = with_label(self.nodes, node_label)
-        return Snapshot(nodes, edges_among(self.edges, nodes), self.values, None, self.at, self.between, self.measurements)
+        edges = edges_among(self.edges, nodes)
+        values = self.values
+        if values is not None:
+            kept = reduce(DataFrame.unionByName, (df.select(F.col("uid").alias("owner"), F.lit(kind).alias("owner_kind"))
+                                                  for kind, df in (("node", nodes), ("edge", edges))))
+            values = values.join(kept, ["owner", "owner_kind"], "left_semi").select(*values.columns)
+        return Snapshot(nodes, edges, values, None, self.at, self.between, self.measurements)
 
     def density(self, label: str | None = None, directed: bool = True) -> DataFrame:
         from .metrics import density

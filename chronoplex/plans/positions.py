@@ -1,89 +1,56 @@
 """Positions and order statistics inside groups of any size.
 
-A plain ``row_number`` over a group sends the whole group to one task. So the size of the largest
-group is measured first: up to ``HOT_ROWS`` rows one window is enough. Beyond that the larger groups
-are split into chunks along the ordering column; rows are numbered inside their chunk and shifted
-by the rows of the chunks before it.
+A plain ``row_number`` over a group sends the whole group to one task. Here rows are dealt out by ranges of (keys, order) instead, with
+splitters that Spark samples, so a long group goes over as many partitions as it fills, however its order values are spread. Each
+partition numbers its own rows; what a group has in earlier partitions is added from a table with one row per group and partition.
+There is one plan for all sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HOT_ROWS = 2_000_000
+from .lineage import cut
 
+#: ``monotonically_increasing_id`` holds the partition above this bit and the row's place in it below.
+_PLACE_BITS = 33
 
-def _number(df: DataFrame, order: str) -> Column:
-    if isinstance(df.schema[order].dataType, T.TimestampType):
-        return F.unix_micros(order).cast("double")
-    return F.col(order).cast("double")
 
+def in_ranges(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows sorted by keys and order over all partitions, written once, with ``_part`` and ``_place`` in it."""
+    ranged = df.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order).withColumn("_id", F.monotonically_increasing_id())
+    return cut(ranged).withColumns({
+        "_part": F.shiftrightunsigned("_id", _PLACE_BITS), "_place": F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))}).drop("_id")
 
-def _all_small(df: DataFrame, keys: list[str], limit: int) -> bool:
-    """Whether no group has more rows than the limit; one number comes to the driver."""
-    if df.count() <= limit:
-        return True
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
-    return (largest or 0) <= limit
 
-
-def with_position(df: DataFrame, keys: list[str], order: str, weight: str | None = None,
-                  hot_rows: int | None = None, bounded: bool = False) -> DataFrame:
+def with_position(df: DataFrame, keys: list[str], order: str, weight: str | None = None) -> DataFrame:
     """Add ``idx`` (0-based position, or weight before the row) and ``n`` (group total).
 
-    ``order`` must be unique within a group. ``bounded`` skips the measurement for rows whose
-    groups are small by construction, such as buckets of a fixed period.
+    ``order`` must be unique within a group; it may be of any type that sorts.
     """
-    hot_rows = hot_rows or HOT_ROWS
+    rows = in_ranges(df, keys, order)
     unit = F.col(weight) if weight else F.lit(1)
-    if bounded or _all_small(df, keys, hot_rows):
-        group = Window.partitionBy(*keys)
-        running = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({
-            "idx": (F.sum(unit).over(running) - unit).cast("long"),
-            "n": F.sum(unit).over(group).cast("long"),
-        })
-    x = _number(df, order)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.sum(unit).alias("_total"),
-             F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-        .filter(F.col("_rows") > hot_rows)
-    )
-    pieces = F.ceil(F.col("_rows") / hot_rows)
-    share = F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    chunk = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * pieces), pieces - 1)
-    rows = (
-        df.join(hot, keys, "left")
-        .withColumn("_chunk", F.coalesce(chunk, F.lit(0)).cast("long"))
-        .drop("_rows", "_lo", "_hi")
-    )
-    # one row per chunk of a hot group, so this running sum is over a few rows
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    mine = ["_part", *keys]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.filter(F.col("_total").isNotNull())
-        .groupBy(*keys, "_chunk").agg(F.sum(unit).alias("_size"))
-        .withColumn("_offset", F.sum("_size").over(before))
+        rows.groupBy(*mine).agg(F.sum(unit).alias("_size"), F.min("_place").alias("_first"))
+        .withColumns({"_offset": F.coalesce(F.sum("_size").over(before), F.lit(0)), "n": F.sum("_size").over(Window.partitionBy(*keys)).cast("long")})
         .drop("_size")
     )
-    group = Window.partitionBy(*keys, "_chunk")
-    running = group.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    numbered = rows.withColumns({
-        "_local": F.sum(unit).over(running) - unit,
-        "_n": F.sum(unit).over(group),
-    })
-    return (
-        numbered.join(offsets, [*keys, "_chunk"], "left")
-        .withColumn("idx", (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long"))
-        .withColumn("n", F.coalesce("_total", "_n").cast("long"))
-        .drop("_chunk", "_total", "_local", "_n", "_offset")
-    )
+    if weight:
+        running = Window.partitionBy(*mine).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_local", F.sum(unit).over(running) - unit)
+        local = F.col("_local")
+    else:
+        local = F.col("_place") - F.col("_first")
+    columns = [c for c in df.columns if c not in ("idx", "n")]
+    # keys may be null: such rows are a group too
+    matched = rows.alias("r").join(offsets.alias("o"), [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in mine])
+    return matched.select(*[F.col(f"r.{c}") for c in columns], (local + F.col("_offset")).cast("long").alias("idx"), "n")
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
-                      hot_rows: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation, one output column per entry of ``shares``.
 
     Equal values are counted together before they are ordered, and a group is never held in memory.
@@ -92,7 +59,7 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[s
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = with_position(counted, keys, "_v", weight="_c", hot_rows=hot_rows)
+    ranked = with_position(counted, keys, "_v", weight="_c")
     outputs = []
     for name, share in shares.items():
         rank = F.lit(float(share)) * (F.col("n") - 1)

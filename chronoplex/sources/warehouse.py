@@ -12,7 +12,6 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING
 ORDER_SCHEMA = "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP"
 LINE_SCHEMA = ("l_orderkey BIGINT, l_suppkey BIGINT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
                "l_shipdate TIMESTAMP")
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None) -> DataFrame:
@@ -109,7 +108,7 @@ def signal_graph(spark: SparkSession, sf_dir: str, by_day: bool = True, with_bas
         F.lit(None).cast("timestamp").alias("start_time"), F.lit(None).cast("timestamp").alias("end_time"),
         props.alias("props"), ids.alias("ts_ids"),
     )
-    return TemporalGraph(nodes, _peers(spark, sf_dir, events, customer), measurements)
+    return TemporalGraph(nodes, _peers(spark, sf_dir, events, customer), measurements, named_series=True)
 
 
 def _peers(spark: SparkSession, sf_dir: str, events: DataFrame, customer: DataFrame, reach: int = 50) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EDGE_SCHEMA, MEASUREMENT_SCHEMA, NODE_SCHEMA, TemporalGraph
+from ..operators.temporal import time_column, within
 
 
 def write_graph(g: TemporalGraph, root: str, mode: str = "errorifexists") -> None:
@@ -21,9 +22,13 @@ def write_graph(g: TemporalGraph, root: str, mode: str = "errorifexists") -> Non
     spread.write.mode(mode).partitionBy("day").parquet(f"{root}/measurements")
 
 
-def read_graph(spark: SparkSession, root: str, keep_day: bool = False) -> TemporalGraph:
-    """The tables of :func:`write_graph`; ``keep_day`` keeps the partition column, so time ranges prune folders."""
+def read_graph(spark: SparkSession, root: str, start=None, end=None) -> TemporalGraph:
+    """The tables of :func:`write_graph`; only the folders of days in the closed range are read for samples."""
     nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{root}/nodes")
     edges = spark.read.schema(EDGE_SCHEMA).parquet(f"{root}/edges")
     samples = spark.read.schema(f"{MEASUREMENT_SCHEMA}, day DATE").parquet(f"{root}/measurements")
-    return TemporalGraph(nodes, edges, samples if keep_day else samples.drop("day"))
+    if start is not None:
+        samples = samples.filter(F.col("day") >= F.to_date(time_column(start)))
+    if end is not None:
+        samples = samples.filter(F.col("day") <= F.to_date(time_column(end)))
+    return TemporalGraph(nodes, edges, within(samples.drop("day"), start, end))

@@ -1,4 +1,4 @@
-"""Registered queries against their SQL at the smallest scale, also with every group treated as hot."""
+"""Registered queries against their SQL at the smallest scale, some also with groups spread over many partitions."""
 
 import math
 
@@ -6,14 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from chronoplex.plans import positions
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ORDINARY = ["a23_summary", "f9_declared_constraints", "n13_sequence_summary", "t3_degree_extremes", "d13_d18_degree_changes",
             "r9_cross_conditions", "u8_membership_changes", "q6_summary", "io11_free_flow", "m2_created_edges"]
-HOT = ["a2_percentiles", "a12_value_at_index", "a15_correlation_by_position", "a18_a19_trends", "i2_i3_i7_i8_series_comparison",
+SPREAD = ["a2_percentiles", "a12_value_at_index", "a15_correlation_by_position", "a18_a19_trends", "i2_i3_i7_i8_series_comparison",
        "i4_i5_resampled_correlation", "p1_p2_window_distances", "p6_window_features", "p7_p8_window_profile", "q3_q4_descriptors"]
 
 
@@ -55,10 +54,16 @@ def test_query(spark, db, name):
     same(spark, db, name)
 
 
-@pytest.mark.parametrize("name", HOT)
-def test_query_with_hot_groups(spark, db, name, monkeypatch):
-    monkeypatch.setattr(positions, "HOT_ROWS", 4)
-    same(spark, db, name)
+@pytest.mark.parametrize("name", SPREAD)
+def test_query_with_groups_over_many_partitions(spark, db, name):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "19")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same(spark, db, name)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_every_sql_belongs_to_a_query():

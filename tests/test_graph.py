@@ -192,3 +192,23 @@ def test_no_cartesian_product_and_pushed_filters(spark):
     raw = signal_graph(spark, d, by_day=False)
     text = plan(raw.snapshot(at="2024-01-05").values)
     assert "LessThanOrEqual(ts" in text and "props" not in text.split("ReadSchema")[1][:120]
+
+
+def test_labelled_snapshot_has_only_its_values(spark):
+    g = make_graph(spark, "ab", samples=make_samples(spark, {"s": [1, 2]}), ts={"a": {"x": "s"}})
+    s = g.snapshot(at=day(1))
+    assert s.with_labels("N").values.count() == 1 and s.with_labels("none").values.count() == 0
+
+
+def test_series_filters_read_one_property_of_its_owners(spark):
+    from chronoplex.sources.warehouse import signal_graph
+
+    q = signal_graph(spark, "/root/testdata/sf0.001", by_day=False).query().nodes("User").where_static("nationkey", "=", 3)
+    plan = q.where_ts_agg("view", "mean", ">", 1).execute()._jdf.queryExecution()
+    assert "EqualTo(event_type,view)" in plan.executedPlan().toString()
+    lines = plan.optimizedPlan().toString().splitlines()
+    scan = next(i for i, x in enumerate(lines) if "event_type" in x and "view" in x and "Filter" in x)
+    above = [x.strip(" :+-|") for x in lines[:scan]]
+    assert max(i for i, x in enumerate(above) if x.startswith("Join LeftSemi")) > max(i for i, x in enumerate(above) if x.startswith("Aggregate"))
+    both = q.where_ts_compare("click", "max", ">", "view", "mean").execute()._jdf.queryExecution().optimizedPlan().toString()
+    assert both.count("Aggregate [uid") == 1

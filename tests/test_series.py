@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoplex.functions.templates import TEMPLATE_NAMES, template, z_normalised
 from chronoplex.operators import interval_diff as I, series as S, subsequence as P
 from chronoplex.operators.pattern import related_series
-from chronoplex.plans.positions import exact_percentiles, with_position
+from chronoplex.plans.positions import exact_percentiles, in_ranges, with_position
 
 from conftest import day, make_graph, make_samples, rows
 
@@ -30,21 +30,49 @@ def spikes(n=100, seed=3):
     return x
 
 
-@pytest.mark.parametrize("hot", [3, 10_000])
-def test_positions_in_hot_and_ordinary_groups(spark, hot):
+@pytest.fixture(params=["4", "23"])
+def partitions(spark, request):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(request.param == "4").lower())
+    yield int(request.param)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_positions(spark, partitions):
     rng = random.Random(1)
     values = {"big": [rng.random() for _ in range(200)], "small": [1, 2]}
     m = make_samples(spark, values)
-    out = with_position(m, ["ts_id"], "ts", hot_rows=hot)
+    out = with_position(m, ["ts_id"], "ts")
     got = {(r.ts_id, r.idx): (r.value, r.n) for r in out.collect()}
     assert got == {(k, i): (float(v), len(vs)) for k, vs in values.items() for i, v in enumerate(vs)}
+    assert out.columns == [*m.columns, "idx", "n"]
+
+
+def test_positions_by_text_and_null_keys(spark, partitions):
+    rows = [(k, f"t{i:03d}", i) for k in ("a", None) for i in range(40)]
+    got = with_position(spark.createDataFrame(rows, "k string, o string, i int"), ["k"], "o").collect()
+    assert len(got) == 80 and all(r.idx == r.i and r.n == 40 for r in got)
+
+
+@pytest.mark.parametrize("skewed", ["outlier", "values"])
+def test_long_groups_are_split_evenly(spark, partitions, skewed):
+    if partitions == 4:
+        pytest.skip("small partitions are joined")
+    rng = random.Random(3)
+    order = [dt.datetime(1970, 1, 1)] + [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) for s in range(9_999)]
+    if skewed == "values":
+        order = [dt.datetime(2000, 1, 1) + dt.timedelta(microseconds=int(x)) for x in sorted({int(1.004 ** k * 1000) + k + rng.randint(0, 0) for k in range(5_000)})]
+    rows = in_ranges(spark.createDataFrame([("x", t) for t in order], "ts_id string, ts timestamp"), ["ts_id"], "ts")
+    sizes = [r["count"] for r in rows.groupBy("_part").count().collect()]
+    assert len(sizes) == partitions and max(sizes) <= 2 * len(order) / partitions
 
 
-@pytest.mark.parametrize("hot", [4, 10_000])
-def test_exact_percentiles(spark, hot):
+def test_exact_percentiles(spark, partitions):
     rng = random.Random(2)
     values = {"a": [rng.choice([1.0, 2.0, 2.0, 7.5, 9.0]) for _ in range(57)], "b": [3.0], "c": [rng.gauss(0, 5) for _ in range(40)]}
-    got = exact_percentiles(make_samples(spark, values), ["ts_id"], "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}, hot_rows=hot)
+    got = exact_percentiles(make_samples(spark, values), ["ts_id"], "value", {"p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0})
     for r in got.collect():
         for name, q in (("p50", 50), ("p95", 95), ("p0", 0), ("p100", 100)):
             assert r[name] == pytest.approx(np.percentile(values[r.ts_id], q))

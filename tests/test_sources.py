@@ -43,11 +43,10 @@ def test_json_graph(spark, tmp_path):
 def test_parquet_round_trip_prunes_days(spark, tmp_path):
     g = make_graph(spark, "ab", [("a", "b")], make_samples(spark, {"s": [1, 2, 3]}), ts={"a": {"x": "s"}})
     writers.write_graph(g, str(tmp_path / "g"))
-    back = writers.read_graph(spark, str(tmp_path / "g"), keep_day=True)
+    back = writers.read_graph(spark, str(tmp_path / "g"))
     assert rows(back.nodes.select("uid", "label")) == [("a", "N"), ("b", "N")] and back.edges.count() == 1
-    from chronoplex.operators.temporal import within
-
-    some = within(back.measurements, day(1), day(2))
+    assert back.measurements.columns == g.measurements.columns and back.measurements.count() == 3
+    some = writers.read_graph(spark, str(tmp_path / "g"), day(1), day(2)).measurements
     assert rows(some.select("value")) == [(2.0,), (3.0,)]
     assert "PartitionFilters: [isnotnull(day" in some._jdf.queryExecution().toString()
 
@@ -93,3 +92,29 @@ def test_dense_ids(spark):
 
     nodes = make_nodes(spark, "dcba")
     assert rows(dense_ids(nodes)) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_batches_with_duplicate_keys(spark, parts):
+    old = make_samples(spark, {"s": [1.0, 2.0]})
+    new = spark.createDataFrame([("s", "x", day(1), 5.0, 2), ("s", "x", day(1), 6.0, 1), ("s", "x", day(4), 7.0, 3), ("s", "x", day(4), 8.0, 4)],
+                                "ts_id string, variable string, ts timestamp, value double, n int").repartition(parts, "value")
+    value = lambda df: [(r.ts, r.value) for r in df.orderBy("ts", "value").collect()]
+    assert value(M.upsert_samples(old, new, order="n")) == [(day(0), 1.0), (day(1), 5.0), (day(4), 8.0)]
+    assert value(M.upsert_samples(old, new)) == [(day(0), 1.0), (day(1), 6.0), (day(4), 8.0)]
+    assert value(M.update_samples(old, new, order="n")) == [(day(0), 1.0), (day(1), 5.0)]
+    longer, late = M.append_samples(old, new)
+    assert value(longer) == [(day(0), 1.0), (day(1), 2.0), (day(4), 7.0)] and value(late) == [(day(1), 5.0), (day(1), 6.0), (day(4), 8.0)]
+    longer, late = M.append_samples(old.limit(0), new, order="n")
+    assert value(longer) == [(day(1), 6.0), (day(4), 7.0)] and late.count() == 2
+
+
+def test_changes_with_duplicate_keys(spark):
+    nodes = make_nodes(spark, "ab", props={"a": {"k": "0"}})
+    changes = spark.createDataFrame([("a", {"k": "1"}, None, day(3), 1), ("a", {"k": "2", "m": "3"}, day(1), None, 2), ("a", {"k": "9"}, None, day(2), 0)],
+                                    "uid string, props map<string,string>, start_time timestamp, end_time timestamp, n int")
+    got = {r.uid: r.props for r in M.set_properties(nodes, changes.select("uid", "props", "n"), order="n").collect()}
+    assert got == {"a": {"k": "2", "m": "3"}, "b": {}}
+    got = {r.uid: (r.start_time, r.end_time) for r in M.change_validity(nodes, changes, order="n").collect()}
+    assert got == {"a": (day(1), None), "b": (None, None)}
+    assert M.upsert_elements(nodes, nodes.unionByName(nodes)).count() == 2
