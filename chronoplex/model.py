@@ -34,7 +34,10 @@ class TemporalGraph:
     def spark(self):
         return self.nodes.sparkSession
 
-    def with_(self, **tables: DataFrame) -> "TemporalGraph":
+    def with_(self, **tables) -> "TemporalGraph":
+        """Replace tables; new elements may refer to any series, so ``named_series`` then has to be said anew."""
+        if tables.keys() & {"nodes", "edges"}:
+            tables.setdefault("named_series", False)
         return replace(self, **tables)
 
     def elements(self, kind: str) -> DataFrame:

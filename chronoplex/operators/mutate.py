@@ -138,7 +138,7 @@ def delete_edges(g: TemporalGraph, ids: DataFrame) -> TemporalGraph:
 def _drop_samples(g: TemporalGraph, nodes: DataFrame, edges: DataFrame) -> TemporalGraph:
     ids = lambda n, e: n.select(F.explode(F.map_values("ts_ids")).alias("ts_id")).unionByName(e.select(F.explode(F.map_values("ts_ids")).alias("ts_id"))).distinct()
     lost = ids(g.nodes, g.edges).join(ids(nodes, edges), "ts_id", "left_anti")
-    return g.with_(nodes=nodes, edges=edges, measurements=g.measurements.join(lost, "ts_id", "left_anti"))
+    return g.with_(nodes=nodes, edges=edges, measurements=g.measurements.join(lost, "ts_id", "left_anti"), named_series=g.named_series)
 
 
 def delete_samples(m: DataFrame, ids: list[str] | None = None, variables: list[str] | None = None, start=None, end=None) -> DataFrame:

@@ -17,7 +17,7 @@ def subgraph(g: TemporalGraph, node_ids: DataFrame) -> TemporalGraph:
     nodes = g.nodes.join(ids, "uid", "left_semi")
     edges = edges_among(g.edges, nodes)
     series = catalogue(nodes, edges).select("ts_id").distinct()
-    return g.with_(nodes=nodes, edges=edges, measurements=g.measurements.join(series, "ts_id", "left_semi"))
+    return g.with_(nodes=nodes, edges=edges, measurements=g.measurements.join(series, "ts_id", "left_semi"), named_series=g.named_series)
 
 
 def save_members(node_ids: DataFrame, root: str, name: str) -> None:
