@@ -13,6 +13,15 @@ from ..sources.warehouse import EVENT_SCHEMA, ORDER_SCHEMA, empty_map, order_gra
 from .registry import day_text, query, r6
 
 
+def _kinds(spark, d) -> list[str]:
+    """The event types of the table: they become columns."""
+    return [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").collect()]
+
+
+def _nations(spark, d) -> list[int]:
+    return [r[0] for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+
+
 def _node_rows(df, uid, label, props=None, ts=None):
     none = F.lit(None).cast("timestamp")
     return df.select(uid.alias("uid"), F.lit(label).alias("label"), none.alias("start_time"), none.alias("end_time"),
@@ -40,9 +49,9 @@ def _(spark, d):
     return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("io7_series_columns", "SELECT DISTINCT uid, variable AS property, ts_id FROM samples WHERE variable IN ('click', 'view')")
+@query("io7_series_columns", "SELECT DISTINCT uid, variable AS property, ts_id FROM samples")
 def _(spark, d):
-    wide = signal_graph(spark, d).nodes.select(F.col("uid").alias("id"), F.col("ts_ids")["click"].alias("click_ts_id"), F.col("ts_ids")["view"].alias("view_ts_id"))
+    wide = signal_graph(spark, d).nodes.select(F.col("uid").alias("id"), *[F.col("ts_ids")[k].alias(f"{k}_ts_id") for k in _kinds(spark, d)])
     n = readers._elements(wide, readers.NODE_FIELDS, False, F.lit("User"))
     return n.select("uid", F.explode("ts_ids").alias("property", "ts_id"))
 
@@ -52,7 +61,7 @@ SELECT 'ts_speed_' || variable AS ts_id, strftime(TIMESTAMP '2012-03-01' + u.use
 FROM (SELECT user_id, event_type AS variable, max(value) AS v FROM events GROUP BY user_id, event_type) u WHERE v <> 0""")
 def _(spark, d):
     e = table(spark, d, "events")
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    kinds = _kinds(spark, d)
     wide = e.groupBy("user_id").agg(*[F.max(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in kinds])
     return X.wide_to_measurements(wide, "user_id", "speed", "2012-03-01").select("ts_id", day_text("ts").alias("ts"), "value")
 
@@ -64,7 +73,7 @@ def _(spark, d):
     l, o = table(spark, d, "lineitem"), table(spark, d, "orders")
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     flows = (l.join(s, l.l_suppkey == s.s_suppkey).join(o, l.l_orderkey == o.o_orderkey).join(c, c.c_custkey == o.o_custkey))
-    matrix = flows.groupBy("s_nationkey").agg(*[F.count_if(F.col("c_nationkey") == i).alias(str(i)) for i in range(25)])
+    matrix = flows.groupBy("s_nationkey").agg(*[F.count_if(F.col("c_nationkey") == i).alias(str(i)) for i in _nations(spark, d)])
     return X.adjacency_to_edges(matrix, "s_nationkey").select("src", "dst", "weight")
 
 
@@ -95,12 +104,11 @@ def _(spark, d):
 
 
 @query("io14_flattened_series", """
-SELECT uid AS ts_id, variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(CASE WHEN variable = 'scaled' THEN CASE WHEN value > 50 THEN value / 2 ELSE 0 END ELSE value END, 6) AS value
-FROM (SELECT uid, ts, value, unnest(['value', 'scaled']) AS variable FROM days WHERE variable = 'view')""")
+SELECT ts_id, variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(CASE WHEN variable = 'scaled' THEN CASE WHEN value > 50 THEN value / 2 ELSE 0 END ELSE value END, 6) AS value
+FROM (SELECT ts_id, ts, value, unnest(['value', 'scaled']) AS variable FROM days)""")
 def _(spark, d):
-    m = signal_graph(spark, d).measurements.filter("variable = 'view'")
-    uid = F.concat(F.lit("U"), F.element_at(F.split("ts_id", "_"), 3))
-    wide = m.groupBy(uid.alias("ts_id")).agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("r")).select(
+    m = signal_graph(spark, d).measurements
+    wide = m.groupBy("ts_id").agg(F.array_sort(F.collect_list(F.struct("ts", "value"))).alias("r")).select(
         "ts_id", F.col("r.ts").alias("ts"), F.col("r.value").alias("value"), F.transform("r.value", lambda v: F.when(v > 50, v / 2)).alias("scaled"))
     return M.flatten_series(wide, ["value", "scaled"]).select("ts_id", "variable", day_text("ts").alias("ts"), r6("value").alias("value"))
 
@@ -248,7 +256,7 @@ def _(spark, d):
 def _(spark, d):
     g, root = signal_graph(spark, d), _folder(spark)
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    kinds = ["click", "error", "purchase", "signup", "view"]
+    kinds = _kinds(spark, d)
     nodes = g.nodes.select(F.col("uid").alias("id"), F.col("props")["acctbal"].alias("acctbal"), text("start_time").alias("start_time"), *[F.col("ts_ids")[k].alias(f"{k}_ts_id") for k in kinds])
     nodes.write.csv(f"{root}/nodes/User.csv", header=True)
     g.edges.select(F.col("src").alias("start_id"), F.col("dst").alias("end_id"), F.col("props")["weight"].alias("weight")).write.csv(f"{root}/edges/Peer.csv", header=True)
@@ -261,8 +269,9 @@ def _(spark, d):
     g, root = signal_graph(spark, d), _folder(spark)
     points = entity_series(g.nodes, g.measurements).groupBy("uid", "property").agg(
         F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start"), "value")).alias("p"))  # at most one per day
-    series = points.groupBy("uid").pivot("property", ["click", "error", "purchase", "signup", "view"]).agg(F.first("p"))
-    nodes = g.nodes.join(series, "uid").select(F.col("uid").alias("user"), F.col("props")["acctbal"].alias("acctbal"), F.struct("click", "error", "purchase", "signup", "view").alias("ts"))
+    kinds = _kinds(spark, d)
+    series = points.groupBy("uid").pivot("property", kinds).agg(F.first("p"))
+    nodes = g.nodes.join(series, "uid").select(F.col("uid").alias("user"), F.col("props")["acctbal"].alias("acctbal"), F.struct(*kinds).alias("ts"))
     nodes.write.json(f"{root}/nodes/User.json")
     ghosts = g.edges.withColumn("dst", F.concat(F.lit("ghost"), "dst"))
     g.edges.unionByName(ghosts).select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("props")["weight"].alias("weight")).write.json(f"{root}/edges/Peer.json")

@@ -200,29 +200,25 @@ def _(spark, d):
 
 
 _NEIGHBOURS = """
-WITH w AS (SELECT a.ts_id, a.idx, b.idx - a.idx AS j, b.value AS v FROM numbered a JOIN numbered b ON b.ts_id = a.ts_id AND b.idx BETWEEN a.idx AND a.idx + 3 WHERE a.idx + 3 < a.n AND a.n >= 8 AND a.variable = 'view'),
+WITH w AS (SELECT a.ts_id, a.idx, b.idx - a.idx AS j, b.value AS v FROM numbered a JOIN numbered b ON b.ts_id = a.ts_id AND b.idx BETWEEN a.idx AND a.idx + 3 WHERE a.idx + 3 < a.n AND a.n >= 8),
 z AS (SELECT ts_id, idx, j, (v - avg(v) OVER q) / CASE WHEN stddev_pop(v) OVER q = 0 THEN 1 ELSE stddev_pop(v) OVER q END AS v FROM w WINDOW q AS (PARTITION BY ts_id, idx)),
 pd AS (SELECT a.ts_id, a.idx AS i, b.idx AS k, sqrt(sum(pow(a.v - b.v, 2))) AS d FROM z a JOIN z b ON a.ts_id = b.ts_id AND a.j = b.j AND abs(a.idx - b.idx) >= 2 GROUP BY a.ts_id, a.idx, b.idx),
 nn AS (SELECT ts_id, i, arg_min(k, (d, k)) AS k, min(d) AS d FROM pd GROUP BY ts_id, i)"""
 
 
-def _views(spark, d):
-    return _users(spark, d).measurements.filter("variable = 'view'")
-
-
 @query("p7_p8_window_profile", f"{_NEIGHBOURS} SELECT ts_id, i AS idx, round(d, 6) AS distance FROM nn")
 def _(spark, d):
-    return P.window_profile(_views(spark, d), 4).select("ts_id", "idx", r6("distance").alias("distance"))
+    return P.window_profile(_users(spark, d).measurements, 4).select("ts_id", "idx", r6("distance").alias("distance"))
 
 
 @query("p7_motifs", f"{_NEIGHBOURS} SELECT ts_id, round(min(d), 6) AS distance FROM nn WHERE abs(i - k) >= 4 GROUP BY ts_id")
 def _(spark, d):
-    return P.motifs(_views(spark, d), 4, top_k=1).select("ts_id", r6("distance").alias("distance"))
+    return P.motifs(_users(spark, d).measurements, 4, top_k=1).select("ts_id", r6("distance").alias("distance"))
 
 
 @query("p8_discords", f"{_NEIGHBOURS} SELECT ts_id, round(max(d), 6) AS distance FROM nn GROUP BY ts_id")
 def _(spark, d):
-    return P.discords(_views(spark, d), 4, top_k=1).select("ts_id", r6("distance").alias("distance"))
+    return P.discords(_users(spark, d).measurements, 4, top_k=1).select("ts_id", r6("distance").alias("distance"))
 
 
 @query("f8_pattern_matches", f"""

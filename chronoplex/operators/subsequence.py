@@ -17,6 +17,8 @@ from ..plans.positions import with_position
 from .temporal import within
 
 BLOCK = 4096
+#: Values of windows that are copied at a time, and windows of a series that are ranked together first.
+COPIED, STRETCH = 1_000_000, 65_536
 #: Distance that counts as no match by default, and distance of zero similarity.
 POOR_MATCH, ZERO_SIMILARITY = 3.0, 4.0
 #: Fixed value: relative error up to which a window feature matches.
@@ -44,11 +46,16 @@ def window_distances(m: DataFrame, pattern, normalize: bool = True) -> DataFrame
         def one(values):
             if len(values) < length:
                 return []
-            w = np.lib.stride_tricks.sliding_window_view(np.asarray(values, dtype=float), length)
-            if normalize:
-                std = w.std(axis=1, keepdims=True)
-                w = (w - w.mean(axis=1, keepdims=True)) / np.where(std == 0, 1.0, std)
-            return np.sqrt(((w - target) ** 2).sum(axis=1))
+            windows = np.lib.stride_tricks.sliding_window_view(np.asarray(values, dtype=float), length)
+            out = np.empty(len(windows))
+            at_once = max(1, COPIED // length)  # windows are views; only so many are copied at a time
+            for at in range(0, len(windows), at_once):
+                w = windows[at: at + at_once]
+                if normalize:
+                    std = w.std(axis=1, keepdims=True)
+                    w = (w - w.mean(axis=1, keepdims=True)) / np.where(std == 0, 1.0, std)
+                out[at: at + at_once] = np.sqrt(((w - target) ** 2).sum(axis=1))
+            return out
         return blocks.map(one)
 
     rows = _in_blocks(with_position(m, ["ts_id"], "ts"), length)
@@ -66,16 +73,15 @@ def window_distances(m: DataFrame, pattern, normalize: bool = True) -> DataFrame
 def best_without_overlap(windows: DataFrame, score: str, reach: int, top_k: int) -> DataFrame:
     """The best ``top_k`` windows of each series, none within ``reach`` positions of a better one.
 
-    A chosen window rules out at most ``2 * reach + 1`` windows, so the choice only ever looks at
-    that many of the best per pick: a ranked filter that Spark also applies before the shuffle.
+    A chosen window rules out at most ``2 * reach + 1`` windows, so the choice only ever looks at that many of the best
+    per pick. Ranks are taken in stretches of a series first, so no task sorts a whole long series.
     """
     needed = (top_k - 1) * (2 * reach + 1) + 1
-    conf, limit = windows.sparkSession.conf, "spark.sql.optimizer.windowGroupLimitThreshold"
-    if needed > int(conf.get(limit, "1000")):
-        conf.set(limit, str(needed))  # keeps the limit before the shuffle
-    best_first = Window.partitionBy("ts_id").orderBy(score, "idx")
-    candidates = windows.withColumn("_rank", F.row_number().over(best_first)).filter(F.col("_rank") <= needed)
     others = [c for c in windows.columns if c not in ("ts_id", "idx", score)]
+    candidates = windows.withColumn("_stretch", F.floor(F.col("idx") / max(STRETCH, 4 * needed)))
+    for keys in (["ts_id", "_stretch"], ["ts_id"]):
+        best_first = Window.partitionBy(*keys).orderBy(score, "idx")
+        candidates = candidates.withColumn("_rank", F.row_number().over(best_first)).filter(F.col("_rank") <= needed)
     row = F.struct(F.col(score).alias("s"), "idx", *others)
     per_series = candidates.groupBy("ts_id").agg(F.array_sort(F.collect_list(row)).alias("c"))  # at most ``needed`` windows
 
@@ -107,8 +113,8 @@ def all_without_overlap(windows: DataFrame, score: str, reach: int, block: int |
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
             low, high = pdf.b.iloc[0] * block - shift - reach, (pdf.b.iloc[0] + 1) * block - shift + reach
             pdf = pdf.sort_values("idx", ignore_index=True)
-            idx, state = pdf.idx.to_numpy(), pdf.state.to_numpy().copy()
-            for r in np.lexsort((idx, pdf.s.to_numpy())):
+            idx, state, s = pdf.idx.to_numpy(), pdf.state.to_numpy().copy(), pdf.s.to_numpy()
+            for r in np.lexsort((idx, s)):
                 if state[r] != 0:
                     continue
                 a, z = np.searchsorted(idx, idx[r] - reach), np.searchsorted(idx, idx[r] + reach, "right")
@@ -116,7 +122,7 @@ def all_without_overlap(windows: DataFrame, score: str, reach: int, block: int |
                 if (near == 1).any():
                     state[r] = 2
                     continue
-                better = (pdf.s.to_numpy()[a:z] < pdf.s[r]) | ((pdf.s.to_numpy()[a:z] == pdf.s[r]) & (idx[a:z] < idx[r]))
+                better = (s[a:z] < s[r]) | ((s[a:z] == s[r]) & (idx[a:z] < idx[r]))
                 if low <= idx[r] - reach and idx[r] + reach < high and not (better & (near == 0)).any():
                     state[r] = 1
             return pdf.assign(state=state)[pdf.b == pdf.home][["ts_id", "idx", "s", "state"]]
