@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .text import PIECE_BYTES, pieces
+from .text import PIECE_BYTES, pieces, string_hashes
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, seat long"
 #: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 2_000_000
 WORDS_AT_ONCE = 20_000
 #: Punctuation that may be taken off the end of a word before it is tokenised: it forms a token group of its own there.
 TAIL = ".,;:!?"
@@ -113,27 +114,60 @@ def plan_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(out, dtype=np.int64).reshape(-1, 5), sequences
 
 
-def _tokenizer(path: str):
-    if _WORKER.get("path") != path:
-        from tokenizers import Tokenizer
-
-        _WORKER.update(path=path, tokenizer=Tokenizer.from_file(path), known={})
-    return _WORKER["tokenizer"]
+class KnownWords:
+    """Ids of words that a worker has seen, in arrays: about 40 bytes a word. Words are found by hash and compared in full."""
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def _word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words end to end, and how many each has; words seen before are remembered."""
-    tokenizer = _tokenizer(path)
-    known = _WORKER["known"]
-    if len(known) > REMEMBERED:
-        known.clear()
-    fresh = [w for w in words if w not in known]
-    for at in range(0, len(fresh), WORDS_AT_ONCE):
-        some = fresh[at: at + WORDS_AT_ONCE]
-        for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-    found = [known[w] for w in words]
-    return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.words = pa.array([], type=pa.large_string())
+        self.flat, self.first, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.uint32)], []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at: at + WORDS_AT_ONCE].to_pylist(), add_special_tokens=False)]
+            counts += map(len, found)
+            ids.append(np.fromiter(chain.from_iterable(found), dtype=np.uint32))
+        return np.concatenate(ids), np.array(counts, dtype=np.int64)
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: ids end to end, where each word's begin and how many it has."""
+        if len(self.words) > REMEMBERED:
+            self.clear()
+        hashes = string_hashes(words)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(words), dtype=bool)
+        row = self.rows[at] if len(self.hashes) else at
+        there = np.flatnonzero(known)
+        known[there] = pc.equal(words.take(pa.array(there)), self.words.take(pa.array(row[there]))).to_numpy(zero_copy_only=False)
+        fresh = np.flatnonzero(~known)
+        new = words.take(pa.array(fresh))
+        flat, counts = self.encode(new)
+        row[fresh] = len(self.words) + np.arange(len(fresh))
+        first = np.cumsum(counts) - counts + len(self.flat)
+        self.words = pa.concat_arrays([self.words, new])
+        self.flat, self.first, self.counts = (np.concatenate(x) for x in ((self.flat, flat), (self.first, first), (self.counts, counts)))
+        # a word whose hash another one has already is encoded again when it comes again
+        own, which = np.unique(hashes[fresh], return_index=True)
+        place = np.searchsorted(self.hashes, own)
+        free = np.append(self.hashes, 0)[place] != own if len(self.hashes) else np.ones(len(own), dtype=bool)
+        free |= place == len(self.hashes)
+        own, which, place = own[free], which[free], place[free]
+        self.rows = np.insert(self.rows, place, row[fresh[which]])
+        self.hashes = np.insert(self.hashes, place, own)
+        return self.flat, self.first[row], self.counts[row]
+
+
+def _known_words(path: str) -> KnownWords:
+    if _WORKER.get("path") != path:
+        _WORKER.update(path=path, known=KnownWords(path))
+    return _WORKER["known"]
 
 
 def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +189,9 @@ def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.n
     stem = pc.ascii_rtrim(low, TAIL)
     splits = pc.and_(plain, pc.match_substring_regex(stem, "[a-z0-9]$"))
     stem = pc.if_else(splits, stem, low)
-    rest = [w[len(s):] if len(s) < len(w) else "" for w, s in zip(low.to_pylist(), stem.to_pylist())]
-    parts = pa.concat_arrays([stem, pa.array(rest, type=pa.large_string())]).dictionary_encode()
-    flat, n = _word_ids(parts.dictionary.to_pylist(), path)
-    first = np.cumsum(n) - n
+    tail = pc.if_else(splits, pc.struct_field(pc.extract_regex(low, f"(?P<tail>[{TAIL}]*)$"), "tail"), "")
+    parts = pa.concat_arrays([stem, pc.fill_null(tail, "")]).dictionary_encode()
+    flat, first, n = _known_words(path).ids(parts.dictionary)
     of = parts.indices.to_numpy()
     a, b = of[: len(distinct)][codes], of[len(distinct):][codes]
     order = np.stack([a, b], axis=1).ravel()

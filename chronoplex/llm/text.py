@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +56,28 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def _span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a polynomial in an odd base, then mixed with the length."""
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, len(data)), out=total[1:])
+    inverse = _powers(pow(base, -1, 1 << 64), len(data) + 1)
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def string_hashes(strings: pa.Array, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """A 64-bit hash of each string, nulls left aside, computed for pieces of bounded size."""
+    strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset: strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    data = np.frombuffer(strings.buffers()[2], dtype=np.uint8) if len(strings) and strings.buffers()[2] is not None else np.zeros(0, np.uint8)
+    out, at = np.zeros(len(strings), dtype=np.uint64), 0
+    while at < len(strings):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1)
+        low = offsets[at]
+        out[at:to] = _span_hashes(data[low: offsets[to]], offsets[at:to] - low, offsets[at + 1: to + 1] - low, base)
+        at = to
+    return out
+
+
 class Words:
     """Words of a run of texts: byte buffer in lower case, word bounds and the texts' word counts."""
 
@@ -75,15 +96,10 @@ class Words:
         self.counts = np.diff(np.searchsorted(self.start, self.text_end), prepend=0)
 
     def hashes(self, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-        """A 64-bit hash of each word: a polynomial in an odd base, then mixed with the length."""
-        return self.span_hashes(self.start, self.end, base)
+        return _span_hashes(self.bytes, self.start, self.end, base)
 
     def span_hashes(self, start: np.ndarray, end: np.ndarray, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-        n = len(self.bytes)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers(base, n), out=total[1:])
-        inverse = _powers(pow(base, -1, 1 << 64), n + 1)
-        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+        return _span_hashes(self.bytes, start, end, base)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -96,8 +112,3 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(total, before + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
-
-
-def java_literal(text: str) -> str:
-    """A pattern that matches the text itself."""
-    return re.escape(text)
