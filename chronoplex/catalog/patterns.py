@@ -145,17 +145,35 @@ def _(spark, d):
 
 
 # shapes in series --------------------------------------------------------------------------------
-def _distances(name: str) -> str:
+def _distances(name: str, source: str = "numbered") -> str:
     """Distances of all windows by explicit positions; the template is spelled out as a table."""
     p = z_normalised(template(name))
     rows = ", ".join(f"({j}, {v!r}::DOUBLE)" for j, v in enumerate(p))
     return f"""
 pat(j, p) AS (VALUES {rows}),
-w AS (SELECT a.ts_id, a.idx, b.idx - a.idx AS j, b.value AS v, a.ts FROM numbered a JOIN numbered b ON b.ts_id = a.ts_id AND b.idx BETWEEN a.idx AND a.idx + {len(p) - 1} WHERE a.idx + {len(p) - 1} < a.n),
+w AS (SELECT a.ts_id, a.idx, b.idx - a.idx AS j, b.value AS v, a.ts FROM {source} a JOIN {source} b ON b.ts_id = a.ts_id AND b.idx BETWEEN a.idx AND a.idx + {len(p) - 1} WHERE a.idx + {len(p) - 1} < a.n),
 z AS (SELECT *, avg(v) OVER (PARTITION BY ts_id, idx) AS m, stddev_pop(v) OVER (PARTITION BY ts_id, idx) AS s FROM w),
 dist AS (SELECT z.ts_id, z.idx, min(z.ts) AS start_ts, sqrt(sum(pow((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END - p, 2))) AS d FROM z JOIN pat ON pat.j = z.j GROUP BY z.ts_id, z.idx)"""
 
 
+def _greedy(source: str, score: str, reach: int, k: int) -> str:
+    """``picked``: the best window of each series, then the best of those beyond its reach, and so on."""
+    steps = []
+    for i in range(1, k + 1):
+        earlier = "".join(f" JOIN pick{j} p{j} ON p{j}.ts_id = x.ts_id AND abs(x.idx - p{j}.idx) > {reach}" for j in range(1, i))
+        steps.append(f"pick{i} AS (SELECT x.ts_id, arg_min(x.idx, (x.{score}, x.idx)) AS idx, min(x.{score}) AS {score} FROM {source} x{earlier} GROUP BY x.ts_id)")
+    return ", ".join(steps) + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM pick{i}" for i in range(1, k + 1)) + ")"
+
+
+def _reach(name: str) -> int:
+    n = len(template(name))
+    return n - 1 + n // 2
+
+
+_HOURLY = """hours AS (SELECT event_type AS ts_id, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY 1, 2),
+hourly AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY ts_id) AS n FROM hours)"""
+
+
 @query("p1_p2_window_distances", f"WITH {_distances('spike')} SELECT ts_id, idx, strftime(start_ts, '%Y-%m-%d %H:%M:%S') AS start_ts, round(d, 6) AS distance FROM dist")
 def _(spark, d):
     w = P.window_distances(_users(spark, d).measurements, "spike")
@@ -170,14 +188,20 @@ def _(spark, d):
     return m.select("ts_id", "idx", r6("distance").alias("distance"), r6("similarity").alias("similarity"))
 
 
-@query("p3_top_matches")
+@query("p3_top_matches", f"WITH {_HOURLY}, {_distances('spike', 'hourly')}, {_greedy('dist', 'd', _reach('spike'), 8)} SELECT ts_id, idx, round(d, 6) AS distance FROM picked")
 def _(spark, d):
     g = signal_graph(spark, d, by_day=False)
     merged = g.measurements.select("variable", "ts", "value").groupBy(F.col("variable").alias("ts_id"), "variable", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value"))
     return P.find_pattern(merged, "spike", top_k=8).select("ts_id", "idx", r6("distance").alias("distance"))
 
 
-@query("p3_threshold_matches")
+@query("p3_threshold_matches", f"""
+WITH RECURSIVE {_HOURLY}, {_distances('spike', 'hourly')}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY d, idx) AS k FROM dist WHERE d <= 2.5),
+walk AS (SELECT DISTINCT ts_id, 0::BIGINT AS k, []::BIGINT[] AS chosen FROM r UNION ALL
+         SELECT r.ts_id, r.k, CASE WHEN len(list_filter(chosen, lambda x: abs(x - r.idx) <= {_reach('spike')})) = 0 THEN list_append(chosen, r.idx) ELSE chosen END
+         FROM walk JOIN r ON r.ts_id = walk.ts_id AND r.k = walk.k + 1),
+kept AS (SELECT ts_id, unnest(arg_max(chosen, k)) AS idx FROM walk GROUP BY ts_id)
+SELECT ts_id, idx, round(d, 6) AS distance FROM kept JOIN dist USING (ts_id, idx)""")
 def _(spark, d):
     g = signal_graph(spark, d, by_day=False)
     merged = g.measurements.groupBy(F.col("variable").alias("ts_id"), "variable", F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value"))
@@ -192,10 +216,10 @@ def _(spark, d):
 @query("p6_window_features", """
 WITH w AS (SELECT ts_id, idx, n, avg(value) OVER s AS mean, stddev_pop(value) OVER s AS std FROM numbered WINDOW s AS (PARTITION BY ts_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
 e AS (SELECT ts_id, idx, abs(mean - 50) / 50 + abs(std - 40) / 40 AS score FROM w WHERE idx <= n - 5 AND abs(mean - 50) / 50 <= 0.2 AND abs(std - 40) / 40 <= 0.2),
-r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY score, idx) AS k FROM e)
-SELECT ts_id, idx, round(score, 6) AS score FROM r WHERE k = 1""")
+""" + _greedy("e", "score", 6, 3) + """
+SELECT ts_id, idx, round(score, 6) AS score FROM picked""")
 def _(spark, d):
-    m = P.find_features(_users(spark, d).measurements, {"mean": 50, "std": 40}, length=5, top_k=1)
+    m = P.find_features(_users(spark, d).measurements, {"mean": 50, "std": 40}, length=5, top_k=3)
     return m.select("ts_id", "idx", r6("score").alias("score"))
 
 
@@ -222,17 +246,17 @@ def _(spark, d):
 
 
 @query("f8_pattern_matches", f"""
-WITH {_distances('peak')}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY d, idx) AS k FROM dist)
-SELECT 'U' || split_part(ts_id, '_', 3) AS uid, idx, round(d, 6) AS distance FROM r WHERE k = 1 AND ts_id LIKE 'ts_view_%' AND 'U' || split_part(ts_id, '_', 3) IN (SELECT uid FROM u_nodes WHERE acctbal > 2000)""")
+WITH {_distances('peak')}, {_greedy('dist', 'd', _reach('peak'), 3)}
+SELECT 'U' || split_part(ts_id, '_', 3) AS uid, idx, round(d, 6) AS distance FROM picked WHERE ts_id LIKE 'ts_view_%' AND 'U' || split_part(ts_id, '_', 3) IN (SELECT uid FROM u_nodes WHERE acctbal > 2000)""")
 def _(spark, d):
     q = _users(spark, d).query().nodes("User").where_static("acctbal", ">", 2000)
-    return q.pattern_matches("view", "peak", top_k=1).select("uid", "idx", r6("distance").alias("distance"))
+    return q.pattern_matches("view", "peak", top_k=3).select("uid", "idx", r6("distance").alias("distance"))
 
 
 @query("p4_match_summary", f"""
-WITH {_distances('increasing')}, r AS (SELECT *, row_number() OVER (PARTITION BY ts_id ORDER BY d, idx) AS k FROM dist), sp AS (SELECT ts_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM days GROUP BY ts_id)
-SELECT r.ts_id, 1::BIGINT AS frequency, round(d, 6) AS best_distance, round(1 / days, 6) AS per_day FROM r JOIN sp ON sp.ts_id = r.ts_id WHERE k = 1""")
+WITH {_distances('increasing')}, {_greedy('dist', 'd', _reach('increasing'), 3)}, sp AS (SELECT ts_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0 AS days FROM days GROUP BY ts_id)
+SELECT sp.ts_id, count(*) AS frequency, round(min(d), 6) AS best_distance, round(count(*) / any_value(days), 6) AS per_day FROM picked JOIN sp ON sp.ts_id = picked.ts_id GROUP BY sp.ts_id""")
 def _(spark, d):
     m = _users(spark, d).measurements
-    s = P.match_summary(P.find_pattern(m, "increasing", top_k=1), m)
+    s = P.match_summary(P.find_pattern(m, "increasing", top_k=3), m)
     return s.select("ts_id", "frequency", r6("best_distance").alias("best_distance"), r6("per_day").alias("per_day"))
