@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_kept_clean: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -23,13 +24,25 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The application's own folder in there; Spark removes it when the application ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{scratch_root(spark)}/{app}"
+    if app not in _kept_clean:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only a folder that is there can be marked
+        files.deleteOnExit(path)
+        _kept_clean.add(app)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows once and go on from the written table.
 
     Unlike cached blocks the table outlives lost executors, its plan is one scan, and its size
     is known to the optimizer.
     """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
