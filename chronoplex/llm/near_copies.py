@@ -1,10 +1,11 @@
 """Groups of near copies by SimHash: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At that similarity a fingerprint of 64 bits differs in about ten, far more than anchors can cover. So the two jobs of a fingerprint are
+At that similarity a fingerprint of 64 bits differs in about ten, far more than anchors can cover. So the jobs of a fingerprint are
 parted. Several short fingerprints of the document's *words* find candidates: where a fifth of the shingles differ only a few
 words in a hundred do, so these bits hardly change. Each is covered by anchors: 23 bits by the Golay code, with one bit beyond its
-radius, times 12 plain bits. A sketch of 256 bits of the *shingles* then decides at each anchor: with a share p of differing bits the cosine
-is about cos(pi p), and the Jaccard similarity cosine / (2 - cosine). Per anchor only a star of links leaves the task.
+radius, times plain bits. A sketch of the *shingles* discards candidates at each anchor: with a share p of differing bits the cosine
+is about cos(pi p), and the Jaccard similarity cosine / (2 - cosine); its limit is generous. What is left is decided by the sets of shingles
+themselves. Per anchor only a forest of links leaves the task; where one of them fails, all other pairs of the parts it leaves are tried.
 """
 
 from __future__ import annotations
@@ -18,20 +19,23 @@ from pyspark.sql import functions as F
 
 from ..plans.fixpoint import weak_components
 from ..plans.lineage import cut
-from .simhash import BLOCK_PAIRS, LENGTH, Golay, merge
+from .simhash import BLOCK_PAIRS, LENGTH, Golay
 from .text import Words, mix, pieces
 
 #: Short fingerprints per document, plain bits of each, bits beyond the code's radius, and the sketch's bits.
 TABLES, PLAIN, BEYOND, SKETCH_BITS = 16, 12, 1, 256
 #: Words of a text that are weighed at once.
 ROWS_AT_ONCE = 20_000
-_SCHEMA = "anchor long, doc long, sketch binary, home boolean"
+#: Standard deviations by which the sketches of a pair may differ in more bits than the mean pair of the least similarity.
+SIGMAS = 3.5
+_PRINTS = "doc long, short binary, sketch binary"
+_SCHEMA = "anchor long, doc long, sketch binary, home boolean, part long"
 
 
-def distance_limit(similarity: float) -> int:
-    """Bits in which the sketches of two sets with this Jaccard similarity differ on average."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(SKETCH_BITS * float(np.arccos(cosine)) / np.pi)
+def distance_limit(similarity: float, sigmas: float = 0.0) -> int:
+    """Bits in which the sketches of two sets with this Jaccard similarity differ on average, and so many deviations more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity))) / np.pi
+    return round(SKETCH_BITS * share + sigmas * (SKETCH_BITS * share * (1 - share)) ** 0.5)
 
 
 def _signs(hashes: np.ndarray, weights: np.ndarray, words: int) -> np.ndarray:
@@ -44,15 +48,20 @@ def _signs(hashes: np.ndarray, weights: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(2 * total > weights.sum(), bitorder="little")
 
 
-def document_bits(hashes: np.ndarray, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The short fingerprints' bytes and the sketch's bytes for one document's word hashes."""
-    words, times = np.unique(hashes, return_counts=True)
-    short = _signs(words, np.sqrt(times), -(-TABLES * (LENGTH + PLAIN) // 64))
+def shingle_set(hashes: np.ndarray, words_per_shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes, sorted, for one document's word hashes; a document with fewer words is one shingle."""
     n = max(1, len(hashes) - words_per_shingle + 1) if len(hashes) else 0
     shingles = np.zeros(n, dtype=np.uint64)
     for j in range(min(words_per_shingle, len(hashes))):
         shingles = mix(shingles * np.uint64(0x9E3779B97F4A7C15) + hashes[j: j + n])
-    distinct = np.unique(shingles)
+    return np.unique(shingles)
+
+
+def document_bits(hashes: np.ndarray, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The short fingerprints' bytes and the sketch's bytes for one document's word hashes."""
+    words, times = np.unique(hashes, return_counts=True)
+    short = _signs(words, np.sqrt(times), -(-TABLES * (LENGTH + PLAIN) // 64))
+    distinct = shingle_set(hashes, words_per_shingle)
     return short, _signs(distinct, np.ones(len(distinct)), SKETCH_BITS // 64)
 
 
@@ -63,58 +72,142 @@ def _table_bits(short: np.ndarray) -> np.ndarray:
     return bits.astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
 
 
-def _replicate(words_per_shingle: int):
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    flat = column.cast(pa.binary(width))
+    return np.frombuffer(flat.buffers()[1], dtype=np.uint8)[flat.offset * width:][: len(flat) * width].reshape(-1, width)
+
+
+def _prints(words_per_shingle: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        golay = Golay(BEYOND)
         for batch in batches:
             for some in pieces(batch, "text"):
                 words = Words(some.column("text"))
                 hashes, ends = words.hashes(), np.cumsum(words.counts)
                 both = [document_bits(hashes[b - n: b], words_per_shingle) for b, n in zip(ends, words.counts)]
-                keys = _table_bits(np.stack([x[0] for x in both]))
-                sketches = np.stack([x[1] for x in both])
-                table = np.tile(np.arange(TABLES), len(keys))
-                key = keys.ravel()
-                row, code, excess = golay.near(key & ((1 << LENGTH) - 1), np.full(len(key), BEYOND))
-                anchor = (table[row] << (LENGTH + PLAIN)) | (key[row] >> LENGTH << LENGTH) | code
-                of = row // TABLES
-                raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH_BITS // 8), len(of), [None, pa.py_buffer(np.ascontiguousarray(sketches[of]))])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), some.column("doc").take(pa.array(of)), raw.cast(pa.binary()), pa.array(excess == 0)],
-                    names=["anchor", "doc", "sketch", "home"])
+                    [some.column("doc"), *(_binary(np.stack([x[k] for x in both])) for k in (0, 1))], names=["doc", "short", "sketch"])
+    return stream
+
+
+def _shingle_sets(words_per_shingle: int):
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in pieces(batch, "text"):
+                words = Words(some.column("text"))
+                hashes, ends = words.hashes(), np.cumsum(words.counts)
+                sets = [shingle_set(hashes[b - n: b], words_per_shingle).view(np.int64) for b, n in zip(ends, words.counts)]
+                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("doc"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], names=["doc", "shingles"])
     return stream
 
 
-def _compare(limit: int):
-    """Star edges (document, smallest linked document) for each anchor, from rows sorted by anchor."""
-
-    def edges(anchor: np.ndarray, doc: np.ndarray, sketch: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((doc, anchor))
-        anchor, doc, sketch, home = anchor[order], doc[order], sketch[order], home[order]
-        starts = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
-        sizes = np.diff(np.append(starts, len(anchor)))
-        owner = np.repeat(np.arange(len(starts)), sizes)
-        parent = np.arange(len(doc))
-        at = np.flatnonzero(home & (sizes[owner] > 1))
-        total, lo = np.cumsum(sizes[owner[at]]), 0
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_PAIRS // 4, side="right")))
-            n = sizes[owner[at[lo:hi]]]
-            left = np.repeat(at[lo:hi], n)
-            right = np.repeat(starts[owner[at[lo:hi]]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    golay = Golay(BEYOND)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            batch = whole.slice(at, 2048)
+            keys = _table_bits(_bytes(batch.column("short"), -(-TABLES * (LENGTH + PLAIN) // 64) * 8))
+            sketches = _bytes(batch.column("sketch"), SKETCH_BITS // 8)
+            table = np.tile(np.arange(TABLES), len(keys))
+            key = keys.ravel()
+            row, code, excess = golay.near(key & ((1 << LENGTH) - 1), np.full(len(key), BEYOND))
+            anchor = (table[row] << (LENGTH + PLAIN)) | (key[row] >> LENGTH << LENGTH) | code
+            of = row // TABLES
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchor), batch.column("doc").take(pa.array(of)), _binary(sketches[of]), pa.array(excess == 0), batch.column("part").take(pa.array(of))],
+                names=["anchor", "doc", "sketch", "home", "part"])
+
+
+def _blocks(anchor: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one anchor, the left one at home there, from rows sorted by anchor."""
+    starts = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
+    sizes = np.diff(np.append(starts, len(anchor)))
+    owner = np.repeat(np.arange(len(starts)), sizes)
+    at = np.flatnonzero(home & (sizes[owner] > 1))
+    total, lo = np.cumsum(sizes[owner[at]]), 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_PAIRS // 4, side="right")))
+        n = sizes[owner[at[lo:hi]]]
+        left = np.repeat(at[lo:hi], n)
+        yield left, np.repeat(starts[owner[at[lo:hi]]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        lo = hi
+
+
+def _span(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a and b joined as by ``merge``, and which pairs did it: one for each set that went into another."""
+    chosen, at = [np.zeros(0, dtype=np.int64)], np.arange(len(a))
+    while len(at):
+        x, y = parent[a[at]], parent[b[at]]
+        apart = x != y
+        at, high, low = at[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        np.minimum.at(parent, high, low)
+        won = np.flatnonzero(parent[high] == low)
+        chosen.append(at[won[np.unique(high[won], return_index=True)[1]]])
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
+    return parent, np.concatenate(chosen)
+
+
+def _forest(close: int, limit: int):
+    """Pairs within ``limit`` bits that span each anchor's documents; pairs within ``close`` bits are taken first."""
+
+    def edges(anchor: np.ndarray, doc: np.ndarray, sketch: np.ndarray, home: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parent, found, late, held = np.arange(len(doc)), [], [], 0
+
+        def take(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            parent, chosen = _span(parent, left, right)
+            found.append((left[chosen], right[chosen]))
+            return parent
+
+        for left, right in _blocks(anchor, home):
             new = parent[left] != parent[right]  # what is linked already needs no comparison
             left, right = left[new], right[new]
+            bits = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
+            parent = take(parent, left[bits <= close], right[bits <= close])
+            wide = (bits <= limit) & (parent[left] != parent[right])
+            late.append((left[wide], right[wide]))
+            held += int(wide.sum())
+            if held > BLOCK_PAIRS:
+                parent, late, held = take(parent, *map(np.concatenate, zip(*late))), [], 0
+        if late:
+            take(parent, *map(np.concatenate, zip(*late)))
+        left, right = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return doc[left], doc[right]
+
+    return _by_anchor(edges)
+
+
+def _across(limit: int):
+    """All pairs of documents of different parts within ``limit`` bits."""
+
+    def edges(anchor: np.ndarray, doc: np.ndarray, sketch: np.ndarray, home: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(np.zeros(0, np.int64),) * 2]
+        for left, right in _blocks(anchor, home):
+            new = part[left] != part[right]
+            left, right = left[new], right[new]
             near = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= limit
-            parent = merge(parent, left[near], right[near])
-            lo = hi
-        moved = np.flatnonzero(parent != np.arange(len(parent)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[moved]), pa.array(doc[parent[moved]])], names=["src", "dst"])
+            found.append((doc[left[near]], doc[right[near]]))
+        return tuple(map(np.concatenate, zip(*found)))
+
+    return _by_anchor(edges)
+
+
+def _by_anchor(edges):
+    """``edges`` applied to runs of whole anchors, from rows sorted by anchor; pairs come out with the larger document first."""
+
+    def found(*held: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((held[1], held[0]))
+        a, b = edges(*(x[order] for x in held))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
 
     def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        flat = batch.column("sketch").cast(pa.binary(SKETCH_BITS // 8))
-        raw = np.frombuffer(flat.buffers()[1], dtype=np.uint64)[flat.offset * SKETCH_BITS // 64:][: len(flat) * SKETCH_BITS // 64]
-        return [batch.column("anchor").to_numpy(), batch.column("doc").to_numpy(), raw.reshape(-1, SKETCH_BITS // 64),
-                batch.column("home").to_numpy(zero_copy_only=False)]
+        return [batch.column("anchor").to_numpy(), batch.column("doc").to_numpy(), _bytes(batch.column("sketch"), SKETCH_BITS // 8).view(np.uint64),
+                batch.column("home").to_numpy(zero_copy_only=False), batch.column("part").to_numpy()]
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -128,26 +221,76 @@ def _compare(limit: int):
             last = int(np.searchsorted(now[0], now[0][-1]))
             ready = [np.concatenate(x) for x in zip(*held, [x[:last] for x in now])]
             if len(ready[0]):
-                yield edges(*ready)
+                yield found(*ready)
             held = [[x[last:] for x in now]]
         if held:
-            yield edges(*(np.concatenate(x) for x in zip(*held)))
+            yield found(*(np.concatenate(x) for x in zip(*held)))
 
     return stream
 
 
+def _candidates(prints: DataFrame, within) -> DataFrame:
+    met = prints.mapInArrow(_replicate, _SCHEMA)
+    pairs = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(within, "src long, dst long")
+    return pairs.filter(F.col("src") != F.col("dst")).distinct()
+
+
+def _decided(rows: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """``src, dst, same``: whether the pair's sets of shingles have the similarity."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
+    sets = cut(rows.join(ends, "doc", "left_semi").mapInArrow(_shingle_sets(words_per_shingle), "doc long, shingles array<long>"))
+    both = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - both
+    same = F.when(union > 0, both / union >= similarity).otherwise(True)
+    one, other = (sets.select(F.col("doc").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    return cut(pairs.join(one, "src").join(other, "dst").select("src", "dst", same.alias("same")).groupBy("src", "dst").agg(F.max("same").alias("same")))
+
+
+def _parts(links: DataFrame) -> DataFrame:
+    return cut(weak_components(links.select(F.explode(F.array("src", "dst")).alias("uid")), links, edges_inside=True))
+
+
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``pairs`` with the parts of both ends, where these differ; a document without a link is a part of its own."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(parts.select(F.col("uid").alias(end), F.col("comp").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return pairs.filter(F.col("of_src") != F.col("of_dst"))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for documents that have a near copy, directly or over others; documents without one have no row.
 
+    Every link is a pair of documents whose sets of shingles have the similarity; the sketch only finds pairs to compare.
     ``component_id`` is the smallest identifier of the group. A null text counts as empty; rows with a null identifier take no part. Rows
     that share an identifier are one document. Other columns are not read. An empty table gives an empty result.
     """
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    met = rows.mapInArrow(_replicate(words_per_shingle), _SCHEMA)
-    stars = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(distance_limit(similarity)), "src long, dst long")
-    edges = cut(stars.filter(F.col("src") != F.col("dst")).distinct())
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("uid"))
-    return weak_components(nodes, edges, edges_inside=True).select(F.col("uid").alias("doc_id"), F.col("comp").alias("component_id"))
+    prints = cut(rows.mapInArrow(_prints(words_per_shingle), _PRINTS))
+    limit = distance_limit(similarity, SIGMAS)
+    forest = cut(_candidates(prints.withColumn("part", F.col("doc")), _forest(distance_limit((1 + similarity) / 2), limit)))
+    # one pair for each document first: few of the others still join different parts
+    first = forest.groupBy("src").agg(F.min("dst").alias("dst"))
+    tried = _decided(rows, first, similarity, words_per_shingle)
+    links = tried.filter("same").select("src", "dst")
+    parts = _parts(links)
+    rest = cut(_apart(forest, parts).select("src", "dst").join(tried.select("src", "dst"), ["src", "dst"], "left_anti"))
+    if not rest.isEmpty():
+        more = _decided(rows, rest, similarity, words_per_shingle)
+        tried = tried.unionByName(more)
+        links = tried.filter("same").select("src", "dst")
+        parts = _parts(links)
+    # two documents whose sketches are near are joined by the forest; if they are in different parts, a pair on the way has failed and
+    # each of them is in the part of an end of such a pair
+    failed = cut(_apart(tried.filter("NOT same"), parts))
+    if not failed.isEmpty():
+        of = failed.select(F.explode(F.array("of_src", "of_dst")).alias("part")).distinct()
+        placed = prints.join(parts.select(F.col("uid").alias("doc"), F.col("comp").alias("part")), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
+        others = _candidates(placed.join(of, "part", "left_semi").select("doc", "short", "sketch", "part"), _across(limit))
+        others = cut(others.join(tried.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if not others.isEmpty():
+            links = links.unionByName(_decided(rows, others, similarity, words_per_shingle).filter("same").select("src", "dst"))
+            parts = _parts(links)
+    return parts.select(F.col("uid").alias("doc_id"), F.col("comp").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -116,6 +116,38 @@ def test_near_copies(spark):
     assert N.near_copies(docs.limit(0)).collect() == []
 
 
+def planted_pair(rng, vocabulary, kind, n, at_least):
+    """A text of n words and a copy of it, edited as long as their similarity stays at ``at_least`` or above."""
+    base = rng.choices(vocabulary, k=n)
+    if kind == "cut":
+        base, copy = base, base[: 4 + int(np.ceil((n - 4) * at_least))]
+    elif kind == "append":
+        copy = base + rng.choices(vocabulary, k=int((n - 4) / at_least) - (n - 4))
+    else:
+        copy = list(base)
+        for at in rng.sample(range(n), n):
+            changed = copy[:at] + [f"new{rng.random()}"] + copy[at + 1:]
+            if jaccard(" ".join(base), " ".join(changed)) < at_least:
+                break
+            copy = changed
+    return " ".join(base), " ".join(copy)
+
+
+@pytest.mark.parametrize("kind", ["substitute"])
+def test_near_copies_decide_by_the_exact_similarity(spark, kind):
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, want, wrong = [], set(), 0
+    for g, at_least in enumerate([0.75, 0.78, 0.80, 0.82] * 25):
+        base, copy = planted_pair(rng, vocabulary, kind, 300, at_least)
+        rows += [(2 * g, base), (2 * g + 1, copy)]
+        if jaccard(base, copy) >= 0.8:
+            want.add(2 * g + 1)
+    assert 45 <= len(want) <= 55
+    got = {r.doc_id for r in N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != r.component_id}
+    assert not got - want and len(got) >= 0.98 * len(want)
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
