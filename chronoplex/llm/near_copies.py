@@ -23,7 +23,7 @@ from .simhash import BLOCK_PAIRS, LENGTH, Golay
 from .text import Words, mix, pieces
 
 #: Short fingerprints per document, plain bits of each, bits beyond the code's radius, and the sketch's bits.
-TABLES, PLAIN, BEYOND, SKETCH_BITS = 16, 12, 1, 256
+TABLES, PLAIN, BEYOND, SKETCH_BITS = 24, 4, 1, 128
 #: Words of a text that are weighed at once.
 ROWS_AT_ONCE = 20_000
 #: Standard deviations by which the sketches of a pair may differ in more bits than the mean pair of the least similarity.

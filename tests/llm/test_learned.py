@@ -133,7 +133,7 @@ def planted_pair(rng, vocabulary, kind, n, at_least):
     return " ".join(base), " ".join(copy)
 
 
-@pytest.mark.parametrize("kind", ["substitute"])
+@pytest.mark.parametrize("kind", ["substitute", "append", "cut"])
 def test_near_copies_decide_by_the_exact_similarity(spark, kind):
     rng = random.Random(21)
     vocabulary = [f"w{k}" for k in range(3000)]
@@ -148,6 +148,18 @@ def test_near_copies_decide_by_the_exact_similarity(spark, kind):
     assert not got - want and len(got) >= 0.98 * len(want)
 
 
+def test_near_copies_try_other_pairs_where_a_link_of_the_forest_fails(spark):
+    # a row of texts, each near the next one only: similarities of 0.89 to the next, 0.79 to the one after it
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(2000)]
+    texts = [words[17 * k: 17 * k + 300] for k in range(40)]
+    order = rng.sample(range(40), 40)
+    rows = [(i, " ".join(texts[k])) for i, k in enumerate(order)]
+    assert jaccard(rows[order.index(0)][1], rows[order.index(1)][1]) >= 0.8 > jaccard(rows[order.index(0)][1], rows[order.index(2)][1])
+    got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(40)]
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "exact_dedup", "simhash_near_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
