@@ -4,7 +4,8 @@ A mask selects some of the token positions of a window and ignores the others, s
 window of a benchmark item is hashed under every mask. Documents are hashed the same way; bitmaps of the benchmark's words and
 hashes, of fixed size, discard nearly all windows inside the row, and only documents with windows that are left go on. Their windows join the
 benchmark's hashes, each hit names a diagonal (where the item would begin in the document), and along the diagonal tokens are
-compared one by one: the best stretch, matches minus mismatches, decides. All of it is DataFrame expressions.
+compared one by one, together with the diagonals next to it, so that a word put in or left out does not end a stretch: the best stretch,
+matches minus mismatches, decides. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from ..plans.lineage import cut
 MASKS = ((0, 1, 2, 5, 7, 9), (0, 2, 3, 4, 8, 9), (0, 1, 4, 6, 7, 8))
 #: Bits of the bitmaps of the benchmark's words and windows as powers of two, and how many places of the latter a hash has.
 WORD_BITMAP_LOG2, SEED_BITMAP_LOG2, SEED_PROBES = 16, 20, 3
-#: A document is contaminated by an item if the best stretch scores at least this share of the item's tokens, and this many.
-LEAST_SHARE, LEAST_TOKENS = 0.5, 8
+#: A document is contaminated by an item if the best stretch scores at least this share of the item's tokens or ENOUGH_TOKENS, whichever
+#: is less, and LEAST_TOKENS.
+LEAST_SHARE, LEAST_TOKENS, ENOUGH_TOKENS = 0.5, 8, 13
+#: Diagonals on either side of a hit's that a stretch may go over to; each step costs as much as a mismatch.
+BAND = 2
 
 
 def _words(text: Column) -> Column:
@@ -67,10 +71,11 @@ def _bitmap(values: DataFrame, log2: int, probes: int) -> Callable[[Column], Col
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-                 masks: tuple[tuple[int, ...], ...] = MASKS, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+                 masks: tuple[tuple[int, ...], ...] = MASKS, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS,
+                 enough_tokens: int = ENOUGH_TOKENS) -> DataFrame:
     """``doc_id, item_id, score, item_tokens, begins``: one row per document and benchmark item found in it, no others.
 
-    ``score`` is the best stretch's matches minus mismatches, ``begins`` the token of the document where the item would begin on
+    ``score`` is the best stretch's matches minus mismatches and minus words put in or left out, ``begins`` the token of the document where the item would begin on
     that diagonal (it may be negative if only the item's end is there). Null texts are empty. Items with fewer tokens than a mask spans cannot be found. Rows
     that share an identifier count as one document; null identifiers are kept. An empty table gives an empty result.
     """
@@ -97,16 +102,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         .join(left.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), "tokens").dropDuplicates(["_doc", "_body"]),
               F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("body") == F.col("_body")))
     )
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
-    equal = F.transform("wanted", lambda x, i: F.when((F.col("begins") + i >= 0) & (F.get(F.col("tokens"), F.col("begins") + i) == x), F.lit(1)).otherwise(F.lit(-1)))
-    score = F.aggregate(
-        equal, start,
-        lambda a, e: F.struct(F.greatest(a["now"] + e, F.lit(0)).alias("now"), F.greatest(a["best"], a["now"] + e).alias("best")), lambda a: a["best"])
-    scored = paired.select("doc_id", "item_id", "begins", F.size("wanted").alias("item_tokens"), score.alias("score"))
+    # by diagonal of the band: what a stretch that ends at this token of the item scores there
+    band = range(2 * BAND + 1)
+    equal = F.transform("wanted", lambda x, i: F.array(*(
+        F.when((F.col("begins") + i + d - BAND >= 0) & (F.get(F.col("tokens"), F.col("begins") + i + d - BAND) == x), F.lit(1)).otherwise(F.lit(-1)) for d in band)))
+
+    def longer(a: Column, e: Column) -> Column:
+        now = [F.greatest(F.lit(0), F.greatest(*(a["now"][c] - abs(c - d) for c in band)) + e[d]) for d in band]
+        own = F.greatest(F.lit(0), a["own"] + e[BAND])
+        return F.struct(F.array(*now).alias("now"), F.greatest(a["best"], *now).alias("best"), own.alias("own"), F.greatest(a["best_own"], own).alias("best_own"))
+
+    start = F.struct(F.array(*(F.lit(0) for _ in band)).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("own"), F.lit(0).alias("best_own"))
+    score = F.aggregate(equal, start, longer, lambda a: F.struct(a["best"].alias("score"), a["best_own"].alias("own")))
+    scored = paired.select("doc_id", "item_id", "begins", F.size("wanted").alias("item_tokens"), score.alias("s")).select(
+        "doc_id", "item_id", "begins", "item_tokens", "s.score", "s.own")
+    least = F.greatest(F.lit(float(least_tokens)), F.least(F.lit(float(enough_tokens)), least_share * F.col("item_tokens")))
     return (
-        scored.filter(F.col("score") >= F.greatest(F.lit(float(least_tokens)), least_share * F.col("item_tokens")))
+        scored.filter(F.col("score") >= least)
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("score", (-F.col("begins")).alias("place"), "item_tokens")).alias("b"))
+        .agg(F.max(F.struct("score", "own", (-F.col("begins")).alias("place"), "item_tokens")).alias("b"))
         .select("doc_id", "item_id", "b.score", "b.item_tokens", (-F.col("b.place")).alias("begins"))
     )
 

@@ -206,6 +206,24 @@ def test_contaminated(spark):
     assert contaminated(docs.limit(0), bench).collect() == [] and contaminated(docs, bench.limit(0)).collect() == []
 
 
+def test_contaminated_by_parts_of_items(spark):
+    rng = random.Random(3)
+    prose = lambda n, w: [f"{w}{rng.randrange(5000)}" for _ in range(n)]
+    items = {0: prose(59, "a"), 1: prose(300, "b"), 2: prose(24, "c"), 3: prose(24, "d"), 4: prose(55, "e")}
+    around = lambda words: " ".join(prose(40, "z") + words + prose(40, "z"))
+    other = set(rng.sample(range(55), 14))
+    quarter = ["other" if k in other else w for k, w in enumerate(items[4])]
+    leaks = {
+        1: (0, items[0][:29]), 2: (0, items[0][30:]), 3: (1, items[1][80:220]), 4: (4, quarter),
+        5: (2, items[2][:10] + items[2][11:17] + ["other"] + items[2][18:]),  # a word left out and one replaced
+        6: (3, items[3][:10] + ["put", "in"] + items[3][10:17] + ["other"] + items[3][18:]),
+    }
+    rows = [(i, around(words)) for i, (_, words) in leaks.items()] + [(50, around(items[0][:12])), (51, around(items[2][:11])), (52, around([]))]
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(1, 0): 29, (2, 0): 29, (3, 1): 140, (4, 4): got.get((4, 4)), (5, 2): 19, (6, 3): 20} and got[4, 4] >= 20
+
+
 # --- registered queries
 
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
