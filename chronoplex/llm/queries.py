@@ -11,6 +11,7 @@ from .decontamination import contaminated
 from .exact_dedup import exact_dedup
 from .language_model import score_documents
 from .line_dedup import line_dedup
+from .ngram_join import similar_components
 from .packing import pack
 from .quality import classify_quality
 from .simhash import simhash_components
@@ -128,3 +129,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op13_ngram_jaccard_join", rf"""
+    WITH RECURSIVE split AS (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+        SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM split),
+    tokens AS (SELECT r, len(s) AS n, unnest(s) AS t FROM sets),
+    links AS (SELECT a.r AS x, b.r AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.r <> b.r
+              GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reached(x, y) AS (SELECT r, r FROM sets UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x)
+    SELECT any_value(a.doc_id) AS doc_id, len(any_value(a.s)) AS n_shingles, min(b.doc_id) AS component_id
+    FROM reached JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY x""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"))
