@@ -1,9 +1,11 @@
 """N-gram Jaccard self-join: documents whose sets of word shingles are similar, and the components of these links.
 
 Equal sets count once. Shingles have one order for all documents, rarest first as far as a count sketch over the whole table tells, ties by
-hash. Two similar sets share a shingle of their prefixes in this order, so a set is posted under its prefix only. A posting is skipped where its position
-rules out every set size of its list. The smallest set of a list is its pivot; sets meet in the groups of their pivots, and ``set_links``
-decides there from the whole sets.
+hash. A set is posted under its prefix in this order, which is longer by a share of the set: two similar sets have several shingles of their
+prefixes in common. Index lists are cut by size classes; a posting is skipped where its size and position rule out all that its list has in the classes around. The
+smallest set of a list is its pivot, and sets meet in the groups of their pivots. A set leaves out the pivots that it shares least with, as long as they
+hold less than half of the shingles that it needs in common with another set, so two similar sets always keep a pivot in common. ``set_links`` decides in
+each group from the whole sets.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
@@ -25,6 +27,8 @@ from .text import Words, mix, pieces
 COUNTER_BITS = 20
 #: Sketches that one task adds up.
 FAN_IN = 16
+#: A prefix is longer by one shingle for so many shingles of the set, and as many more are in common.
+MORE_EACH = 30
 
 
 def set_key(tokens: np.ndarray) -> int:
@@ -78,7 +82,7 @@ def _prints(words_per_shingle: int, similarity: Fraction, classes: np.ndarray):
 
     def prefix(tokens: np.ndarray) -> np.ndarray:
         order = np.lexsort((tokens, classes[tokens >> np.uint64(64 - COUNTER_BITS)]))
-        return tokens[order[: len(tokens) + -num * len(tokens) // den + 1]] if len(tokens) else tokens
+        return tokens[order[: len(tokens) + -num * len(tokens) // den + 1 + len(tokens) // MORE_EACH]] if len(tokens) else tokens
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,6 +93,42 @@ def _prints(words_per_shingle: int, similarity: Fraction, classes: np.ndarray):
     return stream
 
 
+def _at_least(n: Column, num: int, den: int) -> Column:
+    """The least size of a set that is similar to one of size n."""
+    return F.ceil(n * num / F.lit(den))
+
+
+def _members(nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """``grp, key, n``: the groups in which a set can meet similar ones."""
+    n, i = F.col("n"), F.col("i")
+    # two sizes that allow the similarity are of one class or of neighbouring ones
+    size_class = F.floor(F.log(n) / float(np.log(den / num)) + 1e-9).cast("int")
+    tokens = nodes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    # most shingles are one set's own: they go before anything else is gathered about them
+    posted = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "token")).join(tokens, "token", "left_semi")
+    posted = cut(posted.withColumn("class", size_class))
+    whole = Window.partitionBy("token")
+    along = whole.orderBy("class")
+    near = lambda name, step: F.when(F.lag("class", step).over(along) == F.col("class") - step, F.lag(name, step).over(along))
+    lists = (
+        posted.groupBy("token", "class").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("node").alias("low"))
+        .withColumns({"grp": F.min("low").over(whole), "below": near("most", 1), "above": near("least", -1)})
+        .select("token", "class", "m", "least", "below", "above", "grp")
+    )
+    # the first shingles in common: at position i, so many of the set can be in common at most; a set of that size needs share * (n + size) of them
+    possible = (num + den) * (n - i + F.floor(n / MORE_EACH))
+    fits = lambda size: F.coalesce((possible >= num * (n + size)) & (F.least(n, size) * den >= F.greatest(n, size) * num), F.lit(False))
+    alone = (F.col("m") > 1) & (possible >= num * (n + F.greatest(F.col("least"), _at_least(n, num, den))))
+    below = F.coalesce((F.col("below") * den >= n * num) & (possible >= num * (n + _at_least(n, num, den))), F.lit(False))
+    shared = posted.join(lists, ["token", "class"]).filter(alone | below | fits(F.col("above"))).groupBy("node", "grp").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    needed = 1 + F.floor(_at_least(n, num, den) / MORE_EACH)
+    own = Window.partitionBy("node")
+    rising = own.orderBy("c", "grp").rowsBetween(Window.unboundedPreceding, 0)
+    counted = shared.withColumns({"_all": F.sum("c").over(own), "_up_to": F.sum("c").over(rising)})
+    kept = counted.filter((F.col("_all") >= needed) & (2 * F.col("_up_to") > needed - 1)).select("grp", "node", "n")
+    return kept.join(nodes.select("node", "key"), "node").select("grp", "key", "n")
+
+
 def _sets(words_per_shingle: int):
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,13 +153,10 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     prints = cut(rows.mapInArrow(_prints(words_per_shingle, similarity, classes), "doc_id long, text_hash long, n long, key long, prefix array<long>"))
     # one row per set: copies go before anything is posted
     nodes = cut(prints.filter("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n").alias("n"), F.first("prefix").alias("prefix")))
-    posted = nodes.select("key", "n", F.posexplode("prefix").alias("i", "token"))
-    lists = posted.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least"), F.min("key").alias("grp")).filter("m > 1")
-    # from position i on n - i shingles are left; a set of m shingles needs at least share * (n + m) of them
+        F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n").alias("n"), F.first("prefix").alias("prefix"))
+                .withColumn("node", F.monotonically_increasing_id()))
     num, den = similarity.numerator, similarity.denominator
-    reach = (num + den) * (F.col("n") - F.col("i")) >= num * (F.col("n") + F.col("least"))
-    members = cut(posted.join(lists, "token").filter(reach).select("grp", "key", "n").distinct())
+    members = cut(_members(nodes, num, den))
     # members of a group of one have no one to meet
     met = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp"), "grp", "left_semi")
     wanted = nodes.join(met.select("key").distinct(), "key", "left_semi").select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
