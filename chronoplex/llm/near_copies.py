@@ -4,32 +4,36 @@ At that similarity a fingerprint of 64 bits differs in about ten, far more than
 parted. Several short fingerprints of the document's *words* find candidates: where a fifth of the shingles differ only a few
 words in a hundred do, so these bits hardly change. Each is covered by anchors: 23 bits by the Golay code, with one bit beyond its
 radius, times plain bits. A sketch of the *shingles* discards candidates at each anchor: with a share p of differing bits the cosine
-is about cos(pi p), and the Jaccard similarity cosine / (2 - cosine); its limit is generous. What is left is decided by the sets of shingles
-themselves. Per anchor only a forest of links leaves the task; where one of them fails, all other pairs of the parts it leaves are tried.
+is about cos(pi p), and the Jaccard similarity cosine / (2 - cosine); its limit is generous. Sizes that rule the similarity out are discarded too.
+
+What is left only says which documents may belong together: tasks give merges of parts, never pairs. First the documents meet at their homes alone,
+which joins nearly all of a large group; then they are replicated, and only documents of different parts are compared. In each
+part the whole sets of shingles decide (``set_links``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import weak_components
 from ..plans.lineage import cut
-from .simhash import BLOCK_PAIRS, LENGTH, Golay
+from .set_links import components_of, links_in_groups
+from .simhash import BLOCK_PAIRS, LENGTH, Golay, merge
 from .text import Words, mix, pieces
 
 #: Short fingerprints per document, plain bits of each, bits beyond the code's radius, and the sketch's bits.
 TABLES, PLAIN, BEYOND, SKETCH_BITS = 24, 4, 1, 128
-#: Words of a text that are weighed at once.
-ROWS_AT_ONCE = 20_000
+#: Words of a text that are weighed at once, and rows at anchors that a task looks at in one go.
+ROWS_AT_ONCE, MET_AT_ONCE = 20_000, 300_000
 #: Standard deviations by which the sketches of a pair may differ in more bits than the mean pair of the least similarity.
 SIGMAS = 3.5
-_PRINTS = "doc long, short binary, sketch binary"
-_SCHEMA = "anchor long, doc long, sketch binary, home boolean, part long"
+_PRINTS = "doc_id long, text_hash long, n long, key long, short binary, sketch binary"
+_MET = "anchor long, part long, n int, sketch binary, home boolean"
 
 
 def distance_limit(similarity: float, sigmas: float = 0.0) -> int:
@@ -57,12 +61,17 @@ def shingle_set(hashes: np.ndarray, words_per_shingle: int) -> np.ndarray:
     return np.unique(shingles)
 
 
-def document_bits(hashes: np.ndarray, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The short fingerprints' bytes and the sketch's bytes for one document's word hashes."""
+def set_key(tokens: np.ndarray) -> int:
+    """A 64-bit hash of a sorted set."""
+    return int(mix(np.array([mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)]) + np.uint64(len(tokens))).view(np.int64)[0])
+
+
+def document_bits(hashes: np.ndarray, words_per_shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The set of shingles, the short fingerprints' bytes and the sketch's bytes for one document's word hashes."""
     words, times = np.unique(hashes, return_counts=True)
     short = _signs(words, np.sqrt(times), -(-TABLES * (LENGTH + PLAIN) // 64))
     distinct = shingle_set(hashes, words_per_shingle)
-    return short, _signs(distinct, np.ones(len(distinct)), SKETCH_BITS // 64)
+    return distinct, short, _signs(distinct, np.ones(len(distinct)), SKETCH_BITS // 64)
 
 
 def _table_bits(short: np.ndarray) -> np.ndarray:
@@ -87,213 +96,171 @@ def _prints(words_per_shingle: int):
             for some in pieces(batch, "text"):
                 words = Words(some.column("text"))
                 hashes, ends = words.hashes(), np.cumsum(words.counts)
-                both = [document_bits(hashes[b - n: b], words_per_shingle) for b, n in zip(ends, words.counts)]
+                found = [document_bits(hashes[b - n: b], words_per_shingle) for b, n in zip(ends, words.counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc"), *(_binary(np.stack([x[k] for x in both])) for k in (0, 1))], names=["doc", "short", "sketch"])
+                    [some.column("doc_id"), some.column("text_hash"), pa.array([len(x[0]) for x in found], pa.int64()), pa.array([set_key(x[0]) for x in found], pa.int64()),
+                     *(_binary(np.stack([x[k] for x in found])) for k in (1, 2))], names=["doc_id", "text_hash", "n", "key", "short", "sketch"])
     return stream
 
 
-def _shingle_sets(words_per_shingle: int):
+def document_sets(words_per_shingle: int, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Runs of the batch's rows with the sorted distinct shingle hashes of each text."""
+    for some in pieces(batch, "text"):
+        words = Words(some.column("text"))
+        hashes, ends = words.hashes(), np.cumsum(words.counts)
+        yield some, [shingle_set(hashes[b - n: b], words_per_shingle) for b, n in zip(ends, words.counts)]
+
+
+def lists_of(arrays: list[np.ndarray]) -> pa.Array:
+    bounds = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame, words_per_shingle: int) -> DataFrame:
+    """``key, shingles``, one row per key, of the rows ``doc_id, text, text_hash`` that are in ``wanted`` (``row.doc_id, row.text_hash``)."""
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in pieces(batch, "text"):
-                words = Words(some.column("text"))
-                hashes, ends = words.hashes(), np.cumsum(words.counts)
-                sets = [shingle_set(hashes[b - n: b], words_per_shingle).view(np.int64) for b, n in zip(ends, words.counts)]
-                bounds = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            for _, sets in document_sets(words_per_shingle, batch):
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), lists_of(sets)], names=["key", "shingles"])
+
+    these = wanted.select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
+    texts = rows.join(these, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("text")
+    return cut(texts.mapInArrow(stream, "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+
+
+def _at_anchors(replicate: bool):
+    """Rows at the anchors of all short fingerprints: the home of each, or all within reach."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        golay = Golay(BEYOND)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                keys = _table_bits(_bytes(batch.column("short"), -(-TABLES * (LENGTH + PLAIN) // 64) * 8))
+                sketches = _bytes(batch.column("sketch"), SKETCH_BITS // 8)
+                table = np.tile(np.arange(TABLES), len(keys))
+                key = keys.ravel()
+                row, code, excess = golay.near(key & ((1 << LENGTH) - 1), np.full(len(key), BEYOND if replicate else 0))
+                anchor = (table[row] << (LENGTH + PLAIN)) | (key[row] >> LENGTH << LENGTH) | code
+                of = pa.array(row // TABLES)
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(sets)))], names=["doc", "shingles"])
+                    [pa.array(anchor), batch.column("part").take(of), batch.column("n").take(of), _binary(sketches[row // TABLES]), pa.array(excess == 0)],
+                    names=["anchor", "part", "n", "sketch", "home"])
     return stream
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    golay = Golay(BEYOND)
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2048):
-            batch = whole.slice(at, 2048)
-            keys = _table_bits(_bytes(batch.column("short"), -(-TABLES * (LENGTH + PLAIN) // 64) * 8))
-            sketches = _bytes(batch.column("sketch"), SKETCH_BITS // 8)
-            table = np.tile(np.arange(TABLES), len(keys))
-            key = keys.ravel()
-            row, code, excess = golay.near(key & ((1 << LENGTH) - 1), np.full(len(key), BEYOND))
-            anchor = (table[row] << (LENGTH + PLAIN)) | (key[row] >> LENGTH << LENGTH) | code
-            of = row // TABLES
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), batch.column("doc").take(pa.array(of)), _binary(sketches[of]), pa.array(excess == 0), batch.column("part").take(pa.array(of))],
-                names=["anchor", "doc", "sketch", "home", "part"])
-
-
-def _blocks(anchor: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one anchor, the left one at home there, from rows sorted by anchor."""
+def merges(limit: int, similarity: Fraction, anchor: np.ndarray, part: np.ndarray, size: np.ndarray, sketch: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parts (a, b) to merge: at least one document at home at the anchor, sketches within ``limit`` bits, sizes that allow the similarity.
+
+    Rows are sorted by anchor. The merges connect what any such pair of rows connects.
+    """
+    names, label = np.unique(part, return_inverse=True)
     starts = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
     sizes = np.diff(np.append(starts, len(anchor)))
     owner = np.repeat(np.arange(len(starts)), sizes)
-    at = np.flatnonzero(home & (sizes[owner] > 1))
+    parent = np.arange(len(names))
+
+    def take(left: np.ndarray, right: np.ndarray) -> None:
+        nonlocal parent
+        can = (home[left] | home[right]) & (parent[label[left]] != parent[label[right]])
+        left, right = left[can], right[can]
+        small, large = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
+        can = small * similarity.denominator >= large * similarity.numerator
+        left, right = left[can], right[can]
+        near = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= limit
+        parent = merge(parent, label[left[near]], label[right[near]])
+
+    every = np.arange(len(anchor))
+    take(every, starts[owner])  # the first row of an anchor joins most of a large group
+    now = parent[label]
+    # then every row outside the anchor's commonest part meets all rows there
+    order = np.lexsort((now, owner))
+    new = np.flatnonzero(np.diff(owner[order], prepend=-1) | np.diff(now[order], prepend=-1))
+    n = np.diff(np.append(new, len(order)))
+    best = np.lexsort((n, owner[order[new]]))
+    last = np.append(np.flatnonzero(np.diff(owner[order[new]][best])), len(best) - 1)
+    commonest = now[order[new[best[last]]]]
+    at = np.flatnonzero(now != commonest[owner])
     total, lo = np.cumsum(sizes[owner[at]]), 0
     while lo < len(at):
         hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + BLOCK_PAIRS // 4, side="right")))
         n = sizes[owner[at[lo:hi]]]
         left = np.repeat(at[lo:hi], n)
-        yield left, np.repeat(starts[owner[at[lo:hi]]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+        take(left, np.repeat(starts[owner[at[lo:hi]]], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n))
         lo = hi
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return names[moved], names[parent[moved]]
 
 
-def _span(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sets of a and b joined as by ``merge``, and which pairs did it: one for each set that went into another."""
-    chosen, at = [np.zeros(0, dtype=np.int64)], np.arange(len(a))
-    while len(at):
-        x, y = parent[a[at]], parent[b[at]]
-        apart = x != y
-        at, high, low = at[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
-        np.minimum.at(parent, high, low)
-        won = np.flatnonzero(parent[high] == low)
-        chosen.append(at[won[np.unique(high[won], return_index=True)[1]]])
-        while not np.array_equal(up := parent[parent], parent):
-            parent = up
-    return parent, np.concatenate(chosen)
-
-
-def _forest(close: int, limit: int):
-    """Pairs within ``limit`` bits that span each anchor's documents; pairs within ``close`` bits are taken first."""
-
-    def edges(anchor: np.ndarray, doc: np.ndarray, sketch: np.ndarray, home: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parent, found, late, held = np.arange(len(doc)), [], [], 0
-
-        def take(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            parent, chosen = _span(parent, left, right)
-            found.append((left[chosen], right[chosen]))
-            return parent
-
-        for left, right in _blocks(anchor, home):
-            new = parent[left] != parent[right]  # what is linked already needs no comparison
-            left, right = left[new], right[new]
-            bits = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64)
-            parent = take(parent, left[bits <= close], right[bits <= close])
-            wide = (bits <= limit) & (parent[left] != parent[right])
-            late.append((left[wide], right[wide]))
-            held += int(wide.sum())
-            if held > BLOCK_PAIRS:
-                parent, late, held = take(parent, *map(np.concatenate, zip(*late))), [], 0
-        if late:
-            take(parent, *map(np.concatenate, zip(*late)))
-        left, right = map(np.concatenate, zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return doc[left], doc[right]
-
-    return _by_anchor(edges)
-
-
-def _across(limit: int):
-    """All pairs of documents of different parts within ``limit`` bits."""
-
-    def edges(anchor: np.ndarray, doc: np.ndarray, sketch: np.ndarray, home: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = [(np.zeros(0, np.int64),) * 2]
-        for left, right in _blocks(anchor, home):
-            new = part[left] != part[right]
-            left, right = left[new], right[new]
-            near = np.bitwise_count(sketch[left] ^ sketch[right]).sum(axis=1, dtype=np.int64) <= limit
-            found.append((doc[left[near]], doc[right[near]]))
-        return tuple(map(np.concatenate, zip(*found)))
-
-    return _by_anchor(edges)
-
-
-def _by_anchor(edges):
-    """``edges`` applied to runs of whole anchors, from rows sorted by anchor; pairs come out with the larger document first."""
-
-    def found(*held: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((held[1], held[0]))
-        a, b = edges(*(x[order] for x in held))
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
-
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        return [batch.column("anchor").to_numpy(), batch.column("doc").to_numpy(), _bytes(batch.column("sketch"), SKETCH_BITS // 8).view(np.uint64),
-                batch.column("home").to_numpy(zero_copy_only=False), batch.column("part").to_numpy()]
+def _merge_stream(limit: int, similarity: Fraction):
+    def found(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        a, b = merges(limit, similarity, *(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = columns(batch)
-            if held and held[0][0][0] == now[0][-1]:
-                held.append(now)
-                continue
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            ready = [np.concatenate(x) for x in zip(*held, [x[:last] for x in now])]
-            if len(ready[0]):
-                yield found(*ready)
-            held = [[x[last:] for x in now]]
+            now = [batch.column("anchor").to_numpy(), batch.column("part").to_numpy(), batch.column("n").to_numpy().astype(np.int64),
+                   _bytes(batch.column("sketch"), SKETCH_BITS // 8).view(np.uint64), batch.column("home").to_numpy(zero_copy_only=False)]
+            if rows >= MET_AT_ONCE and held[-1][0][-1] != now[0][0]:
+                yield found(held)
+                held, rows = [], 0
+            elif rows >= MET_AT_ONCE and now[0][0] != now[0][-1]:
+                first = int(np.searchsorted(now[0], now[0][0], side="right"))
+                yield found([*held, [x[:first] for x in now]])
+                held, rows, now = [], 0, [x[first:] for x in now]
+            held.append(now)
+            rows += len(now[0])
         if held:
-            yield found(*(np.concatenate(x) for x in zip(*held)))
+            yield found(held)
 
     return stream
 
 
-def _candidates(prints: DataFrame, within) -> DataFrame:
-    met = prints.mapInArrow(_replicate, _SCHEMA)
-    pairs = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(within, "src long, dst long")
-    return pairs.filter(F.col("src") != F.col("dst")).distinct()
-
-
-def _decided(rows: DataFrame, pairs: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """``src, dst, same``: whether the pair's sets of shingles have the similarity."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("doc")).distinct()
-    sets = cut(rows.join(ends, "doc", "left_semi").mapInArrow(_shingle_sets(words_per_shingle), "doc long, shingles array<long>"))
-    both = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - both
-    same = F.when(union > 0, both / union >= similarity).otherwise(True)
-    one, other = (sets.select(F.col("doc").alias(end), F.col("shingles").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
-    return cut(pairs.join(one, "src").join(other, "dst").select("src", "dst", same.alias("same")).groupBy("src", "dst").agg(F.max("same").alias("same")))
-
-
-def _parts(links: DataFrame) -> DataFrame:
-    return cut(weak_components(links.select(F.explode(F.array("src", "dst")).alias("uid")), links, edges_inside=True))
+def _merged(nodes: DataFrame, replicate: bool, similarity: Fraction) -> DataFrame:
+    met = nodes.select("short", "sketch", F.col("n").cast("int").alias("n"), "part").mapInArrow(_at_anchors(replicate), _MET)
+    limit = distance_limit(float(similarity), SIGMAS)
+    return cut(met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_merge_stream(limit, similarity), "src long, dst long").distinct())
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """``pairs`` with the parts of both ends, where these differ; a document without a link is a part of its own."""
-    for end in ("src", "dst"):
-        pairs = pairs.join(parts.select(F.col("uid").alias(end), F.col("comp").alias(f"of_{end}")), end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    return pairs.filter(F.col("of_src") != F.col("of_dst"))
+def _document_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
-    """``doc_id, component_id`` for documents that have a near copy, directly or over others; documents without one have no row.
+    """``doc_id, text_hash, component_id, kept`` for documents that have a near copy, directly or over others; others have no row.
 
-    Every link is a pair of documents whose sets of shingles have the similarity; the sketch only finds pairs to compare.
-    ``component_id`` is the smallest identifier of the group. A null text counts as empty; rows with a null identifier take no part. Rows
-    that share an identifier are one document. Other columns are not read. An empty table gives an empty result.
+    A document is an identifier with a text (``text_hash``: Spark's xxhash64 of the text); rows that share both are one, rows that share only the identifier
+    are not, and rows with a null identifier take part. Every link is a pair of documents whose sets of shingles have the similarity; equal sets are linked, so
+    texts without words are near copies of each other. ``component_id`` is the smallest identifier of the group, null if it has none. One document of a group is
+    ``kept``: that with the smallest identifier (nulls last), then the smallest hash. A null text counts as empty. Other columns are not read. An empty table gives an empty result.
     """
-    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    share = Fraction(similarity).limit_denominator(10_000)
+    rows = _document_rows(docs, key, text)
     prints = cut(rows.mapInArrow(_prints(words_per_shingle), _PRINTS))
-    limit = distance_limit(similarity, SIGMAS)
-    forest = cut(_candidates(prints.withColumn("part", F.col("doc")), _forest(distance_limit((1 + similarity) / 2), limit)))
-    # one pair for each document first: few of the others still join different parts
-    first = forest.groupBy("src").agg(F.min("dst").alias("dst"))
-    tried = _decided(rows, first, similarity, words_per_shingle)
-    links = tried.filter("same").select("src", "dst")
-    parts = _parts(links)
-    rest = cut(_apart(forest, parts).select("src", "dst").join(tried.select("src", "dst"), ["src", "dst"], "left_anti"))
-    if not rest.isEmpty():
-        more = _decided(rows, rest, similarity, words_per_shingle)
-        tried = tried.unionByName(more)
-        links = tried.filter("same").select("src", "dst")
-        parts = _parts(links)
-    # two documents whose sketches are near are joined by the forest; if they are in different parts, a pair on the way has failed and
-    # each of them is in the part of an end of such a pair
-    failed = cut(_apart(tried.filter("NOT same"), parts))
-    if not failed.isEmpty():
-        of = failed.select(F.explode(F.array("of_src", "of_dst")).alias("part")).distinct()
-        placed = prints.join(parts.select(F.col("uid").alias("doc"), F.col("comp").alias("part")), "doc", "left").withColumn("part", F.coalesce("part", "doc"))
-        others = _candidates(placed.join(of, "part", "left_semi").select("doc", "short", "sketch", "part"), _across(limit))
-        others = cut(others.join(tried.select("src", "dst"), ["src", "dst"], "left_anti"))
-        if not others.isEmpty():
-            links = links.unionByName(_decided(rows, others, similarity, words_per_shingle).filter("same").select("src", "dst"))
-            parts = _parts(links)
-    return parts.select(F.col("uid").alias("doc_id"), F.col("comp").alias("component_id"))
-
-
-def one_of_each_group(docs: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that are in no group, and each group's smallest identifier."""
-    others = groups.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_copy"))
-    return docs.join(others, docs[key] == others["_copy"], "left_anti")
+    nodes = cut(prints.groupBy("key").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n").alias("n"), F.first("short").alias("short"), F.first("sketch").alias("sketch"))
+        .withColumn("part", F.monotonically_increasing_id()))
+    at_home = _merged(nodes, False, share)
+    parts = cut(nodes.join(components_of(at_home).withColumnRenamed("key", "part"), "part", "left").withColumn("node", F.col("part")).withColumn("part", F.coalesce("comp", "part")).drop("comp"))
+    away = _merged(parts, True, share)
+    groups = parts.join(components_of(away).withColumnRenamed("key", "part"), "part", "left").select("key", "row", "n", F.coalesce("comp", "part").alias("grp"))
+    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp")
+    members = cut(groups.join(several, "grp", "left_semi"))
+    links = links_in_groups(members.select("grp", "key", "n"), sets_of(rows, members, words_per_shingle), share)
+    found = prints.select("doc_id", "text_hash", "key").distinct().join(components_of(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    best = found.groupBy("comp").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    kept = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    return found.join(best, "comp").select("doc_id", "text_hash", "component_id", kept.alias("kept"))
+
+
+def one_of_each_group(docs: DataFrame, groups: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that ``near_copies`` does not keep."""
+    others = groups.filter("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    same = docs[key].cast("long").eqNullSafe(others["_doc"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == others["_hash"])
+    return docs.join(others, same, "left_anti")

@@ -19,9 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .near_copies import shingle_set
+from .near_copies import document_sets, lists_of, set_key, sets_of
 from .set_links import components_of, links_in_groups
-from .text import Words, mix, pieces
 
 #: Counters of the sketch: shingles are counted by the upper bits of their hashes. One byte a counter goes to the workers.
 COUNTER_BITS = 20
@@ -31,24 +30,6 @@ FAN_IN = 16
 MORE_EACH = 30
 
 
-def set_key(tokens: np.ndarray) -> int:
-    """A 64-bit hash of a sorted set."""
-    return int(mix(np.array([mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)]) + np.uint64(len(tokens))).view(np.int64)[0])
-
-
-def document_sets(words_per_shingle: int, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Runs of the batch's rows with the sorted distinct shingle hashes of each text."""
-    for some in pieces(batch, "text"):
-        words = Words(some.column("text"))
-        hashes, ends = words.hashes(), np.cumsum(words.counts)
-        yield some, [shingle_set(hashes[b - n: b], words_per_shingle) for b, n in zip(ends, words.counts)]
-
-
-def lists_of(arrays: list[np.ndarray]) -> pa.Array:
-    bounds = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
-
-
 def shingle_counts(docs: DataFrame, words_per_shingle: int) -> np.ndarray:
     """How many documents have a shingle with these upper bits: ``2 ** COUNTER_BITS`` numbers, whatever the size of the table."""
 
@@ -129,14 +110,6 @@ def _members(nodes: DataFrame, num: int, den: int) -> DataFrame:
     return kept.join(nodes.select("node", "key"), "node").select("grp", "key", "n")
 
 
-def _sets(words_per_shingle: int):
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in document_sets(words_per_shingle, batch):
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), lists_of(sets)], names=["key", "shingles"])
-    return stream
-
-
 def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words_per_shingle: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
 
@@ -159,9 +132,7 @@ def similar_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     members = cut(_members(nodes, num, den))
     # members of a group of one have no one to meet
     met = members.join(members.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp"), "grp", "left_semi")
-    wanted = nodes.join(met.select("key").distinct(), "key", "left_semi").select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("text")
-    sets = cut(texts.mapInArrow(_sets(words_per_shingle), "key long, shingles array<long>").groupBy("key").agg(F.first("shingles").alias("shingles")))
+    sets = sets_of(rows, nodes.join(met.select("key").distinct(), "key", "left_semi"), words_per_shingle)
     links = links_in_groups(met, sets, similarity)
     placed = nodes.select("key", "low").join(components_of(links), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     named = placed.join(placed.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("key", "component_id")

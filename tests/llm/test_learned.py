@@ -110,7 +110,8 @@ def test_near_copies(spark):
     got = {r.doc_id: r.component_id for r in groups.collect()}
     caught = [got.get(3 * g + 1) == 3 * g for g in range(60) if near[g] >= 0.8]
     assert len(caught) > 30 and np.mean(caught) >= 0.95
-    assert not [i for i in got if i % 3 == 2 or i >= 900]
+    assert got[None] == 0  # a copy of document 0 without an identifier
+    assert not [i for i in got if i is not None and (i % 3 == 2 or i >= 900)]
     left = N.one_of_each_group(docs, groups)
     assert left.columns == docs.columns and left.count() == len(rows) - len(got) + len(set(got.values()))
     assert N.near_copies(docs.limit(0)).collect() == []
@@ -157,7 +158,41 @@ def test_near_copies_try_other_pairs_where_a_link_of_the_forest_fails(spark):
     rows = [(i, " ".join(texts[k])) for i, k in enumerate(order)]
     assert jaccard(rows[order.index(0)][1], rows[order.index(1)][1]) >= 0.8 > jaccard(rows[order.index(0)][1], rows[order.index(2)][1])
     got = N.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == [(i, 0) for i in range(40)]
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(i, 0, i == 0) for i in range(40)]
+
+
+def test_rows_that_share_an_identifier_are_documents_of_their_own(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    base, alone, other = (rng.choices(vocabulary, k=200) for _ in range(3))
+    copy = base[:100] + ["new"] + base[101:]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (2, " ".join(alone)), (None, " ".join(other)), (None, " ".join(other[:-3])), (None, "nobody else"),
+            (5, " ".join(alone[:-2])), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
+    left = N.one_of_each_group(docs, N.near_copies(docs)).collect()
+    got = sorted((str(r.doc_id), len((r.text or "").split())) for r in left)
+    # of 2 the copy goes, the unrelated text stays; 5 loses its near copy of that, and of the texts without words one stays
+    assert got == sorted([("1", 200), ("2", 200), ("5", 0), ("None", 2), *[("None", n) for n in (197, 200) if ("None", n) in got]])
+    assert sum(i == "None" for i, _ in got) == 2
+
+
+def test_merges_connect_what_every_pair_connects():
+    rng = np.random.default_rng(4)
+    n = 400
+    anchor, home = np.sort(rng.integers(0, 12, n)), rng.random(n) < 0.4
+    sketch = rng.integers(0, 2**63, (9, 2), dtype=np.uint64)[rng.integers(0, 9, n)] ^ (np.uint64(1) << rng.integers(0, 60, (n, 2), dtype=np.uint64))
+    part, size = rng.integers(0, 150, n) * 7, rng.integers(50, 90, n)
+    a, b = N.merges(3, N.Fraction(4, 5), anchor, part, size, sketch, home)
+
+    def groups(pairs):
+        root = {p: p for p in part.tolist()}
+        for x, y in pairs:
+            root = {k: root[x] if v == root[y] else v for k, v in root.items()}
+        return {frozenset(k for k in root if root[k] == v) for v in root.values()}
+
+    every = [(part[x], part[y]) for x in range(n) for y in range(x) if anchor[x] == anchor[y] and (home[x] or home[y])
+             and np.bitwise_count(sketch[x] ^ sketch[y]).sum() <= 3 and 5 * min(size[x], size[y]) >= 4 * max(size[x], size[y])]
+    assert groups(zip(a.tolist(), b.tolist())) == groups(every) and len(a) == len({*part.tolist()}) - len(groups(every))
 
 
 def test_pipeline(spark):
