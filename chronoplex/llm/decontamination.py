@@ -72,12 +72,13 @@ def _bitmap(values: DataFrame, log2: int, probes: int) -> Callable[[Column], Col
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
                  masks: tuple[tuple[int, ...], ...] = MASKS, least_share: float = LEAST_SHARE, least_tokens: int = LEAST_TOKENS,
-                 enough_tokens: int = ENOUGH_TOKENS) -> DataFrame:
+                 enough_tokens: int = ENOUGH_TOKENS, by_text: bool = False) -> DataFrame:
     """``doc_id, item_id, score, item_tokens, begins``: one row per document and benchmark item found in it, no others.
 
     ``score`` is the best stretch's matches minus mismatches and minus words put in or left out, ``begins`` the token of the document where the item would begin on
     that diagonal (it may be negative if only the item's end is there). Null texts are empty. Items with fewer tokens than a mask spans cannot be found. Rows
-    that share an identifier count as one document; null identifiers are kept. An empty table gives an empty result.
+    that share an identifier count as one document; ``by_text`` tells their texts apart in a column ``body`` (Spark's xxhash64 of the text). Null
+    identifiers are kept. An empty table gives an empty result.
     """
     items = cut(benchmark.select(F.col(item).alias("item_id"), _token_hashes(F.col(item_text)).alias("tokens")))
     seeds = cut(items.select("item_id", F.inline(_windows("tokens", masks))).distinct())
@@ -114,18 +115,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     start = F.struct(F.array(*(F.lit(0) for _ in band)).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("own"), F.lit(0).alias("best_own"))
     score = F.aggregate(equal, start, longer, lambda a: F.struct(a["best"].alias("score"), a["best_own"].alias("own")))
-    scored = paired.select("doc_id", "item_id", "begins", F.size("wanted").alias("item_tokens"), score.alias("s")).select(
-        "doc_id", "item_id", "begins", "item_tokens", "s.score", "s.own")
+    names = ["doc_id", "body"] if by_text else ["doc_id"]
+    scored = paired.select(*names, "item_id", "begins", F.size("wanted").alias("item_tokens"), score.alias("s")).select(
+        *names, "item_id", "begins", "item_tokens", "s.score", "s.own")
     least = F.greatest(F.lit(float(least_tokens)), F.least(F.lit(float(enough_tokens)), least_share * F.col("item_tokens")))
     return (
         scored.filter(F.col("score") >= least)
-        .groupBy("doc_id", "item_id")
+        .groupBy(*names, "item_id")
         .agg(F.max(F.struct("score", "own", (-F.col("begins")).alias("place"), "item_tokens")).alias("b"))
-        .select("doc_id", "item_id", "b.score", "b.item_tokens", (-F.col("b.place")).alias("begins"))
+        .select(*names, "item_id", "b.score", "b.item_tokens", (-F.col("b.place")).alias("begins"))
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without those in which a benchmark item was found."""
-    found = contaminated(docs, benchmark, key).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[key].eqNullSafe(found["_found"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those in whose text a benchmark item was found; other rows of the same identifier stay."""
+    found = contaminated(docs, benchmark, key, text, by_text=True).select(F.col("doc_id").alias("_found"), F.col("body").alias("_body")).distinct()
+    same = docs[key].eqNullSafe(found["_found"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found["_body"])
+    return docs.join(found, same, "left_anti")

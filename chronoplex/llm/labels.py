@@ -13,8 +13,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """``doc_id, text, label`` (and ``extra``) of at most ``per_class`` labelled rows of each class.
 
     Rows whose CRC-32 fold is ``held_out`` never take part. The choice follows a hash of the identifier, so it is the same on each
-    run and at any partitioning. An identifier with several labels counts with the highest one; labels other than 0 and 1, and null
-    identifiers, are left out.
+    run and at any partitioning. An identifier with several labels counts with the highest one, one with several rows counts with the text of the
+    smallest hash; labels other than 0 and 1, and null identifiers, are left out.
     """
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
@@ -24,6 +24,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     )
     chosen = [usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
-    # two times per_class identifiers at most
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).join(
-        F.broadcast(sample), "doc_id")
+    # two times per_class identifiers at most, and one row of each, so the bound holds for rows
+    chosen_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).join(F.broadcast(sample), "doc_id")
+    first = F.min_by(F.struct("text", "label", *extra), F.struct(F.xxhash64("text"), *extra)).alias("row")
+    return chosen_rows.groupBy("doc_id").agg(first).select("doc_id", "row.*")

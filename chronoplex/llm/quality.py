@@ -96,7 +96,8 @@ class FactorisationMachine:
         """Document, feature and value of all inputs: words, then the statistics as features after the buckets."""
         n, k = f.statistics.shape
         figures = np.clip((f.statistics - self.centre) / self.scale, -4, 4) / np.sqrt(k)
-        return (np.concatenate([f.doc, np.repeat(np.arange(n), k)]), np.concatenate([f.bucket, np.tile(BUCKETS + np.arange(k), n)]),
+        kind = np.int32 if f.bucket.dtype == np.int32 else np.int64  # the sample comes in half the width
+        return (np.concatenate([f.doc, np.repeat(np.arange(n, dtype=kind), k)]), np.concatenate([f.bucket, np.tile(BUCKETS + np.arange(k, dtype=kind), n)]),
                 np.concatenate([f.value, figures.ravel()]).astype(np.float32))
 
     def margin(self, n: int, doc: np.ndarray, feature: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def train(f: Features, labels: np.ndarray, seed: int = 11) -> FactorisationMachi
     return model
 
 
-_FEATURES = "doc_id long, label int, bucket array<long>, value array<float>, statistics array<float>"
+_FEATURES = "doc_id long, label int, bucket array<int>, value array<float>, statistics array<float>"
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +171,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.searchsorted(f.doc, np.arange(some.num_rows + 1)).astype(np.int32)
             k = f.statistics.shape[1]
             yield pa.RecordBatch.from_arrays([
-                some.column("doc_id"), some.column("label"), pa.ListArray.from_arrays(at, pa.array(f.bucket)), pa.ListArray.from_arrays(at, pa.array(f.value)),
+                some.column("doc_id"), some.column("label"), pa.ListArray.from_arrays(at, pa.array(f.bucket.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(f.value)),
                 pa.ListArray.from_arrays(np.arange(0, k * some.num_rows + 1, k, dtype=np.int32), pa.array(f.statistics.ravel()))],
                 names=["doc_id", "label", "bucket", "value", "statistics"])
 
@@ -185,9 +186,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
         return train(Features(*(np.zeros(0, np.int64),) * 2, np.zeros(0, np.float32), np.zeros((0, len(STATISTICS)), np.float32)), np.zeros(0))
     lists = got["bucket"].combine_chunks()
     counts = pc.list_value_length(lists).to_numpy()
-    f = Features(np.repeat(np.arange(len(got)), counts), lists.flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy(),
+    f = Features(np.repeat(np.arange(len(got), dtype=np.int32), counts), lists.flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy(),
                  got["statistics"].combine_chunks().flatten().to_numpy().reshape(len(got), -1))
-    return train(f, got["label"].to_numpy())
+    marks = got["label"].to_numpy()
+    del got, lists  # the training copies what it sorts
+    return train(f, marks)
 
 
 def with_chars(docs: DataFrame) -> DataFrame:

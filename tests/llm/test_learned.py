@@ -11,6 +11,8 @@ import corpus_pipeline
 from chronoplex.llm import near_copies as N
 from chronoplex.llm import quality as Q
 from chronoplex.llm import toxicity as X
+from chronoplex.llm.decontamination import decontaminate
+from chronoplex.llm.labels import labelled_sample
 from chronoplex.plans.lineage import cut
 
 DOCS = "doc_id long, text string, lang string, n_chars long, label int, score double"
@@ -219,3 +221,19 @@ def test_pipeline_on_an_empty_table(spark):
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), docs.schema)
         assert docs.count() == 0
     assert corpus_pipeline.packing(spark, docs, SF).count() == 0
+
+
+def test_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k}", "en") for k in range(300)] + [(i, f"other {i}", "en") for i in range(2, 30)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    got = labelled_sample(docs.repartition(7), marks, "quality", 3, 1, 5, ("lang",)).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 10 and {r.lang for r in got} == {"en"}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, labelled_sample(docs, marks, "quality", 3, 1, 5, ("lang",)).collect()))
+
+
+def test_decontamination_leaves_other_rows_of_an_identifier(spark):
+    item = " ".join(f"q{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "before " + item), (1, "clean text"), (None, item + " after"), (None, "also clean"), (2, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    left = decontaminate(docs, benchmark).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == [("1", "clean text"), ("2", ""), ("None", "also clean")]
