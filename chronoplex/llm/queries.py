@@ -17,6 +17,7 @@ from .quality import classify_quality
 from .simhash import simhash_components
 from .toxicity import classify_toxicity
 from .url_filters import filter_urls
+from .whitening import whiten
 
 LLM_QUERIES: dict = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -145,3 +146,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM reached JOIN sets a ON a.r = x JOIN sets b ON b.r = y GROUP BY x""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
