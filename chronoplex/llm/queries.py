@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .chat import format_chats, read_chats
 from .decontamination import contaminated
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_hard_negatives
 from .language_model import score_documents
 from .line_dedup import line_dedup
 from .ngram_join import similar_components
@@ -151,3 +152,22 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_embedding_whitening")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query("op12_hard_negative_mining", """
+    WITH usable AS (
+        SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+    scored AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+               FROM usable a JOIN usable b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+    good AS (SELECT a, anchor_id, b, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+             QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+    ranked AS (SELECT g.anchor_id, positive_id, row_number() OVER (PARTITION BY g.a, g.b ORDER BY score DESC, vec_id)::INT AS rank,
+                      vec_id AS negative_id, positive_score, score AS negative_score
+               FROM good g JOIN scored s ON g.a = s.a AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT * FROM ranked WHERE rank <= 10""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label")).alias("label"))
+    return mine_hard_negatives(rows, F.col("vec_id") % 100 == 0)
