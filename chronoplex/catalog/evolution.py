@@ -23,6 +23,13 @@ def _weeks(spark, d):
     return order_graph(spark, d).snapshot_sequence("1996-01-01", "1996-02-26", dt.timedelta(days=7))
 
 
+def _years(spark, d):
+    """Every day from the first start to the last end of the order graph's edges."""
+    g = order_graph(spark, d)
+    span = g.edges.agg(F.date_format(F.min("start_time"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("end_time"), "yyyy-MM-dd").alias("b")).first()
+    return g.snapshot_sequence(span.a, span.b, DAY)
+
+
 def _valid(alias: str, t: str = "t") -> str:
     return f"({alias}.start_time IS NULL OR {alias}.start_time <= {t}) AND ({alias}.end_time IS NULL OR {alias}.end_time >= {t})"
 
@@ -264,45 +271,48 @@ def _series(df):
     return df.select("step", r6("value").alias("value"))
 
 
-@query("t1_node_count", f"SELECT step, count(n.uid)::DOUBLE AS value FROM month_grid LEFT JOIN o_nodes n ON n.label = 'Customer' AND {_valid('n')} GROUP BY step")
+@query("t1_node_count", f"SELECT step, count(n.uid)::DOUBLE AS value FROM year_grid LEFT JOIN o_nodes n ON n.label = 'Customer' AND {_valid('n')} GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().node_count("Customer"))
+    return _series(_years(spark, d).tsgen().node_count("Customer"))
 
 
-@query("t2_edge_count", f"SELECT step, count(e.uid)::DOUBLE AS value FROM month_grid LEFT JOIN o_edges e ON {_valid('e')} GROUP BY step")
+@query("t2_edge_count", f"SELECT step, count(e.uid)::DOUBLE AS value FROM year_grid LEFT JOIN o_edges e ON {_valid('e')} GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().edge_count())
+    return _series(_years(spark, d).tsgen().edge_count())
 
 
 _DEGREES = f"""
-n AS (SELECT step, n.uid FROM month_grid JOIN o_nodes n ON {_valid('n')} {{where}}),
-e AS (SELECT step, e.src, e.dst, e.quantity FROM month_grid JOIN o_edges e ON {_valid('e')}),
+n AS (SELECT step, n.uid FROM year_grid JOIN o_nodes n ON {_valid('n')} {{where}}),
+e AS (SELECT step, e.src, e.dst, e.quantity FROM year_grid JOIN o_edges e ON {_valid('e')}),
 ends AS (SELECT step, src AS uid, quantity FROM e UNION ALL SELECT step, dst, quantity FROM e),
 deg AS (SELECT n.step, n.uid, count(ends.uid) AS k, coalesce(sum(ends.quantity), 0) AS w FROM n LEFT JOIN ends ON ends.step = n.step AND ends.uid = n.uid GROUP BY n.step, n.uid)"""
 
 
+_MONTH_DEGREES = _DEGREES.replace("year_grid", "month_grid")
+
+
 @query("t3_degree_avg", f"WITH {_DEGREES.format(where='')} SELECT step, round(avg(k), 6) AS value FROM deg GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().degree("avg"))
+    return _series(_years(spark, d).tsgen().degree("avg"))
 
 
 _CUSTOMERS = "WHERE n.label = 'Customer'"
 
 
-@query("t3_degree_extremes", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, max(k)::DOUBLE AS high, min(k)::DOUBLE AS low, sum(k)::DOUBLE AS total FROM deg GROUP BY step")
+@query("t3_degree_extremes", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, max(k)::DOUBLE AS high, min(k)::DOUBLE AS low, coalesce(sum(k), 0)::DOUBLE AS total FROM year_grid LEFT JOIN deg USING (step) GROUP BY step")
 def _(spark, d):
-    stats = _month(spark, d).tsgen().degree_stats(label="Customer")
+    stats = _years(spark, d).tsgen().degree_stats(label="Customer")
     return stats.select("step", *[F.col(a).cast("double").alias(b) for a, b in (("max", "high"), ("min", "low"), ("sum", "total"))])
 
 
-@query("t3_weighted_degree", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, round(avg(w), 6) AS value FROM deg GROUP BY step")
+@query("t3_weighted_degree", f"WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, coalesce(round(avg(w), 6), 0) AS value FROM year_grid LEFT JOIN deg USING (step) GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().degree("avg", label="Customer", weight="quantity"))
+    return _series(_years(spark, d).tsgen().degree("avg", label="Customer", weight="quantity"))
 
 
-@query("t4_node_property", f"SELECT step, round(avg(acctbal), 6) AS value FROM month_grid JOIN o_nodes n ON {_valid('n')} AND label = 'Customer' GROUP BY step")
+@query("t4_node_property", f"SELECT step, coalesce(round(avg(acctbal), 6), 0) AS value FROM year_grid LEFT JOIN o_nodes n ON {_valid('n')} AND label = 'Customer' GROUP BY step")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().node_property("acctbal", "avg", "Customer"))
+    return _series(_years(spark, d).tsgen().node_property("acctbal", "avg", "Customer"))
 
 
 @query("t4_temporal_property", """
@@ -313,9 +323,9 @@ def _(spark, d):
     return _series(seq.tsgen().node_property("click", "sum", source="temporal"))
 
 
-@query("t5_edge_property", f"SELECT step, round(sum(price), 2) AS value FROM month_grid JOIN o_edges e ON {_valid('e')} GROUP BY step")
+@query("t5_edge_property", f"SELECT step, round(sum(price), 2) AS value FROM year_grid JOIN o_edges e ON {_valid('e')} GROUP BY step")
 def _(spark, d):
-    return _month(spark, d).tsgen().edge_property("price", "sum").select("step", F.round("value", 2).alias("value"))
+    return _years(spark, d).tsgen().edge_property("price", "sum").select("step", F.round("value", 2).alias("value"))
 
 
 @query("t6_edges_between", """
@@ -334,9 +344,9 @@ def _(spark, d):
     return _series(seq.tsgen().edges_between("S12", "C1250", prop="price", agg="max"))
 
 
-@query("t8_density", f"WITH {_COUNTS} SELECT step, round(n_edges / (n_nodes * (n_nodes - 1.0::DOUBLE)), 6) AS value FROM n JOIN e USING (step)")
+@query("t8_density", f"WITH {_COUNTS.replace('month_grid', 'year_grid')} SELECT step, round(n_edges / (n_nodes * (n_nodes - 1.0::DOUBLE)), 6) AS value FROM n JOIN e USING (step)")
 def _(spark, d):
-    return _series(_month(spark, d).tsgen().density())
+    return _series(_years(spark, d).tsgen().density())
 
 
 _WEEKLY_WEAK = f"""
@@ -365,7 +375,7 @@ def _(spark, d):
 
 
 @query("t11_entity_degree_all", f"""
-WITH {_DEGREES.format(where='')} SELECT step, uid, k::DOUBLE AS value FROM deg""")
+WITH {_MONTH_DEGREES.format(where='')} SELECT step, uid, k::DOUBLE AS value FROM deg""")
 def _(spark, d):
     return _month(spark, d).tsgen().entity_degree().select("step", "uid", "value")
 
@@ -377,7 +387,7 @@ def _(spark, d):
 
 
 @query("t12_t13_metric_request", f"""
-WITH {_DEGREES.format(where=_CUSTOMERS)} SELECT step, 'node_degree_max_Customer' AS metric, max(k)::DOUBLE AS value FROM deg WHERE step BETWEEN 5 AND 9 GROUP BY step""")
+WITH {_MONTH_DEGREES.format(where=_CUSTOMERS)} SELECT step, 'node_degree_max_Customer' AS metric, max(k)::DOUBLE AS value FROM deg WHERE step BETWEEN 5 AND 9 GROUP BY step""")
 def _(spark, d):
     t = _month(spark, d).tsgen().window("1996-01-06", "1996-01-10").compute("node", "degree", "max", label="Customer")
     return t.select((F.col("step") + 5).alias("step"), "metric", "value")

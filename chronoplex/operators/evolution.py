@@ -1,12 +1,12 @@
 """Series generated from a snapshot sequence: one value per step.
 
-Counts, sums and averages of a step come from running totals of starts and ends of validity; only
-minima and maxima over nodes need the edges of every step.
+Counts of a step come from running totals of starts and ends of validity. Sums, averages, minima and maxima come from dyadic ranges of
+steps; degrees first become runs in which a node's degree does not change. Only components and the degrees of single nodes have rows per step.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import property_number
@@ -18,6 +18,12 @@ from .temporal import intersect_validity
 _AGGREGATES = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+def _over_steps(df: DataFrame, grid, amounts: dict) -> DataFrame:
+    from ..plans.dyadic import over_steps
+
+    return over_steps(df, grid, amounts)
+
+
 def metric_name(entity: str, metric: str, agg: str | None = None, label: str | None = None) -> str:
     return "_".join(str(p) for p in (entity, metric, agg, label) if p)
 
@@ -61,14 +67,28 @@ class Evolution:
         nodes = with_label(self.graph.nodes, label).select("uid", "start_time", "end_time")
         return intersect_validity(ends, nodes, ["uid"])
 
+    def _runs(self, ends: DataFrame) -> DataFrame:
+        """``uid, degree, _lo, _hi``: the runs of steps in which a node has edges and its degree does not change.
+
+        What starts and ends at a step is added up first, so a node has one row per step at most, however many edges it has.
+        """
+        mark = lambda step, sign: F.struct(step.alias("_lo"), (sign * F.col("w")).alias("w"), F.lit(sign).alias("k"))
+        marks = (
+            self.grid.clamp(ends).select("uid", F.explode(F.array(mark(F.col("_lo"), 1), mark(F.col("_hi") + 1, -1))).alias("m"))
+            .groupBy("uid", "m._lo").agg(F.sum("m.w").alias("w"), F.sum("m.k").alias("k"))
+        )
+        order = Window.partitionBy("uid").orderBy("_lo")
+        until = order.rowsBetween(Window.unboundedPreceding, 0)
+        runs = marks.select("uid", "_lo", F.coalesce(F.lead("_lo").over(order) - 1, F.lit(self.grid.size - 1)).alias("_hi"),
+                            F.sum("w").over(until).alias("degree"), F.sum("k").over(until).alias("k"))
+        return runs.filter((F.col("k") > 0) & (F.col("_lo") <= F.col("_hi"))).drop("k")
+
     def degree_stats(self, direction: str = "both", label: str | None = None, weight: str | None = None) -> DataFrame:
         """``n_nodes, sum, avg, min, max`` of the degree per step, all in one pass; a self loop counts once."""
         ends = self._ends(direction, label, weight, self_loop=1)
         n = self.grid.running_count(with_label(self.graph.nodes, label), name="n_nodes")
-        per_node = self.grid.expand(ends).groupBy("step", "uid").agg(F.sum("w").alias("degree"))
-        stats = per_node.groupBy("step").agg(
-            F.sum("degree").alias("total"), F.min("degree").alias("low"), F.max("degree").alias("high"),
-            F.count(F.lit(1)).alias("linked"))
+        stats = _over_steps(self._runs(ends), self.grid, {
+            "total": ("sum", F.col("degree")), "low": ("min", F.col("degree")), "high": ("max", F.col("degree")), "linked": ("count", F.col("degree"))})
         unlinked = F.coalesce("linked", F.lit(0)) < F.col("n_nodes")
         low = F.when(unlinked, F.least(F.coalesce("low", F.lit(0)), F.lit(0))).otherwise(F.col("low"))
         high = F.when(unlinked, F.greatest(F.coalesce("high", F.lit(0)), F.lit(0))).otherwise(F.col("high"))
@@ -115,8 +135,9 @@ class Evolution:
     # properties ----------------------------------------------------------------------------------
     def _property(self, df: DataFrame, name: str, agg: str) -> DataFrame:
         numbers = df.select("start_time", "end_time", property_number(df, name).alias("x")).filter(F.col("x").isNotNull())
-        values = self.grid.expand(numbers).groupBy("step").agg(_AGGREGATES[agg]("x").alias("value"))
-        return self._filled(values)
+        kinds = {"avg": ("sum", "count"), "mean": ("sum", "count")}.get(agg, (agg,))
+        held = _over_steps(self.grid.clamp(numbers), self.grid, {k: (k, F.col("x")) for k in kinds})
+        return self._filled(held.withColumn("value", F.col("sum") / F.col("count") if len(kinds) == 2 else F.col(agg)))
 
     def node_property(self, name: str, agg: str = "avg", label: str | None = None, source: str = "static") -> DataFrame:
         if source == "temporal":
