@@ -23,11 +23,11 @@ def _weeks(spark, d):
     return order_graph(spark, d).snapshot_sequence("1996-01-01", "1996-02-26", dt.timedelta(days=7))
 
 
-def _years(spark, d):
-    """Every day from the first start to the last end of the order graph's edges."""
+def _years(spark, d, every=DAY):
+    """Every day, or other step, from the first start to the last end of the order graph's edges."""
     g = order_graph(spark, d)
     span = g.edges.agg(F.date_format(F.min("start_time"), "yyyy-MM-dd").alias("a"), F.date_format(F.max("end_time"), "yyyy-MM-dd").alias("b")).first()
-    return g.snapshot_sequence(span.a, span.b, DAY)
+    return g.snapshot_sequence(span.a, span.b, every)
 
 
 def _valid(alias: str, t: str = "t") -> str:
@@ -247,8 +247,8 @@ def _(spark, d):
 
 
 @query("g9_shortest_path_length", """
-WITH RECURSIVE hop(uid, h) AS (SELECT 'U0', 0 UNION SELECT p.dst, h + 1 FROM hop JOIN peers p ON p.src = hop.uid WHERE h < 12),
-best AS (SELECT uid, min(h) AS h FROM hop GROUP BY uid)
+WITH RECURSIVE best(uid, h) USING KEY (uid) AS (SELECT 'U0', 0 UNION
+  SELECT p.dst, min(b.h) + 1 FROM best b JOIN peers p ON p.src = b.uid LEFT JOIN recurring.best o ON o.uid = p.dst WHERE o.uid IS NULL GROUP BY p.dst)
 SELECT (SELECT max_by(uid, (h, uid)) FROM best) AS target, (SELECT max(h) FROM best) AS hops""")
 def _(spark, d):
     from ..plans.fixpoint import hops
@@ -259,7 +259,8 @@ def _(spark, d):
 
 
 @query("g9_shortest_path", """
-WITH RECURSIVE hop(uid, h) AS (SELECT 'U113', 0 UNION SELECT p.dst, h + 1 FROM hop JOIN peers p ON p.src = hop.uid WHERE h < 12), best AS (SELECT uid, min(h) AS h FROM hop GROUP BY uid),
+WITH RECURSIVE best(uid, h) USING KEY (uid) AS (SELECT 'U113', 0 UNION
+  SELECT p.dst, min(b.h) + 1 FROM best b JOIN peers p ON p.src = b.uid LEFT JOIN recurring.best o ON o.uid = p.dst WHERE o.uid IS NULL GROUP BY p.dst),
 par AS (SELECT b.uid, b.h, min(p.src) AS parent FROM best b JOIN peers p ON p.dst = b.uid JOIN best a ON a.uid = p.src AND a.h = b.h - 1 GROUP BY b.uid, b.h),
 path(uid, h) AS (SELECT uid, h FROM best WHERE uid = 'U19' UNION SELECT par.parent, par.h - 1 FROM path JOIN par ON par.uid = path.uid) SELECT h AS position, uid FROM path""")
 def _(spark, d):
@@ -350,8 +351,8 @@ def _(spark, d):
 
 
 _WEEKLY_WEAK = f"""
-WITH RECURSIVE wn AS (SELECT step, n.uid FROM week_grid JOIN o_nodes n ON {_valid('n')}),
-we AS (SELECT step, e.src, e.dst FROM week_grid JOIN o_edges e ON {_valid('e')} JOIN wn a USING (step) JOIN wn b USING (step) WHERE a.uid = e.src AND b.uid = e.dst),
+WITH RECURSIVE wn AS (SELECT step, n.uid FROM all_weeks JOIN o_nodes n ON {_valid('n')}),
+we AS (SELECT step, e.src, e.dst FROM all_weeks JOIN o_edges e ON {_valid('e')} JOIN wn a USING (step) JOIN wn b USING (step) WHERE a.uid = e.src AND b.uid = e.dst),
 pairs AS (SELECT step, src AS a, dst AS b FROM we UNION SELECT step, dst, src FROM we),
 cc(step, uid, comp) USING KEY (step, uid) AS (SELECT step, uid, uid FROM wn UNION
   SELECT p.step, p.b, min(c.comp) FROM cc c JOIN pairs p ON p.step = c.step AND p.a = c.uid JOIN recurring.cc o ON o.step = p.step AND o.uid = p.b WHERE c.comp < o.comp GROUP BY p.step, p.b),
@@ -360,12 +361,12 @@ sizes AS (SELECT step, comp, count(*) AS n FROM cc GROUP BY step, comp)"""
 
 @query("t9_component_count_weak", f"{_WEEKLY_WEAK} SELECT step, count(*)::DOUBLE AS value FROM sizes GROUP BY step")
 def _(spark, d):
-    return _series(_weeks(spark, d).tsgen().component_count(directed=False))
+    return _series(_years(spark, d, 7 * DAY).tsgen().component_count(directed=False))
 
 
 @query("t10_largest_component_weak", f"{_WEEKLY_WEAK} SELECT step, max(n)::DOUBLE AS value FROM sizes GROUP BY step")
 def _(spark, d):
-    return _series(_weeks(spark, d).tsgen().largest_component(directed=False))
+    return _series(_years(spark, d, 7 * DAY).tsgen().largest_component(directed=False))
 
 
 @query("t9_component_count_strong", f"SELECT step, count(n.uid)::DOUBLE AS value FROM week_grid LEFT JOIN o_nodes n ON {_valid('n')} GROUP BY step")

@@ -49,6 +49,9 @@ VIEWS = {
     "year_grid": """
         SELECT i::BIGINT AS step, first_day + i * INTERVAL 1 DAY AS t
         FROM (SELECT min(start_time)::TIMESTAMP AS first_day, date_diff('day', min(start_time)::TIMESTAMP, max(end_time)::TIMESTAMP) AS n_days FROM o_edges), range(n_days) r(i)""",
+    "all_weeks": """
+        SELECT i::BIGINT AS step, first_day + i * INTERVAL 7 DAY AS t
+        FROM (SELECT min(start_time)::TIMESTAMP AS first_day, (date_diff('day', min(start_time)::TIMESTAMP, max(end_time)::TIMESTAMP) + 6) // 7 AS n_weeks FROM o_edges), range(n_weeks) r(i)""",
     "january": """
         SELECT i::BIGINT AS step, TIMESTAMP '2024-01-01' + i * INTERVAL 1 DAY AS t FROM range(30) r(i)""",
 }

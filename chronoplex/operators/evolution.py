@@ -1,7 +1,8 @@
 """Series generated from a snapshot sequence: one value per step.
 
 Counts of a step come from running totals of starts and ends of validity. Sums, averages, minima and maxima come from dyadic ranges of
-steps; degrees first become runs in which a node's degree does not change. Only components and the degrees of single nodes have rows per step.
+steps; degrees first become runs in which a node's degree does not change. Weak components are contracted from long ranges to short ones. Only strong
+components and the degrees of single nodes have rows per step.
 """
 
 from __future__ import annotations
@@ -171,9 +172,21 @@ class Evolution:
 
     # components ----------------------------------------------------------------------------------
     def _components(self, directed: bool) -> DataFrame:
-        nodes = self.grid.expand(self.graph.nodes.select("uid", "start_time", "end_time"))
-        edges = self.grid.expand(self.graph.edges.select("src", "dst", "start_time", "end_time"))
-        return component_summary(components(nodes, edges, directed, ["step"]), ["step"])
+        """``step, n_components, biggest``; strong components need the edges of every step."""
+        if directed:
+            nodes = self.grid.expand(self.graph.nodes.select("uid", "start_time", "end_time"))
+            edges = self.grid.expand(self.graph.edges.select("src", "dst", "start_time", "end_time"))
+            return component_summary(components(nodes, edges, directed, ["step"]), ["step"])
+        from ..plans.connectivity import components_over_steps
+
+        nodes = self.graph.nodes.select("uid", "start_time", "end_time")
+        edges = self.graph.edges.select("src", "dst", "start_time", "end_time")
+        for end in ("src", "dst"):
+            edges = intersect_validity(edges, nodes.withColumnRenamed("uid", end), [end])
+        joined = components_over_steps(self.grid.clamp(edges), self.grid)
+        n = self.grid.running_count(nodes, name="n_nodes")
+        return n.join(joined, "step", "left").select(
+            "step", (F.col("n_nodes") - F.coalesce("joins", F.lit(0))).alias("n_components"), F.coalesce("biggest", F.least("n_nodes", F.lit(1))).alias("biggest"))
 
     def component_count(self, directed: bool = True) -> DataFrame:
         return self._filled(self._components(directed).withColumnRenamed("n_components", "value"))

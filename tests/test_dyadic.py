@@ -83,3 +83,33 @@ def test_no_row_per_element_and_step(spark):
     for df in (series.degree_stats(), series.node_property("x", "max"), series.edge_property("x", "avg")):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "explode(sequence" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("seed,m", [(4, 8), (5, 20), (6, 60)])
+def test_weak_components_match_every_snapshot(spark, seed, m):
+    _, series, at, _ = random_graph(spark, seed, m=m)
+    count = {r.step: r.value for r in series.component_count(directed=False).collect()}
+    largest = {r.step: r.value for r in series.largest_component(directed=False).collect()}
+    for k in range(25):
+        nodes, edges = at(day(k))
+        comp = {i: i for i in nodes}
+        for a, b in edges:
+            if a in comp and b in comp:
+                comp = {i: comp[a] if c == comp[b] else c for i, c in comp.items()}
+        sizes = [list(comp.values()).count(c) for c in set(comp.values())]
+        assert (count[k], largest[k]) == (len(sizes), max(sizes, default=0))
+
+
+def test_what_is_written_shrinks_towards_the_steps(spark, monkeypatch):
+    """A path whose edges are valid nearly all the time, and one edge that comes and goes: below the top only what that edge needs goes on."""
+    from chronoplex.plans import connectivity
+
+    days, n = 64, 40
+    rows = [(f"v{i:02}", f"v{i + 1:02}", 0, 63) for i in range(n)] + [("v00", "v40", k, k) for k in range(0, 64, 5)] + [("x", "v03", 9, 20)]
+    written = []
+    monkeypatch.setattr(connectivity, "cut", lambda df, real=connectivity.cut: written.append(real(df)) or written[-1])
+    grid = Grid(day(0), day(days), DAY)
+    found = {r.step: r for r in connectivity.components_over_steps(spark.createDataFrame(rows, "src string, dst string, _lo long, _hi long"), grid).collect()}
+    assert all(found[k].joins == n + (9 <= k <= 20) and found[k].biggest == n + 1 + (9 <= k <= 20) for k in range(days))
+    edges = [w.count() for w in written[1:] if w.columns[:3] == ["block", "a", "b"]]
+    assert edges[0] == n and sum(edges[1:]) <= 10  # edges inside a component do not go on
