@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import aggregates as A
+from ..functions.python_aggregates import KURTOSIS
 from ..operators import mutate, series as S
 from ..operators.temporal import Grid, as_of_grid
 from ..sources.warehouse import signal_graph
@@ -129,6 +131,16 @@ def _(spark, d):
     return S.trends(_days(spark, d)).select("ts_id", "count", r6("slope").alias("slope"), "trend")
 
 
+@query("udf2_user_aggregates", """
+SELECT ts_id, round(sum(value * value), 4) AS energy, round(kurtosis_pop(value), 5) AS kurtosis, round(avg(value), 6) AS mean FROM samples GROUP BY ts_id""")
+def _(spark, d):
+    """Two aggregates of a user's own: one as a Column, one as mergeable Python, next to a built-in one."""
+    A.register_aggregate("energy", lambda v, t: F.sum(v * v))
+    A.register_python_aggregate("kurtosis", KURTOSIS)
+    a = S.series_aggregates(_raw(spark, d), ["ts_id"], ["energy", "kurtosis", "mean"])
+    return a.select("ts_id", F.round("energy", 4).alias("energy"), F.round("kurtosis", 5).alias("kurtosis"), r6("mean").alias("mean"))
+
+
 @query("a20_time_buckets", """
 SELECT ts_id, strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2000-01-03'), '%Y-%m-%d %H:%M:%S') AS bucket, round(max(value), 6) AS value
 FROM samples GROUP BY ts_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2000-01-03')""")

@@ -55,9 +55,13 @@ AGGREGATE_ALIASES = {"avg": "mean", "average": "mean", "stddev": "std", "coeffic
 ORDER_STATISTICS = {"median": 0.5}
 
 
+#: A user's own aggregates in Python, added with ``register_python_aggregate``.
+PYTHON_AGGREGATES: dict = {}
+
+
 def aggregate_name(name: str) -> str:
     name = AGGREGATE_ALIASES.get(name, name)
-    if name not in AGGREGATES and name not in ORDER_STATISTICS:
+    if name not in AGGREGATES and name not in ORDER_STATISTICS and name not in PYTHON_AGGREGATES:
         raise ValueError(f"unknown aggregate {name!r}")
     return name
 
@@ -66,6 +70,11 @@ def register_aggregate(name: str, factory: Factory) -> None:
     AGGREGATES[name] = factory
 
 
+def register_python_aggregate(name: str, aggregate) -> None:
+    """``aggregate``: a ``PythonAggregate``; its name then serves wherever series are aggregated by name."""
+    PYTHON_AGGREGATES[name] = aggregate
+
+
 def aggregate_column(name: str, v: Column, t: Column) -> Column:
     return AGGREGATES[aggregate_name(name)](v, t)
 

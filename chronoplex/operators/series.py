@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
+from ..functions.python_aggregates import python_aggregate
 from ..functions.values import guarded_corr
 from ..plans.positions import exact_percentiles, with_position
 from .temporal import bucket_start, interval, time_column, within
@@ -24,6 +25,7 @@ def series_aggregates(m: DataFrame, keys: list[str], names: list[str]) -> DataFr
     ordered = {n: A.ORDER_STATISTICS[n] for n in names if n in A.ORDER_STATISTICS}
     if ordered:
         parts.append(exact_percentiles(m, keys, "value", ordered))
+    parts += [python_aggregate(m, keys, A.PYTHON_AGGREGATES[n], n) for n in names if n in A.PYTHON_AGGREGATES]
     return reduce(lambda a, b: a.join(b, keys), parts)
 
 
