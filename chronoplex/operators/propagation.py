@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import hops
+from ..plans.fixpoint import greatest_depth, hops
 from ..plans.lineage import cut
 
 DAY_MICROS = 86_400_000_000
@@ -74,5 +74,5 @@ class Propagation:
         e = one(self.edges(), F.count(F.lit(1)).alias("cpg_edges"), F.coalesce(F.avg("delay_days"), F.lit(0.0)).alias("cpg_avg_delay_days"))
         r = one(self.roots(), F.count(F.lit(1)).alias("cpg_roots"))
         lv = one(self.leaves(), F.count(F.lit(1)).alias("cpg_leaves"))
-        d = one(self.depths(), F.coalesce(F.max("hop"), F.lit(0)).alias("cpg_max_depth"))
-        return n.crossJoin(e).crossJoin(r).crossJoin(lv).crossJoin(d)  # one row each
+        depth = F.lit(greatest_depth(self.roots(), self.edges())).alias("cpg_max_depth")  # without a row per root and node
+        return n.crossJoin(e).crossJoin(r).crossJoin(lv).select("*", depth)  # one row each

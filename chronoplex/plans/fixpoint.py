@@ -6,10 +6,13 @@ snapshot time, say), so the rounds of the loop are shared. Every round ends in a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .positions import with_position
 
 #: Tables of this many rounds are merged into one, so that plans stay short.
 MERGE_EVERY = 16
@@ -153,3 +156,32 @@ def hops(start: DataFrame, edges: DataFrame, keys: list[str] = (), until: str |
             seen = cut(seen)
         if until is not None and not frontier.filter(F.col("uid") == until).isEmpty():
             return seen
+
+
+#: Roots that share a number.
+_BITS = 64
+
+
+def greatest_depth(roots: DataFrame, edges: DataFrame) -> int:
+    """The largest breadth-first distance from any root (``uid``) to any node it reaches, 0 without roots.
+
+    All roots go at once, 64 in the bits of one number: a node has a row per 64 roots that reach it, not per root. A hop joins the
+    bits that came last to the edges, unites them per node with ``bit_or``, and takes away those that the node had before.
+    """
+    numbered = with_position(roots.select("uid").distinct(), [], "uid")
+    bit = F.expr(f"shiftleft(1L, cast(idx % {_BITS} AS int))")
+    ends = cut(edges.select(F.col("src").alias("uid"), "dst").distinct())
+    frontier = cut(numbered.select("uid", F.floor(F.col("idx") / _BITS).alias("word"), bit.alias("bits")))
+    parts, hop = [frontier], 0
+    while True:
+        seen = reduce(DataFrame.unionByName, parts).groupBy("uid", "word").agg(F.bit_or("bits").alias("had"))
+        if len(parts) > MERGE_EVERY:
+            seen = cut(seen)
+            parts = [seen.withColumnRenamed("had", "bits")]
+        reached = frontier.join(ends, "uid").groupBy(F.col("dst").alias("uid"), "word").agg(F.bit_or("bits").alias("bits"))
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+        frontier = cut(reached.join(seen, ["uid", "word"], "left").select("uid", "word", new.alias("bits")).filter("bits <> 0"))
+        if frontier.isEmpty():
+            return hop
+        parts.append(frontier)
+        hop += 1

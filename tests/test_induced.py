@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from chronoplex.operators import signals as V
 from chronoplex.operators.induced import InducedGraph, Predicate, Term
 from chronoplex.operators.induced_diff import InducedDiff, frequent_members, signal_descriptors
 from chronoplex.operators.propagation import Propagation
+from chronoplex.plans import fixpoint
 
 from conftest import day, make_edges, make_graph, make_samples, rows
 
@@ -156,3 +158,28 @@ def test_two_periods_and_annotation(spark):
     s = d.summary().first()
     assert (s.added, s.removed, s.persisted) == (1, 1, 1) and s.jaccard_nodes == pytest.approx(1 / 3)
     assert d.query().added().count() == 1
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 30, 40), (2, 200, 260), (3, 150, 900), (4, 5, 0)])
+def test_greatest_depth_is_that_of_single_searches(spark, monkeypatch, seed, n, m):
+    rng = random.Random(seed)
+    ids = [f"v{k}" for k in range(n)]
+    times = spark.createDataFrame([(i, day(rng.randint(0, 60))) for i in ids], "uid string, transition_ts timestamp")
+    adjacency = spark.createDataFrame([tuple(rng.sample(ids, 2)) for _ in range(m)], "src string, dst string")
+    p = Propagation(times, adjacency)
+    n_roots, deepest = p.roots().count(), p.depths().agg({"hop": "max"}).first()[0]
+    tables = []
+    real = fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: tables.append(df.columns) or real(df))
+    s = p.summary().first()
+    assert (s.cpg_roots, s.cpg_max_depth) == (n_roots, deepest or 0)
+    assert tables and not [c for c in tables if "root" in c]  # never a row per root and node
+    if seed == 2:
+        assert n_roots > 64
+
+
+def test_depth_of_a_chain_and_a_ring(spark):
+    chain = spark.createDataFrame([(f"c{k:02}", f"c{k + 1:02}") for k in range(20)] + [("c00", "c15"), ("c20", "c00")], "src string, dst string")
+    roots = spark.createDataFrame([("c00",), ("c03",), ("elsewhere",)], "uid string")
+    assert fixpoint.greatest_depth(roots, chain) == 20  # c03 along the chain to c20, by the ring to c00, on to c02
+    assert fixpoint.greatest_depth(roots.limit(0), chain) == 0
