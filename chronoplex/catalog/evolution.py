@@ -394,6 +394,26 @@ def _(spark, d):
     return t.select((F.col("step") + 5).alias("step"), "metric", "value")
 
 
+@query("t13_metric_requests", f"""
+WITH {_MONTH_DEGREES.format(where='')},
+arrivals AS (SELECT step, n.uid, count(e.uid) AS k FROM month_grid JOIN o_nodes n ON label = 'Customer' AND {_valid('n')} LEFT JOIN o_edges e ON e.dst = n.uid AND {_valid('e')} GROUP BY step, n.uid)
+SELECT step, 'max_degree_in' AS metric, max(k)::DOUBLE AS value FROM arrivals GROUP BY step
+UNION ALL SELECT step, 'avg_weighted_degree_quantity_both', round(avg(w), 6) FROM deg GROUP BY step
+UNION ALL SELECT step, 'degree_S3_out', count(e.uid)::DOUBLE FROM month_grid LEFT JOIN o_edges e ON e.src = 'S3' AND {_valid('e')} GROUP BY step
+UNION ALL SELECT step, 'edges_S12_C1250_sum_price', coalesce(sum(price), 0) FROM month_grid LEFT JOIN o_edges e ON e.src = 'S12' AND e.dst = 'C1250' AND {_valid('e')} GROUP BY step
+UNION ALL SELECT step, 'connected_components', count(n.uid)::DOUBLE FROM month_grid LEFT JOIN o_nodes n ON label = 'Supplier' AND {_valid('n')} GROUP BY step""")
+def _(spark, d):
+    """Suppliers have no edges among themselves, so each is a component."""
+    t = _month(spark, d).tsgen()
+    asked = [t.request("global", "nodes", "degree", "max", label="Customer", direction="in"), t.request("global", "nodes", "degree", weight="quantity"),
+             t.request("entity", "nodes", "degree", uid="S3", direction="out"), t.request("entity", "edges", "property", "sum", uid="S12", other="C1250", prop="price"),
+             t.request("global", "graph", "connected_components", label="Supplier", directed=False)]
+    found = asked[0]
+    for more in asked[1:]:
+        found = found.unionByName(more)
+    return found.select("step", "metric", r6("value").alias("value"))
+
+
 @query("t14_t15_m9_saved_series", f"""
 SELECT 'ts_load_' || n.uid AS ts_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS ts, v.value FROM month_grid
 JOIN (SELECT step, count(e.uid)::DOUBLE AS value FROM month_grid LEFT JOIN o_edges e ON {_valid('e')} GROUP BY step) v USING (step)

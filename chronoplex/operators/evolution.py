@@ -12,13 +12,27 @@ from pyspark.sql import functions as F
 
 from ..functions.values import property_number
 from .metrics import component_summary, components, density_column
-from .scans import edge_ends, with_label
+from .scans import edge_ends, edges_among, with_label
 from .series import from_results
 from .temporal import intersect_validity
 
 _AGGREGATES = {"avg": F.avg, "mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
 
 
+def request_name(scope: str, entity: str, metric: str, aggregation: str = "avg", label: str | None = None, direction: str = "both",
+                 weight: str | None = None, prop: str | None = None, uid: str | None = None, other: str | None = None) -> str:
+    """The name of a requested series. The forms are fixed values."""
+    if scope == "entity":
+        return f"degree_{uid}_{direction}" if metric == "degree" else "_".join(["edges", uid or "", other or "", *([aggregation, prop or ""] if metric == "property" else ["count"])])
+    if metric == "degree":
+        return f"{aggregation}_weighted_degree_{weight}_{direction}" if weight else f"{aggregation}_degree_{direction}"
+    if metric == "property":
+        return f"{aggregation}_{prop}"
+    if metric == "count":
+        return "_".join([{"nodes": "node", "edges": "edge"}[entity], "count", *([label] if label else [])])
+    return metric
+
+
 def _over_steps(df: DataFrame, grid, amounts: dict) -> DataFrame:
     from ..plans.dyadic import over_steps
 
@@ -52,8 +66,13 @@ class Evolution:
     def edge_count(self, label: str | None = None) -> DataFrame:
         return self._filled(self.grid.running_count(with_label(self.graph.edges, label), name="value"))
 
-    def density(self, directed: bool = True) -> DataFrame:
-        n, m = self.node_count(), self.edge_count().withColumnRenamed("value", "m").drop("snap_ts")
+    def _among(self, label: str | None) -> DataFrame:
+        """Edges, with a label those whose ends both have it."""
+        return self.graph.edges if label is None else edges_among(self.graph.edges, with_label(self.graph.nodes, label))
+
+    def density(self, directed: bool = True, label: str | None = None) -> DataFrame:
+        n = self.node_count(label)
+        m = self._filled(self.grid.running_count(self._among(label), name="value")).withColumnRenamed("value", "m").drop("snap_ts")
         joined = n.join(m, "step")
         return joined.select("step", "snap_ts", density_column(F.col("value"), F.col("m"), directed).alias("value"))
 
@@ -171,16 +190,15 @@ class Evolution:
         return self._property(edges, prop, agg)
 
     # components ----------------------------------------------------------------------------------
-    def _components(self, directed: bool) -> DataFrame:
+    def _components(self, directed: bool, label: str | None = None) -> DataFrame:
         """``step, n_components, biggest``; strong components need the edges of every step."""
+        nodes = with_label(self.graph.nodes, label).select("uid", "start_time", "end_time")
+        edges = self._among(label).select("src", "dst", "start_time", "end_time")
         if directed:
-            nodes = self.grid.expand(self.graph.nodes.select("uid", "start_time", "end_time"))
-            edges = self.grid.expand(self.graph.edges.select("src", "dst", "start_time", "end_time"))
+            nodes, edges = self.grid.expand(nodes), self.grid.expand(edges)
             return component_summary(components(nodes, edges, directed, ["step"]), ["step"])
         from ..plans.connectivity import components_over_steps
 
-        nodes = self.graph.nodes.select("uid", "start_time", "end_time")
-        edges = self.graph.edges.select("src", "dst", "start_time", "end_time")
         for end in ("src", "dst"):
             edges = intersect_validity(edges, nodes.withColumnRenamed("uid", end), [end])
         joined = components_over_steps(self.grid.clamp(edges), self.grid)
@@ -188,11 +206,11 @@ class Evolution:
         return n.join(joined, "step", "left").select(
             "step", (F.col("n_nodes") - F.coalesce("joins", F.lit(0))).alias("n_components"), F.coalesce("biggest", F.least("n_nodes", F.lit(1))).alias("biggest"))
 
-    def component_count(self, directed: bool = True) -> DataFrame:
-        return self._filled(self._components(directed).withColumnRenamed("n_components", "value"))
+    def component_count(self, directed: bool = True, label: str | None = None) -> DataFrame:
+        return self._filled(self._components(directed, label).withColumnRenamed("n_components", "value"))
 
-    def largest_component(self, directed: bool = True) -> DataFrame:
-        return self._filled(self._components(directed).withColumnRenamed("biggest", "value"))
+    def largest_component(self, directed: bool = True, label: str | None = None) -> DataFrame:
+        return self._filled(self._components(directed, label).withColumnRenamed("biggest", "value"))
 
     # request form --------------------------------------------------------------------------------
     def compute(self, entity: str, metric: str, agg: str | None = None, **options) -> DataFrame:
@@ -209,6 +227,35 @@ class Evolution:
             raise ValueError(f"unknown metric {metric!r}")
         return df.withColumn("metric", F.lit(metric_name(entity, metric, agg, options.get("label"))))
 
+    def request(self, scope: str, entity: str, metric: str, aggregation: str = "avg", *, label: str | None = None, direction: str = "both",
+                weight: str | None = None, prop: str | None = None, uid: str | None = None, other: str | None = None, directed: bool = True) -> DataFrame:
+        """A series by request: ``step, snap_ts, value, metric``, the last being the request's name (see ``request_name``).
+
+        Scope ``global``: ``count``, ``degree`` and ``property`` of ``nodes``, ``count`` and ``property`` of ``edges``, ``density`` and ``connected_components`` of the
+        ``graph``. Scope ``entity``: ``degree`` of the node ``uid``, ``count`` and ``property`` of the edges between ``uid`` and ``other``.
+        """
+        name = request_name(scope, entity, metric, aggregation, label, direction, weight, prop, uid, other)
+        asked = (scope, entity, metric)
+        if asked == ("global", "nodes", "count"):
+            df = self.node_count(label)
+        elif asked == ("global", "edges", "count"):
+            df = self.edge_count(label)
+        elif asked == ("global", "nodes", "degree"):
+            df = self.degree(aggregation, direction, label, weight)
+        elif asked in (("global", "nodes", "property"), ("global", "edges", "property")) and prop:
+            df = (self.node_property if entity == "nodes" else self.edge_property)(prop, aggregation, label)
+        elif asked == ("global", "graph", "density"):
+            df = self.density(directed, label)
+        elif asked == ("global", "graph", "connected_components"):
+            df = self.component_count(directed, label)
+        elif asked == ("entity", "nodes", "degree") and uid:
+            df = self.entity_degree(uid, direction, label, weight).drop("uid")
+        elif asked in (("entity", "edges", "count"), ("entity", "edges", "property")) and uid and other:
+            df = self.edges_between(uid, other, label, directed, prop if metric == "property" else None, aggregation)
+        else:
+            raise ValueError(f"no series for {scope} {entity} {metric}")
+        return df.withColumn("metric", F.lit(name))
+
     @staticmethod
     def as_measurements(values: DataFrame, ts_id: str, variable: str) -> DataFrame:
         return from_results(values, ts_id, variable)

@@ -113,3 +113,23 @@ def test_what_is_written_shrinks_towards_the_steps(spark, monkeypatch):
     assert all(found[k].joins == n + (9 <= k <= 20) and found[k].biggest == n + 1 + (9 <= k <= 20) for k in range(days))
     edges = [w.count() for w in written[1:] if w.columns[:3] == ["block", "a", "b"]]
     assert edges[0] == n and sum(edges[1:]) <= 10  # edges inside a component do not go on
+
+
+def test_requests(spark):
+    _, series, at, _ = random_graph(spark, 7)
+    values = lambda df: {r.step: r.value for r in df.collect()}
+    named = series.request("entity", "nodes", "degree", uid="n1", direction="in")
+    assert {r.metric for r in named.collect()} == {"degree_n1_in"}
+    got, between = values(named), values(series.request("entity", "edges", "count", uid="n1", other="n2"))
+    density = values(series.request("global", "graph", "density", label="N"))
+    parts = values(series.request("global", "graph", "connected_components", label="N", directed=False))
+    assert parts == values(series.component_count(directed=False)) and density == values(series.density())
+    for k in range(25):
+        nodes, edges = at(day(k))
+        assert got[k] == (sum(b == "n1" for _, b in edges) if "n1" in nodes else 0)
+        assert between[k] == sum((a, b) == ("n1", "n2") for a, b in edges)
+    assert {r.metric for r in series.request("global", "nodes", "degree", "min", weight="x").collect()} == {"min_weighted_degree_x_both"}
+    with pytest.raises(ValueError):
+        series.request("global", "graph", "degree")
+    with pytest.raises(ValueError):
+        series.request("entity", "nodes", "degree")
