@@ -230,7 +230,7 @@ def test_contaminated_by_parts_of_items(spark):
 def test_query_gives_the_rows_of_its_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
     df = LLM_QUERIES[name](spark, "/root/testdata/sf0.001")
     cursor = con.execute(LLM_ORACLES[name])
