@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each on all that the one before kept.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. Null texts count as empty. A document is an identifier with a text: rows that share an identifier but not the
+text, and rows without an identifier, are judged one by one. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest identifier."""
+    """Of equal texts the one with the smallest identifier; rows of equal identifier and text count as copies too."""
     return kept_documents(docs, exact_dedup(docs, keep="smallest"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8; the smallest identifier stays, nulls come last."""
     return one_of_each_group(docs, near_copies(docs, similarity=0.8, words_per_shingle=5))
 
 
