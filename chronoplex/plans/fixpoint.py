@@ -60,78 +60,95 @@ def weak_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = (), ed
     return ids.join(stars, [*keys, "uid"], "left").withColumn("comp", F.coalesce("comp", "uid"))
 
 
-def _spread_minimum(start: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Smallest label that reaches each node along the edges; ``start`` has ``keys, uid, color``."""
-    labels, changed = start, start
-    while True:
-        offers = (
-            changed.join(edges.withColumnRenamed("src", "uid"), [*keys, "uid"])
-            .groupBy(*keys, F.col("dst").alias("uid")).agg(F.min("color").alias("offer"))
-        )
-        merged = labels.join(offers, [*keys, "uid"], "left")
-        better = F.col("offer") < F.col("color")
-        state = cut(merged.withColumn("moved", F.coalesce(better, F.lit(False)))
-                    .withColumn("color", F.when(better, F.col("offer")).otherwise(F.col("color"))).drop("offer"))
-        labels = state.drop("moved")
+#: A round of shrinking that removes a smaller share of the nodes than one in this many is followed by a round of colours.
+_SHRINK_SHARE = 8
+
+
+def _colors(edges: DataFrame, keys: list[str], seed: int) -> DataFrame:
+    """``keys, uid, ahead, behind``: the smallest colour that reaches a node and the smallest that it reaches; each node's own is drawn at random.
+
+    Both directions go at once. Colours move along edges and along a pointer per node to a node that is known to reach it. Pointers
+    double their distance every round, so a colour does not need a round for each edge of a long way.
+    """
+    ways = [*keys, "way"]
+    both = cut(edges.select(*keys, F.explode(F.array(
+        F.struct(F.lit(0).alias("way"), "src", "dst"), F.struct(F.lit(1).alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
+        .select(*keys, "e.way", "e.src", "e.dst"))
+    drawn = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("draw"), F.col(c).alias("owner"))
+    ends = both.select(*ways, F.explode(F.array(
+        F.struct(F.col("dst").alias("uid"), drawn("src").alias("via")), F.struct(F.col("src").alias("uid"), F.lit(None).alias("via")))).alias("e"))
+    state = cut(ends.select(*ways, "e.uid", "e.via").groupBy(*ways, "uid").agg(F.min("via").alias("via"))
+                .select(*ways, "uid", drawn("uid").alias("color"), F.coalesce("via.owner", "uid").alias("jump")))
+    changed = state
+    while not changed.isEmpty():
+        offers = (changed.select(*ways, F.col("uid").alias("src"), "color").join(both, [*ways, "src"])
+                  .groupBy(*ways, F.col("dst").alias("uid")).agg(F.min("color").alias("offer")))
+        there = state.select(*ways, F.col("uid").alias("jump"), F.col("color").alias("far"), F.col("jump").alias("next"))
+        low = F.least("color", "far", F.coalesce("offer", "color"))
+        state = cut(state.drop("moved").join(there, [*ways, "jump"]).join(offers, [*ways, "uid"], "left")
+                    .select(*ways, "uid", low.alias("color"), F.col("next").alias("jump"), (low < F.col("color")).alias("moved")))
         changed = state.filter("moved").drop("moved")
-        if changed.isEmpty():
-            return labels
+    way = lambda w: F.max(F.when(F.col("way") == w, F.col("color")))
+    return cut(state.groupBy(*keys, "uid").agg(way(0).alias("ahead"), way(1).alias("behind")))
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
     """``keys, uid, comp``: strongly connected components, named by a member.
 
-    Nodes without incoming or outgoing edges among the remaining ones are components of their own
-    and are trimmed first. Then the smallest id is spread forwards; the nodes that reach back to
-    the owner of their label form its component. What is left goes into the next round.
+    Rounds of shrinking remove nodes without incoming or outgoing edges, which are components of their own, and about a third of the
+    nodes with one edge of either kind: an edge over such a node takes its place, and the node belongs to the component of that
+    edge's ends if they share one. Chains and rings so end after a logarithmic number of rounds. When few nodes go, a round of colours
+    follows: nodes that are reached by the colour which they reach themselves form that colour's component, and edges between
+    nodes of different colours go. Colours are drawn anew each time, so all parts of the graph have pivots at once.
     """
     keys = list(keys)
-    left = cut(nodes.select(*keys, "uid").distinct())
+    ids = nodes.select(*keys, "uid").distinct()
     rest = edges.select(*keys, "src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    done = []
-    while True:
-        for end in ("src", "dst"):
-            rest = rest.join(left.withColumnRenamed("uid", end), [*keys, end], "left_semi")
-        rest = cut(rest)
-        flag = lambda end, name: rest.select(*keys, F.col(end).alias("uid"), F.lit(True).alias(name)).distinct()
-        state = cut(left.join(flag("src", "_out"), [*keys, "uid"], "left").join(flag("dst", "_in"), [*keys, "uid"], "left")
-                    .select(*keys, "uid", (F.col("_out").isNotNull() & F.col("_in").isNotNull()).alias("_inner")))
-        kept = state.filter("_inner").drop("_inner")
-        done.append(state.filter("NOT _inner").select(*keys, "uid", F.col("uid").alias("comp")))
-        n_kept, n_all = state.agg(F.count_if("_inner"), F.count(F.lit(1))).first()
-        if n_kept == 0:
-            break
-        if n_kept < n_all:
-            left = kept
+    for end in ("src", "dst"):
+        rest = rest.join(ids.withColumnRenamed("uid", end), [*keys, end], "left_semi")
+    rest = cut(rest)
+    levels: list[tuple[str, DataFrame]] = []  # what the rounds found, last to be read first
+    while not rest.isEmpty():
+        ends = rest.select(*keys, F.explode(F.array(
+            F.struct(F.col("src").alias("uid"), F.col("dst").alias("after"), F.lit(None).alias("before")),
+            F.struct(F.col("dst").alias("uid"), F.lit(None).alias("after"), F.col("src").alias("before")))).alias("e")).select(*keys, "e.*")
+        draw = lambda c: F.xxhash64(c, F.lit(len(levels)))
+        state = (ends.groupBy(*keys, "uid").agg(*(f(c).alias(n) for c in ("before", "after") for f, n in ((F.count, f"n_{c}"), (F.min, c))))
+                 .withColumn("alone", (F.col("n_before") == 0) | (F.col("n_after") == 0))
+                 .withColumn("between", (F.col("n_before") == 1) & (F.col("n_after") == 1)
+                             & (draw("uid") < draw("before")) & (draw("uid") < draw("after"))))
+        state = cut(state.select(*keys, "uid", "before", "after", "alone", "between"))
+        n_alone, n_between, n_all = state.agg(F.count_if("alone"), F.count_if("between"), F.count(F.lit(1))).first()
+        if n_alone + n_between:
+            between = state.filter("between").select(*keys, "uid", "before", "after")
+            over = between.select(*keys, F.col("before").alias("src"), F.col("after").alias("dst")).filter(F.col("src") != F.col("dst"))
+            rest, gone = rest.unionByName(over), state.filter("alone OR between").select(*keys, "uid")
+            for end in ("src", "dst"):
+                rest = rest.join(gone.withColumnRenamed("uid", end), [*keys, end], "left_anti")
+            rest = cut(rest.distinct())
+            levels.append(("between", between if n_between else None))
+        if (n_alone + n_between) * _SHRINK_SHARE < n_all and not rest.isEmpty():
+            colors = _colors(rest, keys, len(levels))
+            levels.append(("found", colors.filter(F.col("ahead") == F.col("behind")).select(*keys, "uid", F.col("ahead.owner").alias("comp"))))
+            open_ = colors.filter(F.col("ahead") != F.col("behind"))
+            of = lambda end: open_.select(*keys, F.col("uid").alias(end), F.struct("ahead", "behind").alias(f"at_{end}"))
+            rest = cut(rest.join(of("src"), [*keys, "src"]).join(of("dst"), [*keys, "dst"]).filter("at_src = at_dst").select(*keys, "src", "dst"))
+    comps = None  # of nodes that are not components by themselves under their own name
+    for kind, part in reversed(levels):
+        if part is None:
             continue
-        colored = _spread_minimum(kept.withColumn("color", F.col("uid")), rest, keys)
-        same = (rest.join(colored.withColumnsRenamed({"uid": "src", "color": "c1"}), [*keys, "src"])
-                .join(colored.withColumnsRenamed({"uid": "dst", "color": "c2"}), [*keys, "dst"])
-                .filter(F.col("c1") == F.col("c2")).select(*keys, "src", "dst"))
-        same = cut(same)
-        found = cut(colored.filter(F.col("uid") == F.col("color")))
-        frontier, rounds = found, 0
-        while True:
-            back = (frontier.join(same.withColumnRenamed("dst", "uid"), [*keys, "uid"])
-                    .select(*keys, F.col("src").alias("uid"), "color").distinct()
-                    .join(found.select(*keys, "uid"), [*keys, "uid"], "left_anti"))
-            frontier = cut(back)
-            if frontier.isEmpty():
-                break
-            found = found.unionByName(frontier)
-            rounds += 1
-            if rounds % MERGE_EVERY == 0:
-                found = cut(found)
-        found = cut(found.withColumnRenamed("color", "comp"))
-        done.append(found)
-        left = cut(kept.join(found, [*keys, "uid"], "left_anti"))
-        if left.isEmpty():
-            break
-        rest = same  # no component spans two labels
-    result = done[0]
-    for part in done[1:]:
-        result = result.unionByName(part)
-    return result
+        if kind == "between":
+            for end in ("before", "after"):
+                if comps is not None:
+                    named = comps.select(*keys, F.col("uid").alias(end), F.col("comp").alias(f"_{end}"))
+                    part = part.join(named, [*keys, end], "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+                else:
+                    part = part.withColumn(f"_{end}", F.col(end))
+            part = part.filter("_before = _after").select(*keys, "uid", F.col("_before").alias("comp"))
+        comps = cut(part if comps is None else comps.unionByName(part))
+    if comps is None:
+        return ids.withColumn("comp", F.col("uid"))
+    return ids.join(comps, [*keys, "uid"], "left").withColumn("comp", F.coalesce("comp", "uid"))
 
 
 def hops(start: DataFrame, edges: DataFrame, keys: list[str] = (), until: str | None = None) -> DataFrame:

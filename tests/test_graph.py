@@ -212,3 +212,67 @@ def test_series_filters_read_one_property_of_its_owners(spark):
     assert max(i for i, x in enumerate(above) if x.startswith("Join LeftSemi")) > max(i for i, x in enumerate(above) if x.startswith("Aggregate"))
     both = q.where_ts_compare("click", "max", ">", "view", "mean").execute()._jdf.queryExecution().optimizedPlan().toString()
     assert both.count("Aggregate [uid") == 1
+
+
+def _strong_by_search(ids, pairs):
+    out = {i: {b for a, b in pairs if a == i} for i in ids}
+    reach = {}
+    for start in ids:
+        seen, todo = {start}, [start]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[start] = seen
+    return {frozenset(j for j in reach[i] if i in reach[j]) for i in ids}
+
+
+def _groups(result):
+    groups = {}
+    for r in result.collect():
+        groups.setdefault(r.comp, set()).add(r.uid)
+    assert all(comp in members for comp, members in groups.items())
+    return {frozenset(g) for g in groups.values()}
+
+
+@pytest.mark.parametrize("shape", ["chain", "ring"])
+def test_long_chains_and_rings_take_logarithmic_rounds(spark, monkeypatch, shape):
+    import math
+
+    from chronoplex.plans import fixpoint
+
+    n = 1000
+    ids = [f"n{i * 7919 % n:04d}" for i in range(n)]
+    pairs = list(zip(ids, ids[1:] + ids[:1] if shape == "ring" else ids[1:]))
+    nodes = spark.createDataFrame([(i,) for i in ids], "uid string")
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    tables, real = [], fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: tables.append(df.columns) or real(df))
+    result = _groups(strong_components(nodes, edges))
+    assert len(result) == (1 if shape == "ring" else n)
+    assert sum("between" in t for t in tables) <= 2 * math.log2(n)  # one such table a round
+    assert not any("way" in t for t in tables)  # shrinking alone was enough
+
+
+def test_strong_components_of_several_graphs_at_once(spark):
+    import random
+
+    rng = random.Random(11)
+    ids = [f"n{i:03d}" for i in range(60)]
+    graphs = {
+        0: [(a, rng.choice(ids)) for a in ids for _ in range(2)],  # one large component and what hangs on it
+        1: [(a, rng.choice(ids[i // 10 * 10:i // 10 * 10 + 12])) for i, a in enumerate(ids) for _ in range(3)],  # some that lead to each other
+        2: [(ids[i], ids[j]) for i in range(60) for j in (i + 1, i + 2, i + 3) if j < 60],  # none, and no chain
+        3: [(ids[i], ids[i ^ 1]) for i in range(60)] + [(ids[0], ids[0])],  # pairs
+        4: [(ids[i], ids[(i + 2) % 60]) for i in range(60)] + [(ids[i], ids[i + 1]) for i in range(0, 60, 2)],  # rungs from one ring to another
+        5: [("n000", "n001"), ("n001", "n000"), ("n000", "n002"), ("n002", "n003"), ("n003", "n002"), ("n001", "gone"), ("gone", "n001")],
+    }
+    nodes = spark.createDataFrame([(g, i) for g in graphs for i in ids], "g int, uid string")
+    edges = spark.createDataFrame([(g, a, b) for g, pairs in graphs.items() for a, b in pairs], "g int, src string, dst string")
+    result = strong_components(nodes, edges, ["g"])
+    assert result.count() == 60 * len(graphs)
+    for g, pairs in graphs.items():
+        known = [p for p in pairs if "gone" not in p]
+        assert _groups(result.filter(F.col("g") == g)) == _strong_by_search(ids, known), g
+    assert strong_components(nodes.limit(0), edges, ["g"]).count() == 0
+    assert _groups(strong_components(nodes, edges.limit(0), ["g"]).filter("g = 0")) == {frozenset([i]) for i in ids}
