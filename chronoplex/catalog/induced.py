@@ -317,6 +317,17 @@ def _(spark, d):
     return _two(spark, d).propagation().paths().select(F.array_join("path", ">").alias("path"), "n_hops", r6("total_delay_days").alias("total_delay_days"))
 
 
+@query("k5_shortest_paths", f"{_PATHS} SELECT path, hop AS n_hops, round(total, 6) AS total_delay_days FROM walk WHERE hop > 0 AND uid NOT IN (SELECT src FROM cpg) ORDER BY round(total, 6), string_split(path, '>') LIMIT 25")
+def _(spark, d):
+    paths = _two(spark, d).propagation().paths(top_k=25)
+    return paths.select(F.array_join("path", ">").alias("path"), "n_hops", r6("total_delay_days").alias("total_delay_days"))
+
+
+@query("k5_path_counts", f"{_PATHS} SELECT uid, hop AS n_hops, count(*) AS n_paths FROM walk WHERE hop > 0 AND uid NOT IN (SELECT src FROM cpg) GROUP BY uid, hop")
+def _(spark, d):
+    return _two(spark, d).propagation().path_counts().withColumn("n_paths", F.col("n_paths").cast("long"))
+
+
 @query("k4_k6_summary", f"""
 {_PATHS} SELECT (SELECT count(*) FROM ad) AS cpg_nodes, (SELECT count(*) FROM cpg) AS cpg_edges, (SELECT round(coalesce(avg(delay), 0), 6) FROM cpg) AS cpg_avg_delay_days, (SELECT count(*) FROM ad WHERE uid NOT IN (SELECT dst FROM cpg)) AS cpg_roots,
 (SELECT count(*) FROM ad WHERE uid NOT IN (SELECT src FROM cpg)) AS cpg_leaves, (SELECT coalesce(max(h), 0) FROM (SELECT min(hop) AS h FROM walk GROUP BY root, uid)) AS cpg_max_depth""")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import greatest_depth, hops
@@ -47,23 +49,41 @@ class Propagation:
         start = self.roots().select(F.col("uid").alias("root"))
         return hops(start, self.edges()).select("root", "uid", "hop")
 
-    def paths(self) -> DataFrame:
-        """All paths from a root to a leaf with an edge: ``path, n_hops, total_delay_days``, shortest delay first.
+    def paths(self, top_k: int | None = None, max_hops: int | None = None) -> DataFrame:
+        """Paths from a root to a leaf with an edge: ``path, n_hops, total_delay_days``, shortest delay first, then by path.
 
-        Times strictly increase along edges, so no path meets a node twice and the loop ends.
+        All of them, or the first ``top_k``, of at most ``max_hops`` edges. Times strictly increase along edges, so no path meets a node
+        twice and the loop ends. With ``top_k`` a hop keeps that many ways to each node: what begins with another way of as many hops is
+        preceded by ``top_k`` paths that end alike. So a hop holds at most ``top_k`` rows per node, however many paths there are.
         """
-        leaves = self.leaves().select("uid")
-        rows = cut(self.roots().select(F.array("uid").alias("path"), F.col("uid").alias("src"), F.lit(0.0).alias("total_delay_days")))
-        done = None
-        while True:
-            rows = cut(rows.join(self.edges().select("src", "dst", "delay_days"), "src").select(
-                F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"), (F.col("total_delay_days") + F.col("delay_days")).alias("total_delay_days")))
-            if rows.isEmpty():
-                break
-            ended = rows.join(leaves.withColumnRenamed("uid", "src"), "src", "left_semi")
-            done = ended if done is None else done.unionByName(ended)
-        done = rows if done is None else done
-        return done.select("path", (F.size("path") - 1).alias("n_hops"), "total_delay_days").orderBy("total_delay_days", "path")
+        leaves = self.leaves().select(F.col("uid").alias("src"))
+        steps = self.edges().select("src", "dst", (F.unix_micros("dst_ts") - F.unix_micros("src_ts")).alias("step"))
+        rows = cut(self.roots().select(F.array("uid").alias("path"), F.col("uid").alias("src"), F.lit(0).cast("long").alias("delay")))
+        ended, hop = [], 0
+        while (max_hops is None or hop < max_hops) and not rows.isEmpty():
+            rows = rows.join(steps, "src").select(
+                F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"), (F.col("delay") + F.col("step")).alias("delay"))
+            if top_k is not None:
+                place = F.row_number().over(Window.partitionBy("src").orderBy("delay", "path"))
+                rows = rows.withColumn("_place", place).filter(F.col("_place") <= top_k).drop("_place")
+            rows, hop = cut(rows), hop + 1
+            ended.append(rows.join(leaves, "src", "left_semi"))
+        done = (reduce(DataFrame.unionByName, ended) if ended else rows.limit(0)).select(
+            "path", (F.size("path") - 1).alias("n_hops"), (F.col("delay") / DAY_MICROS).alias("total_delay_days"), "delay").orderBy("delay", "path")
+        return (done if top_k is None else done.limit(top_k)).drop("delay")
+
+    def path_counts(self, max_hops: int | None = None) -> DataFrame:
+        """``uid, n_hops, n_paths``: how many of the ``paths`` end at each leaf after how many edges, without listing them."""
+        steps = self.edges().select("src", "dst")
+        rows = cut(self.roots().select(F.col("uid").alias("src"), F.lit(0).alias("n_hops"), F.lit(1).cast("decimal(38,0)").alias("n_paths")))
+        levels, hop = [rows.limit(0)], 0
+        while (max_hops is None or hop < max_hops) and not rows.isEmpty():
+            hop += 1
+            rows = cut(rows.join(steps, "src").groupBy(F.col("dst").alias("src")).agg(F.sum("n_paths").alias("n_paths"))
+                       .select("src", F.lit(hop).alias("n_hops"), "n_paths"))
+            levels.append(rows)
+        reached = reduce(DataFrame.unionByName, levels).withColumnRenamed("src", "uid")
+        return reached.join(self.leaves().select("uid"), "uid", "left_semi")
 
     def timeline(self) -> DataFrame:
         return self.times.orderBy("transition_ts", "uid")

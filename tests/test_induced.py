@@ -183,3 +183,42 @@ def test_depth_of_a_chain_and_a_ring(spark):
     roots = spark.createDataFrame([("c00",), ("c03",), ("elsewhere",)], "uid string")
     assert fixpoint.greatest_depth(roots, chain) == 20  # c03 along the chain to c20, by the ring to c00, on to c02
     assert fixpoint.greatest_depth(roots.limit(0), chain) == 0
+
+
+def test_paths_of_a_layered_graph_are_counted_and_the_shortest_listed(spark):
+    layers, width = 10, 20
+    node = lambda k, j: f"l{k}_{j:02}"
+    times = spark.createDataFrame([(node(k, j), day(2 * k, j if k in (0, layers - 1) else 0)) for k in range(layers) for j in range(width)],
+                                  "uid string, transition_ts timestamp")
+    adjacency = spark.createDataFrame([(node(k, i), node(k + 1, j)) for k in range(layers - 1) for i in range(width) for j in range(width)],
+                                      "src string, dst string")
+    p = Propagation(times, adjacency)
+    counts = p.path_counts().collect()
+    assert len(counts) == width and {(r.n_hops, int(r.n_paths)) for r in counts} == {(layers - 1, width ** (layers - 1))}
+    found = p.paths(top_k=100).collect()
+    assert len(found) == 100
+    # the latest root and the earliest leaf are nearest; among those paths the order of names decides
+    first = found[0].path
+    assert first == [node(0, width - 1)] + [node(k, 0) for k in range(1, layers)]
+    assert [r.path for r in found] == [first[:7] + [node(7, a), node(8, b), node(9, 0)] for a in range(5) for b in range(20)]
+    assert {r.total_delay_days for r in found} == {2.0 * (layers - 1) - (width - 1) / 24}
+    assert p.paths(max_hops=3).count() == 0 and p.path_counts(max_hops=3).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_first_paths_are_those_of_all(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"v{k}" for k in range(18)]
+    times = spark.createDataFrame([(i, day(rng.randint(0, 9))) for i in ids], "uid string, transition_ts timestamp")
+    p = Propagation(times, spark.createDataFrame([tuple(rng.sample(ids, 2)) for _ in range(50)], "src string, dst string"))
+    every = [(r.path, r.n_hops, r.total_delay_days) for r in p.paths().collect()]
+    assert every == sorted(every, key=lambda r: (r[2], r[0])) and len(every) > 20
+    for k in (1, 7, len(every) + 5):
+        assert [(r.path, r.n_hops, r.total_delay_days) for r in p.paths(top_k=k).collect()] == every[:k]
+    short = [r for r in every if r[1] <= 2]
+    assert [tuple(r) for r in p.paths(top_k=5, max_hops=2).collect()] == short[:5]
+    counts = {}
+    for path, n, _ in every:
+        counts[path[-1], n] = counts.get((path[-1], n), 0) + 1
+    assert {(r.uid, r.n_hops): int(r.n_paths) for r in p.path_counts().collect()} == counts
+    assert p.paths(top_k=0).count() == 0 and Propagation(times.limit(0), p.adjacency).paths(top_k=3).count() == 0
