@@ -129,6 +129,18 @@ def test_chats_come_back(spark):
     assert format_chats(turns.limit(0)).collect() == []
 
 
+def test_long_chats_come_back(spark):
+    rng = random.Random(6)
+    rows = [(1, t, rng.choice(["user", "assistant"]), rng.choice(["", "a\U0001f600b|>", "\U0001f600" * rng.randint(1, 3000), "<|end|>\n\\" * 200])) for t in range(700)]
+    rows += [(2, t, "assistant", "") for t in range(300)] + [(3, t, "assistant", "x" * 1024) for t in range(128)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in read_chats(format_chats(turns)).collect()}
+    for c in (1, 2, 3):
+        mine = [(role, text) for conv, _, role, text in rows if conv == c]
+        assert [(x.role, x.text) for x in got[c].turns] == mine
+        assert got[c].loss_text == "".join(text for role, text in mine if role == "assistant")
+
+
 def test_escape_is_reversible(spark):
     rng = random.Random(9)
     texts = HARD + ["".join(rng.choices("\\<|>a\n", k=rng.randint(0, 12))) for _ in range(500)]
