@@ -9,7 +9,7 @@ from ..operators import scans, series as S, subgraph as X
 from ..operators.temporal import intervals_overlap, overlapping, valid_at
 from ..functions.values import property_number, property_or
 from ..sources.warehouse import order_graph, signal_graph
-from .registry import query, r6
+from .registry import day_text, query, r6
 
 AT = "1996-06-15"
 
@@ -161,6 +161,15 @@ def _(spark, d):
     return back.select("uid", "label", F.col("props")["acctbal"].alias("acctbal"))
 
 
+@query("s27_series_documents", """
+SELECT ts_id, variable, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, round(value, 6) AS value, uid AS owner_id FROM days""")
+def _(spark, d):
+    documents = scans.series_to_documents(signal_graph(spark, d), part_length=16)
+    owner = documents.select("ts_id", F.get_json_object("document", "$.metadata.owner_id").alias("owner_id")).distinct()
+    back = scans.series_from_documents(documents).join(owner, "ts_id")
+    return back.select("ts_id", "variable", day_text("ts").alias("ts"), r6("value").alias("value"), "owner_id")
+
+
 @query("s28_edge_report", """
 SELECT uid, src, dst, round(price, 6) AS price FROM o_edges WHERE quantity >= 50 AND lower(uid) LIKE '%s1%' AND start_time >= TIMESTAMP '1998-01-01'""")
 def _(spark, d):

@@ -425,5 +425,20 @@ def _(spark, d):
     g = order_graph(spark, d)
     values = g.snapshot_sequence("1996-01-01", "1996-01-31", DAY).tsgen().edge_count().withColumnRenamed("snap_ts", "ts")
     members = scans.with_label(g.nodes, "Supplier")
-    g = attach_series(g, "node", members, values, "load")
+    g = attach_series(g, "node", members, values, "load", copies=True)
     return entity_series(g.nodes, g.measurements, "load").select("ts_id", day_text("ts").alias("ts"), "value")
+
+
+@query("m9_shared_series", f"""
+SELECT n.uid, 'ts_load_shared' AS ts_id, count(*) AS n, sum(v.value) AS total, max(v.value) AS most FROM o_nodes n
+CROSS JOIN (SELECT step, count(e.uid)::DOUBLE AS value FROM all_weeks LEFT JOIN o_edges e ON {_valid('e')} GROUP BY step) v
+WHERE n.label = 'Supplier' GROUP BY n.uid""")
+def _(spark, d):
+    from ..operators.mutate import attach_series
+
+    g = order_graph(spark, d)
+    values = _years(spark, d, dt.timedelta(days=7)).tsgen().edge_count().withColumnRenamed("snap_ts", "ts")
+    g = attach_series(g, "node", scans.with_label(g.nodes, "Supplier"), values, "load")
+    each = g.measurements.groupBy("ts_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
+    owners = g.nodes.select("uid", F.col("ts_ids")["load"].alias("ts_id"))  # the series is summed up once, not once per owner
+    return owners.join(each, "ts_id").select("uid", "ts_id", "n", "total", "most")

@@ -155,11 +155,25 @@ def delete_samples(m: DataFrame, ids: list[str] | None = None, variables: list[s
     return m.filter(~doomed)
 
 
-def attach_series(g: TemporalGraph, kind: str, members: DataFrame, points: DataFrame, variable: str) -> TemporalGraph:
-    """Give every member (``uid``) its own copy of one series (``ts, value``), e.g. a generated one."""
+def attach_series(g: TemporalGraph, kind: str, members: DataFrame, points: DataFrame, variable: str, copies: bool = False,
+                  shared_id: str | None = None) -> TemporalGraph:
+    """Attach one series (``ts, value``), e.g. a generated one, to every member (``uid``).
+
+    The samples are stored once, under ``shared_id`` (``ts_<variable>_shared`` if None), and all members refer to them: later changes
+    of the series are seen by each. With ``copies`` every member has its own, which is what independent changes need.
+    """
     owners = members.select("uid").distinct().join(g.elements(kind), "uid", "left_semi")
-    copies = owners.crossJoin(points.select("ts", "value"))  # the product is the result: a copy per member
-    return add_series(g, kind, copies.select("uid", F.lit(variable).alias("variable"), "ts", "value"))
+    if copies:
+        every = owners.crossJoin(points.select("ts", "value"))  # the product is the result: a copy per member
+        return add_series(g, kind, every.select("uid", F.lit(variable).alias("variable"), "ts", "value"))
+    name = F.lit(shared_id) if shared_id else series_id(F.lit(variable), F.lit("shared"))
+    elements = g.elements(kind)
+    others = F.map_filter("ts_ids", lambda k, v: k != variable)
+    referring = F.map_concat(F.coalesce(others, F.create_map().cast("map<string,string>")), F.create_map(F.lit(variable), name))
+    changed = (elements.join(owners.withColumn("_owner", F.lit(True)), "uid", "left")
+               .withColumn("ts_ids", F.when(F.col("_owner"), referring).otherwise(F.col("ts_ids"))).drop("_owner"))
+    samples = points.select(name.alias("ts_id"), F.lit(variable).alias("variable"), "ts", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return g.with_(**{f"{kind}s": changed}, measurements=upsert_samples(g.measurements, samples))
 
 
 def attach_graph_series(g: TemporalGraph, points: DataFrame, variable: str, owner: str = "__graph__") -> TemporalGraph:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import compare_values, property_column
+from ..model import TemporalGraph
+from ..plans.positions import with_position
 
 
 def with_label(df: DataFrame, label: str | None) -> DataFrame:
@@ -113,3 +115,37 @@ def to_documents(df: DataFrame) -> DataFrame:
 
 def from_documents(documents: DataFrame, schema: str) -> DataFrame:
     return documents.select(F.from_json("document", schema).alias("e")).select("e.*")
+
+
+#: Samples in time that a series document holds at most; a longer series has several documents.
+PART_LENGTH = 4096
+_ISO = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def series_to_documents(g: TemporalGraph, part_length: int = PART_LENGTH) -> DataFrame:
+    """``ts_id, part, document``: series as JSON texts with their moments, variables, a row of values per moment, and their owner.
+
+    A series of any length is cut into parts of ``part_length`` moments by position. A moment has a value of each variable of its series,
+    null where there is none. Of several owners of a shared series the first by kind and uid is named; a series without owner has nulls.
+    """
+    m = g.measurements
+    variables = m.groupBy("ts_id").agg(F.sort_array(F.collect_set("variable")).alias("variables"))
+    moments = m.groupBy("ts_id", "ts").agg(F.sort_array(F.collect_list(F.struct("variable", "value"))).alias("cells"))
+    placed = with_position(moments, ["ts_id"], "ts").withColumn("part", F.floor(F.col("idx") / part_length))
+    row = F.transform("variables", lambda v: F.get(F.filter("cells", lambda c: c["variable"] == v), F.lit(0))["value"])
+    blocks = (placed.join(variables, "ts_id").select("ts_id", "part", "variables", F.struct("idx", "ts", row.alias("row")).alias("m"))
+              .groupBy("ts_id", "part", "variables").agg(F.sort_array(F.collect_list("m")).alias("m")))
+    of = lambda kind: g.elements(kind).select(F.struct(F.lit(kind).alias("element_type"), F.col("uid").alias("owner_id")).alias("metadata"),
+                                              F.explode(F.map_values("ts_ids")).alias("ts_id"))
+    owners = of("node").unionByName(of("edge")).groupBy("ts_id").agg(F.min("metadata").alias("metadata"))
+    body = F.struct(F.col("ts_id").alias("tsid"), "part", F.col("m.ts").alias("timestamps"), "variables", F.col("m.row").alias("data"), "metadata")
+    return blocks.join(owners, "ts_id", "left").select("ts_id", "part", F.to_json(body, {**_ISO, "ignoreNullFields": "false"}).alias("document"))
+
+
+def series_from_documents(documents: DataFrame) -> DataFrame:
+    """The samples of series documents, in any order of parts: ``ts_id, variable, ts, value``."""
+    schema = "tsid STRING, timestamps ARRAY<TIMESTAMP>, variables ARRAY<STRING>, data ARRAY<ARRAY<DOUBLE>>"
+    d = documents.select(F.from_json("document", schema, _ISO).alias("d"))
+    moments = d.select("d.tsid", "d.variables", F.explode(F.arrays_zip("d.timestamps", "d.data")).alias("m"))
+    cells = moments.select("tsid", F.col("m.timestamps").alias("ts"), F.explode(F.arrays_zip("variables", "m.data")).alias("c"))
+    return cells.select(F.col("tsid").alias("ts_id"), F.col("c.variables").alias("variable"), "ts", F.col("c.data").alias("value"))

@@ -118,3 +118,39 @@ def test_changes_with_duplicate_keys(spark):
     got = {r.uid: (r.start_time, r.end_time) for r in M.change_validity(nodes, changes, order="n").collect()}
     assert got == {"a": (day(1), None), "b": (None, None)}
     assert M.upsert_elements(nodes, nodes.unionByName(nodes)).count() == 2
+
+
+def test_series_documents_round_trip(spark):
+    import datetime as dt
+
+    from chronoplex.operators import scans
+
+    samples = [("one", "x", day(k) + dt.timedelta(microseconds=k), float(k)) for k in range(10)] + [("one", "x", day(20), None)]
+    samples += [("two", v, day(k), k / 3) for v in ("a", "b") for k in range(3)] + [("two", "a", day(7), 5.0), ("lone", "y", day(1), float("inf"))]
+    m = spark.createDataFrame(samples, MEASUREMENT_SCHEMA)
+    g = make_graph(spark, "npq", [("n", "p")], samples=m, ts={"n": {"s": "one"}, "p": {"s": "one", "t": "two"}})
+    documents = scans.series_to_documents(g, part_length=4)
+    texts = [(r.ts_id, r.part, json.loads(r.document)) for r in documents.orderBy("ts_id", "part").collect()]
+    assert [(t, p, len(d["timestamps"])) for t, p, d in texts] == [("lone", 0, 1), ("one", 0, 4), ("one", 1, 4), ("one", 2, 3), ("two", 0, 4)]
+    assert texts[1][2]["metadata"] == {"element_type": "node", "owner_id": "n"} and texts[0][2]["metadata"] is None
+    assert texts[-1][2]["variables"] == ["a", "b"] and texts[-1][2]["data"][-1] == [5.0, None]
+    back = {(r.ts_id, r.variable, r.ts): r.value for r in scans.series_from_documents(documents.repartition(3)).collect()}
+    assert back == {(t, v, at): x for t, v, at, x in samples} | {("two", "b", day(7)): None}
+    assert scans.series_to_documents(make_graph(spark, "n")).count() == 0
+
+
+def test_attached_series_is_stored_once_or_copied(spark):
+    g = make_graph(spark, "abc", samples=make_samples(spark, {"own": [1, 2]}), ts={"a": {"y": "own"}})
+    points = spark.createDataFrame([(day(k), float(k)) for k in range(3)], "ts timestamp, value double")
+    members = spark.createDataFrame([("a",), ("b",), ("b",), ("nobody",)], "uid string")
+    once = M.attach_series(g, "node", members, points, "load")
+    assert once.measurements.count() == 5 and rows(once.measurements.select("ts_id").distinct()) == [("own",), ("ts_load_shared",)]
+    assert {r.uid: r.ts_ids for r in once.nodes.collect()} == {"a": {"y": "own", "load": "ts_load_shared"}, "b": {"load": "ts_load_shared"}, "c": {}}
+    less = M.delete_nodes(once, spark.createDataFrame([("a",)], "uid string"))
+    assert rows(less.measurements.select("ts_id").distinct()) == [("ts_load_shared",)]  # b still refers to it
+    none = M.delete_nodes(less, spark.createDataFrame([("b",)], "uid string"))
+    assert none.measurements.count() == 0
+    copied = M.attach_series(g, "node", members, points, "load", copies=True)
+    assert copied.measurements.count() == 8 and rows(copied.measurements.select("ts_id").distinct()) == [("own",), ("ts_load_a",), ("ts_load_b",)]
+    named = M.attach_series(g, "node", members, points, "load", shared_id="own_name")
+    assert rows(named.measurements.select("ts_id").distinct()) == [("own",), ("own_name",)]
