@@ -214,7 +214,12 @@ def _(spark, d):
     return c.select("uid", r6("correlation").alias("correlation"), r6("shape_similarity").alias("shape_similarity"))
 
 
-@query("i6_warping_distance")
+@query("i6_warping_distance", f"""
+WITH RECURSIVE {_PERIODS}, sides AS (SELECT uid, list(value ORDER BY i) FILTER (p = 1) AS x, list(value ORDER BY i) FILTER (p = 2) AS y FROM pn GROUP BY uid HAVING count(*) FILTER (p = 1) >= 2 AND count(*) FILTER (p = 2) >= 2),
+dp(uid, k, two, one) AS (SELECT uid, 1::BIGINT, NULL::DOUBLE[], NULL::DOUBLE[] FROM sides UNION ALL
+  SELECT uid, k + 1, one, list_transform(range(1, len(x) + 1), lambda i: CASE WHEN k + 1 - i BETWEEN 1 AND len(y) THEN abs(x[i] - y[k + 1 - i]) + CASE WHEN k = 1 THEN 0 ELSE least(one[i - 1], one[i], two[i - 1]) END END)
+  FROM dp JOIN sides USING (uid) WHERE k < len(x) + len(y))
+SELECT ids.uid, round(one[len(x)] / (len(x) + len(y)), 6) AS dtw FROM ids LEFT JOIN (SELECT * FROM dp JOIN sides USING (uid) WHERE k = len(x) + len(y)) USING (uid)""")
 def _(spark, d):
     return _intervals(spark, d).comparison("view", dtw=True).select("uid", r6("dtw").alias("dtw"))
 
