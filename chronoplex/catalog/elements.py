@@ -170,6 +170,23 @@ def _(spark, d):
     return back.select("ts_id", "variable", day_text("ts").alias("ts"), r6("value").alias("value"), "owner_id")
 
 
+@query("s12_typed_properties", """
+SELECT 'node' AS kind, uid FROM o_nodes WHERE acctbal > 5000 AND segment = 'BUILDING' UNION ALL SELECT 'edge', uid FROM o_edges WHERE quantity >= 45 AND n_lines = 1""")
+def _(spark, d):
+    import uuid
+
+    from ..plans.lineage import scratch_folder
+    from ..sources.writers import read_graph, write_graph
+
+    root = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    typed = order_graph(spark, d).add_property_columns(nodes={"acctbal": "double", "segment": "string"}, edges={"quantity": "double", "n_lines": "int"})
+    write_graph(typed, root)
+    g = read_graph(spark, root)
+    nodes = g.query().nodes().where_static("acctbal", ">", 5000).where_static("segment", "=", "BUILDING").execute()
+    edges = g.query().edges().where_static("quantity", ">=", 45).where_static("n_lines", "=", 1).execute()
+    return nodes.select(F.lit("node").alias("kind"), "uid").unionByName(edges.select(F.lit("edge").alias("kind"), "uid"))
+
+
 @query("s28_edge_report", """
 SELECT uid, src, dst, round(price, 6) AS price FROM o_edges WHERE quantity >= 50 AND lower(uid) LIKE '%s1%' AND start_time >= TIMESTAMP '1998-01-01'""")
 def _(spark, d):

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: numeric = and != hold within this tolerance.
 EQUALITY_TOLERANCE = 1e-9
 
+#: Column metadata that marks a typed property, types whose own order is that of their numbers, and texts that never read as a number.
+_MARK = "property"
+_SCANNED_NUMBERS = ("tinyint", "smallint", "int", "bigint", "double")
+_WORDS, _NUMBER_WORDS = re.compile(r"[A-Za-z_ -]*[A-Za-z][A-Za-z_ -]*"), ("inf", "infinity", "nan", "d", "f")
+
 _NUMERIC = {
     "<": lambda a, b: a < b,
     "<=": lambda a, b: a <= b,
@@ -69,15 +77,42 @@ def property_or(df: DataFrame, name: str, default) -> Column:
     return F.coalesce(property_column(df, name), F.lit(default).cast("string"))
 
 
-def required_property(df: DataFrame, name: str) -> Column:
-    """Strict access: a missing property fails the job."""
-    value = property_column(df, name)
-    return F.when(value.isNull(), F.raise_error(F.lit(f"property {name} is missing"))).otherwise(value)
+def promote(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Typed columns made of map entries, beside the map; what does not read as the type is NULL.
+
+    The columns know that they are properties, also after a graph was written and read, and filters on them reach its files.
+    """
+    return df.withColumns({k: F.col("props").getItem(k).try_cast(t).alias(k, metadata={_MARK: k}) for k, t in types.items()})
 
 
-def promote(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """Turn map entries into typed columns, which the scan can prune and filter on."""
-    return df.withColumns({k: F.col("props").getItem(k).try_cast(t) for k, t in types.items()})
+def promoted(df: DataFrame) -> dict[str, str]:
+    """The typed property columns of a table with their types."""
+    return {f.name: f.dataType.simpleString() for f in df.schema if f.metadata.get(_MARK) == f.name}
+
+
+def promoted_again(df: DataFrame) -> DataFrame:
+    """The table with its typed columns brought up to its map, after the map was changed."""
+    return promote(df, promoted(df))
+
+
+def compare_property(df: DataFrame, name: str, op: str, value, column: Column | None = None) -> Column:
+    """:func:`compare_values` of a property, or of ``column`` by that name, in a form that the scan can use where the column is typed.
+
+    Numbers against typed numeric columns and plain words against text columns compare as they are, without a cast around the column.
+    All other comparisons of a typed property look at the map, which also holds what did not read as the type.
+    """
+    left = property_column(df, name) if column is None else column
+    kind = promoted(df).get(name)
+    op_name = operator_name(op)
+    if kind in _SCANNED_NUMBERS and op_name in _NUMERIC and op_name != "!=" and isinstance(value, (int, float)) and not isinstance(value, bool) and math.isfinite(value):
+        exact = _NUMERIC[op_name](left, F.lit(value))
+        if op_name == "=":  # a range around the tolerance for the scan
+            margin = 2 * EQUALITY_TOLERANCE
+            exact = (left >= value - margin) & (left <= value + margin) & exact
+        return left.isNotNull() & exact
+    if kind == "string" and op_name in ("=", "!=") and isinstance(value, str) and _WORDS.fullmatch(value) and value.strip().lower() not in _NUMBER_WORDS:
+        return left.isNotNull() & ((left == value) if op_name == "=" else (left != value))
+    return compare_values(F.col("props").getItem(name) if kind and "props" in df.columns else left, op, value)
 
 
 def safe_divide(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import promote, promoted, promoted_again
 from ..model import TemporalGraph, validate
 from .scans import edges_among
 from .temporal import time_column
@@ -38,6 +39,7 @@ def upsert_samples(old: DataFrame, new: DataFrame, order: str | None = None) ->
 
 def upsert_elements(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """Merge elements by uid; a new row replaces the old one whole, the last of a uid in ``order`` wins."""
+    new = promote(new, promoted(old))  # typed property columns follow from the map
     new = _last_of(new.select(*old.columns, *([order] if order else [])), ["uid"], order)
     return old.join(new.select("uid"), "uid", "left_anti").select(*old.columns).unionByName(new)
 
@@ -92,7 +94,7 @@ def set_properties(elements: DataFrame, changes: DataFrame, mode: str = "merge",
     new = _last_of(changes.select("uid", "props", *([order] if order else [])), ["uid"], order).withColumnRenamed("props", "_new")
     keep = F.map_filter("props", lambda k, v: ~F.array_contains(F.map_keys("_new"), k)) if mode == "merge" else None
     merged = F.map_concat(keep, F.col("_new")) if mode == "merge" else F.col("_new")
-    return elements.join(new, "uid", "left").withColumn("props", F.when(F.col("_new").isNull(), F.col("props")).otherwise(merged)).drop("_new")
+    return promoted_again(elements.join(new, "uid", "left").withColumn("props", F.when(F.col("_new").isNull(), F.col("props")).otherwise(merged)).drop("_new"))
 
 
 def add_series(g: TemporalGraph, kind: str, series: DataFrame) -> TemporalGraph:
@@ -211,7 +213,7 @@ def remove_property(elements: DataFrame, name: str, kind: str = "any") -> DataFr
         changes["props"] = F.map_filter("props", lambda k, v: k != name)
     if kind in ("temporal", "any"):
         changes["ts_ids"] = F.map_filter("ts_ids", lambda k, v: k != name)
-    return elements.withColumns(changes)
+    return promoted_again(elements.withColumns(changes)) if "props" in changes else elements.withColumns(changes)
 
 
 def add_tags(elements: DataFrame, tags: list[str]) -> DataFrame:

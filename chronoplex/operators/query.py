@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.templates import template as template_values
-from ..functions.values import compare_numbers, compare_values, property_column, property_number
+from ..functions.values import compare_numbers, compare_property, property_column, property_number
 from ..model import TemporalGraph
 from . import scans
 from .series import series_aggregates, value_as_of, value_nearest
@@ -64,11 +64,11 @@ class ElementQuery:
         """A Column condition and equalities; an equality names a core column or a property."""
         df = self.frame if condition is None else self.frame.filter(condition)
         for name, value in equal.items():
-            df = df.filter(compare_values(self._operand(df, name), "=", value))
+            df = df.filter(compare_property(df, name, "=", value, self._operand(df, name)))
         return self._with(frame=df)
 
     def where_static(self, name: str, op: str, value) -> "ElementQuery":
-        return self._with(frame=self.frame.filter(compare_values(self._operand(self.frame, name), op, value)))
+        return self._with(frame=self.frame.filter(compare_property(self.frame, name, op, value, self._operand(self.frame, name))))
 
     @staticmethod
     def _operand(df: DataFrame, name: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import compare_values, property_column
+from ..functions.values import compare_property, property_column
 from ..model import TemporalGraph
 from ..plans.positions import with_position
 
@@ -27,7 +27,7 @@ def id_contains(df: DataFrame, text: str) -> DataFrame:
 
 
 def where_static(df: DataFrame, name: str, op: str, value) -> DataFrame:
-    return df.filter(compare_values(property_column(df, name), op, value))
+    return df.filter(compare_property(df, name, op, value))
 
 
 def edges_where(edges: DataFrame, label: str | None = None, source: str | None = None,

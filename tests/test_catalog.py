@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 ORDINARY = ["a23_summary", "f9_declared_constraints", "n13_sequence_summary", "t3_degree_extremes", "d13_d18_degree_changes",
             "r9_cross_conditions", "u8_membership_changes", "q6_summary", "io11_free_flow", "m2_created_edges", "g3_strong_components",
-            "k5_paths", "k5_shortest_paths", "k5_path_counts", "s27_series_documents", "m9_shared_series", "i6_warping_distance"]
+            "k5_paths", "k5_shortest_paths", "k5_path_counts", "s27_series_documents", "m9_shared_series", "i6_warping_distance", "s12_typed_properties"]
 SPREAD = ["a2_percentiles", "a12_value_at_index", "a15_correlation_by_position", "a18_a19_trends", "i2_i3_i7_i8_series_comparison",
        "i4_i5_resampled_correlation", "p1_p2_window_distances", "p6_window_features", "p7_p8_window_profile", "q3_q4_descriptors"]
 

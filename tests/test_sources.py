@@ -154,3 +154,32 @@ def test_attached_series_is_stored_once_or_copied(spark):
     assert copied.measurements.count() == 8 and rows(copied.measurements.select("ts_id").distinct()) == [("own",), ("ts_load_a",), ("ts_load_b",)]
     named = M.attach_series(g, "node", members, points, "load", shared_id="own_name")
     assert rows(named.measurements.select("ts_id").distinct()) == [("own",), ("own_name",)]
+
+
+def test_typed_properties_reach_the_scan_and_follow_changes(spark, tmp_path):
+    from chronoplex.functions.values import promoted
+    from chronoplex.operators.query import QueryStart
+
+    values = {f"n{k:02}": {"size": str(k), "rate": str(k / 4), "kind": "odd" if k % 2 else "even"} for k in range(40)}
+    values |= {"none": {}, "text": {"size": "many", "rate": "nan", "kind": "7"}}
+    plain = make_graph(spark, list(values), props=values)
+    types = {"size": "bigint", "rate": "double", "kind": "string"}
+    writers.write_graph(plain.add_property_columns(nodes=types), str(tmp_path / "g"))
+    g = writers.read_graph(spark, str(tmp_path / "g"))
+    assert promoted(g.nodes) == types and promoted(g.edges) == {}
+    asked = [("size", ">", 31), ("size", "<=", 3), ("size", ">", 30.5), ("size", "=", 7), ("size", "!=", 7), ("rate", "=", 2.25), ("rate", ">=", 9),
+             ("rate", "<", 0.5), ("kind", "=", "odd"), ("kind", "!=", "odd"), ("kind", "=", "7.0"), ("kind", "contains", "ve"), ("size", "=", "12")]
+    for name, op, value in asked:
+        found, wanted = (QueryStart(x).nodes().where_static(name, op, value).execute() for x in (g, plain))
+        assert rows(found.select("uid")) == rows(wanted.select("uid")), (name, op, value)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for name, op, value, pushed in [("size", ">", 31, "GreaterThan(size,31)"), ("rate", "=", 2.25, "GreaterThanOrEqual(rate,"), ("kind", "=", "odd", "EqualTo(kind,odd)")]:
+        text = plan(QueryStart(g).nodes().where_static(name, op, value).execute().select("uid"))
+        assert pushed in text.split("PushedFilters:")[1].split("]")[0], text
+        assert "props" not in text.split("ReadSchema:")[1].splitlines()[0]  # the map is not read
+    changed = M.set_properties(g.nodes, spark.createDataFrame([("n01", {"size": "100"}), ("n02", {"size": "x"})], "uid string, props map<string,string>"))
+    assert {r.uid: r["size"] for r in changed.collect() if r.uid in ("n01", "n02", "n03")} == {"n01": 100, "n02": None, "n03": 3}
+    assert promoted(changed) == types
+    assert M.remove_property(g.nodes, "rate").filter("rate IS NOT NULL").count() == 0
+    more = M.upsert_elements(g.nodes, make_nodes(spark, ["n05", "new"], props={"n05": {"size": "55"}, "new": {"rate": "1"}}))
+    assert {r.uid: (r["size"], r.rate, r.kind) for r in more.collect() if r.uid in ("n05", "new")} == {"n05": (55, None, None), "new": (None, 1.0, None)}
