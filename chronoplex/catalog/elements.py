@@ -179,11 +179,11 @@ def _(spark, d):
     from ..sources.writers import read_graph, write_graph
 
     root = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
-    typed = order_graph(spark, d).add_property_columns(nodes={"acctbal": "double", "segment": "string"}, edges={"quantity": "double", "n_lines": "int"})
+    typed = order_graph(spark, d).add_property_columns(nodes={"acctbal": "double", "segment": "string"}, edges={"quantity": "double", "lines": "int"})
     write_graph(typed, root)
     g = read_graph(spark, root)
     nodes = g.query().nodes().where_static("acctbal", ">", 5000).where_static("segment", "=", "BUILDING").execute()
-    edges = g.query().edges().where_static("quantity", ">=", 45).where_static("n_lines", "=", 1).execute()
+    edges = g.query().edges().where_static("quantity", ">=", 45).where_static("lines", "=", 1).execute()
     return nodes.select(F.lit("node").alias("kind"), "uid").unionByName(edges.select(F.lit("edge").alias("kind"), "uid"))
 
 
