@@ -197,11 +197,15 @@ class Evolution:
         if directed:
             nodes, edges = self.grid.expand(nodes), self.grid.expand(edges)
             return component_summary(components(nodes, edges, directed, ["step"]), ["step"])
-        from ..plans.connectivity import components_over_steps
+        from ..plans.connectivity import components_in_windows
+        from ..plans.lineage import cut
 
+        # a number for each distinct name, since the edges go through shuffles; the nodes' side is the one to hash
+        numbers = cut(nodes.select("uid").distinct().withColumn("_number", F.monotonically_increasing_id()))
+        numbered = nodes.join(numbers, "uid")
         for end in ("src", "dst"):
-            edges = intersect_validity(edges, nodes.withColumnRenamed("uid", end), [end])
-        joined = components_over_steps(self.grid.clamp(edges), self.grid)
+            edges = intersect_validity(edges, numbered.withColumnRenamed("uid", end).hint("shuffle_hash"), [end]).drop(end).withColumnRenamed("_number", end)
+        joined = components_in_windows(self.grid.clamp(edges), self.grid)
         n = self.grid.running_count(nodes, name="n_nodes")
         return n.join(joined, "step", "left").select(
             "step", (F.col("n_nodes") - F.coalesce("joins", F.lit(0))).alias("n_components"), F.coalesce("biggest", F.least("n_nodes", F.lit(1))).alias("biggest"))

@@ -4,11 +4,16 @@ Edges sit on aligned ranges of steps (every second length of the dyadic ones). R
 that are valid all over it join components, and below only their representatives go on, and only where a shorter range still has an edge at them.
 A step's number of components is its number of nodes less the joins in the ranges that hold it; its largest component is the largest that any of
 these ranges has made. So no edge is repeated for every step, and what is written shrinks from length to length.
+
+``components_in_windows`` first cuts the grid into aligned windows whose edges fit one task each, as long as possible. A task goes down its window
+in the same way, with numpy. Steps that have too many edges even alone take the way by joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.temporal import Grid
@@ -16,6 +21,11 @@ from .dyadic import ancestors, cover, levels
 from .fixpoint import weak_components
 from .lineage import cut
 
+#: Edges, loops left out, that are valid somewhere in a window of one task; it bounds the task's memory, not the result.
+WINDOW_EDGES = 4_000_000
+#: Windows are at most the grid's dyadic length divided by this power of two, so that there are several tasks.
+WINDOW_SPLITS = 4
+
 
 def _pieces(edges: DataFrame, grid: Grid) -> DataFrame:
     """``level, block, a, b`` with even levels only; the ends in order, loops and repeated edges left out."""
@@ -71,3 +81,89 @@ def components_over_steps(edges: DataFrame, grid: Grid) -> DataFrame:
     """``step, joins, biggest``: steps at which edges join nodes."""
     held = ancestors(grid, edges.sparkSession).join(component_changes(edges, grid), ["level", "block"])
     return held.groupBy("step").agg(F.sum("joins").alias("joins"), F.max("biggest").alias("biggest"))
+
+
+def _windows(edges: DataFrame, grid: Grid, most: int) -> DataFrame:
+    """``step, first, last, fits, w, opened``: each step's window, the windows' numbers in order, and how many steps up to this one fit none."""
+    spark = edges.sparkSession
+    mark = lambda c, begun, ended: F.struct(F.col(c).alias("step"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
+    marks = edges.select(F.explode(F.array(mark("_lo", 1, 0), mark("_hi", 0, 1))).alias("m")).groupBy("m.step").agg(F.sum("m.begun").alias("begun"), F.sum("m.ended").alias("ended"))
+    so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over one row per step
+    here = grid.frame(spark).select("step").join(marks, "step", "left").na.fill(0, ["begun", "ended"])
+    totals = here.select("step", F.sum("begun").over(so_far).alias("begun"), (F.sum("ended").over(so_far) - F.col("ended")).alias("gone"))
+    # an edge is valid somewhere in a range if it has begun by the last step and was not gone before the first
+    held = ancestors(grid, spark)
+    fitting = held.join(totals, "step").groupBy("level", "block").agg((F.max("begun") - F.min("gone")).alias("n")).filter(
+        (F.col("n") <= most) & (F.col("level") <= max(0, levels(grid) - 1 - WINDOW_SPLITS)))
+    longest = held.join(fitting, ["level", "block"], "left").groupBy("step").agg(F.max(F.when(F.col("n").isNotNull(), F.col("level"))).alias("level"))
+    fits, level = F.col("level").isNotNull(), F.coalesce("level", F.lit(0))
+    bounds = longest.select("step", fits.alias("fits"), level.alias("level")).withColumn("first", F.expr("shiftleft(shiftright(step, level), level)"))
+    last = F.least(F.expr("first + shiftleft(1L, level) - 1"), F.lit(grid.size - 1))
+    return cut(bounds.select("step", "first", last.alias("last"), "fits", F.dense_rank().over(Window.orderBy("first")).alias("w"),
+                             F.sum((~F.col("fits")).cast("long")).over(so_far).alias("opened")))
+
+
+def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of the nodes after the edges (a, b) too; ``parent`` holds the roots before and stays as it is."""
+    parent = parent.copy()
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        parent[np.maximum(a, b)] = np.minimum(a, b)  # of several edges of a root one counts; the others come again
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+
+
+def _steps_of_window(first: int, last: int, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, n_nodes: int) -> list[tuple[int, int, int]]:
+    """``step, joins, biggest`` of the steps at which edges join nodes; edges go on below only as far as they still join roots."""
+    found, ranges = [], [(first, last, lo, hi, a, b, np.arange(n_nodes, dtype=np.int32))]
+    while ranges:
+        first, last, lo, hi, a, b, root = ranges.pop()
+        whole = (lo <= first) & (hi >= last)
+        if whole.any():
+            root = _connect(root, a[whole], b[whole])
+        if first == last:
+            sizes = np.bincount(root, minlength=n_nodes)
+            if joins := n_nodes - int((sizes > 0).sum()):
+                found.append((first, joins, int(sizes.max())))
+            continue
+        a, b = root[a], root[b]
+        go_on = ~whole & (a != b)
+        lo, hi, a, b = lo[go_on], hi[go_on], a[go_on], b[go_on]
+        middle = (first + last) // 2
+        for low, high in ((first, middle), (middle + 1, last)):
+            touch = (lo <= high) & (hi >= low)
+            ranges.append((low, high, lo[touch], hi[touch], a[touch], b[touch], root))
+    return found
+
+
+def _window_components(edges: pa.Table) -> pa.Table:
+    ends = pa.chunked_array([*edges["src"].chunks, *edges["dst"].chunks]).combine_chunks().dictionary_encode()
+    codes, n = ends.indices.to_numpy(), edges.num_rows
+    lo, hi = (edges[c].to_numpy() for c in ("_lo", "_hi"))
+    found = _steps_of_window(edges["first"][0].as_py(), edges["last"][0].as_py(), lo, hi, codes[:n], codes[n:], len(ends.dictionary))
+    return pa.table({name: pa.array([r[k] for r in found], pa.int64()) for k, name in enumerate(("step", "joins", "biggest"))})
+
+
+def components_in_windows(edges: DataFrame, grid: Grid, most: int | None = None) -> DataFrame:
+    """``step, joins, biggest`` as ``components_over_steps`` gives them, by windows of at most ``most`` edges; the rest of the steps go there."""
+    edges = cut(edges.filter("src <> dst").select("src", "dst", "_lo", "_hi"))
+    steps = _windows(edges, grid, WINDOW_EDGES if most is None else most)
+    at = lambda end: steps.select(F.col("step").alias(f"_{end}"), F.col("w").alias(f"w_{end}"), F.col("opened").alias(f"opened_{end}"), F.col("fits").alias(f"fits_{end}"))
+    placed = edges.join(at("lo"), "_lo").join(at("hi"), "_hi")
+    windows = steps.filter("fits").select("w", "first", "last").distinct()
+    # an edge goes to each window that it touches
+    grouped = placed.select("src", "dst", *(F.col(c).cast("int").alias(c) for c in ("_lo", "_hi")), F.explode(F.sequence("w_lo", "w_hi")).alias("w")).join(
+        windows.select("w", *(F.col(c).cast("int").alias(c) for c in ("first", "last"))), "w")
+    result = grouped.groupBy("w").applyInArrow(_window_components, "step long, joins long, biggest long")
+    rest = steps.filter("NOT fits").select("step")
+    if rest.isEmpty():
+        return result
+    touching = placed.filter(~F.col("fits_lo") | (F.col("opened_hi") > F.col("opened_lo"))).select("src", "dst", "_lo", "_hi")
+    return result.unionByName(components_over_steps(touching, grid).join(rest, "step", "left_semi"))

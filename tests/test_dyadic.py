@@ -133,3 +133,42 @@ def test_requests(spark):
         series.request("global", "graph", "degree")
     with pytest.raises(ValueError):
         series.request("entity", "nodes", "degree")
+
+
+@pytest.mark.parametrize("most", [100, 12, 5, 0])
+def test_windows_give_the_components_of_every_step(spark, most):
+    """Windows of any number of edges, and steps with too many that take the way by joins; loops and repeated edges join nothing."""
+    from chronoplex.plans import connectivity
+
+    rng = random.Random(most)
+    rows = [("a", "a", 0, 63), ("a", "b", 3, 3), ("a", "b", 3, 9)]
+    for _ in range(60):
+        low = rng.randrange(64)
+        rows.append((f"v{rng.randrange(14)}", f"v{rng.randrange(14)}", low, min(63, low + rng.choice([0, 1, 5, 20]))))
+    edges = spark.createDataFrame(rows, "src string, dst string, _lo long, _hi long")
+    grid = Grid(day(0), day(64), DAY)
+    windows = connectivity._windows(edges.filter("src <> dst"), grid, most).collect()
+    assert len(windows) == 64 and all(r.first <= r.step <= r.last for r in windows)
+    for r in windows:
+        held = sum(a != b and lo <= r.last and hi >= r.first for a, b, lo, hi in rows)
+        assert r.fits == (held <= most)
+    got = {r.step: (r.joins, r.biggest) for r in connectivity.components_in_windows(edges, grid, most).collect()}
+    want = {}
+    for k in range(64):
+        comp = {v: v for a, b, _, _ in rows for v in (a, b)}
+        for a, b, lo, hi in rows:
+            if lo <= k <= hi:
+                comp = {v: comp[a] if c == comp[b] else c for v, c in comp.items()}
+        sizes = [list(comp.values()).count(c) for c in set(comp.values())]
+        if len(sizes) < len(comp):
+            want[k] = (len(comp) - len(sizes), max(sizes))
+    assert got == want
+
+
+def test_weak_components_of_a_grid_take_windows(spark, monkeypatch):
+    """Before, every length of the ranges was a loop of joins."""
+    from chronoplex.plans import connectivity
+
+    monkeypatch.setattr(connectivity, "weak_components", lambda *a, **k: pytest.fail("a loop of joins"))
+    _, series, _, _ = random_graph(spark, 4)
+    assert len(series.component_count(directed=False).collect()) == 25
