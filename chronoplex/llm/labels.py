@@ -1,4 +1,4 @@
-"""Bounded, repeatable samples of labelled documents for the classifiers."""
+"""Labelled documents for the classifiers: all of them, or bounded, repeatable samples."""
 
 from __future__ import annotations
 
@@ -28,3 +28,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     chosen_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).join(F.broadcast(sample), "doc_id")
     first = F.min_by(F.struct("text", "label", *extra), F.struct(F.xxhash64("text"), *extra)).alias("row")
     return chosen_rows.groupBy("doc_id").agg(first).select("doc_id", "row.*")
+
+
+def labelled_ids(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """``doc_id, text_hash, label`` of all labelled identifiers of ``docs`` outside the fold, with the rules of ``labelled_sample``; no text is moved."""
+    usable = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", folds) != held_out))
+        .groupBy("doc_id").agg(F.max("label").alias("label"))
+    )
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash")).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")).join(usable, "doc_id")

@@ -82,6 +82,20 @@ def test_toxicity(spark):
     assert {r.score for r in X.classify_toxicity(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
+    """Before, a bounded number of rows of either class took part."""
+    monkeypatch.setattr(X, "ROWS_EACH_ROUND", 100)
+    rows = [(i, f"plain words {i % 50}" + (" slur" if i % 2 else ""), "en") for i in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7000)], "doc_id long, toxic int")
+    started, first = [], X._first_net
+    monkeypatch.setattr(X, "_first_net", lambda ones, zeros, a, b: started.append((a, b, ones.max(), zeros.max())) or first(ones, zeros, a, b))
+    net = X.fit_toxicity(docs, labels, folds=7000, held_out=-1)
+    assert started[1] == (3500, 3500, 3500, 3500) and sum(started[0][:2]) < 7000
+    got = {r.doc_id: r.score for r in X.score_toxicity(docs, net).collect()}
+    assert all((got[i] >= 0.5) == (i % 2 == 1) for i in range(7000))
+
+
 def test_net_scores_do_not_depend_on_neighbours():
     net = X._start(np.random.default_rng(2))
     texts = ["one two three", "", "a", "b c", "one two three"]
