@@ -29,7 +29,7 @@ from .text import Words, mix, pieces
 #: Short fingerprints per document, plain bits of each, bits beyond the code's radius, and the sketch's bits.
 TABLES, PLAIN, BEYOND, SKETCH_BITS = 24, 4, 1, 128
 #: Words of a text that are weighed at once, and rows at anchors that a task looks at in one go.
-ROWS_AT_ONCE, MET_AT_ONCE = 20_000, 300_000
+ROWS_AT_ONCE, MET_AT_ONCE = 4_000, 300_000
 #: Standard deviations by which the sketches of a pair may differ in more bits than the mean pair of the least similarity.
 SIGMAS = 3.5
 _PRINTS = "doc_id long, text_hash long, n long, key long, short binary, sketch binary"

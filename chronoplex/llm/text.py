@@ -15,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\f\r"
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Text is processed in pieces of about so many bytes, whatever the size of an Arrow batch.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 _LOW = np.frombuffer(LOWER_BYTES, dtype=np.uint8)
 _IS_WHITE = np.zeros(256, dtype=bool)
