@@ -197,15 +197,18 @@ class Evolution:
         if directed:
             nodes, edges = self.grid.expand(nodes), self.grid.expand(edges)
             return component_summary(components(nodes, edges, directed, ["step"]), ["step"])
-        from ..plans.connectivity import components_in_windows
+        from ..plans.connectivity import components_in_windows, numbered
         from ..plans.lineage import cut
 
         # a number for each distinct name, since the edges go through shuffles; the nodes' side is the one to hash
-        numbers = cut(nodes.select("uid").distinct().withColumn("_number", F.monotonically_increasing_id()))
-        numbered = nodes.join(numbers, "uid")
+        nodes = cut(nodes)
+        numbers, n_nodes = numbered(nodes.select("uid"))
+        known = self.grid.clamp(nodes.join(numbers, "uid")).select("uid", "_number", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+        edges = self.grid.clamp(edges).drop("start_time", "end_time")
         for end in ("src", "dst"):
-            edges = intersect_validity(edges, numbered.withColumnRenamed("uid", end).hint("shuffle_hash"), [end]).drop(end).withColumnRenamed("_number", end)
-        joined = components_in_windows(self.grid.clamp(edges), self.grid)
+            edges = edges.join(known.withColumnRenamed("uid", end).hint("shuffle_hash"), end).select(
+                *({"src", "dst"} - {end}), F.col("_number").alias(end), F.greatest("_lo", "_from").alias("_lo"), F.least("_hi", "_to").alias("_hi")).filter("_lo <= _hi")
+        joined = components_in_windows(edges, self.grid, n_nodes=n_nodes)
         n = self.grid.running_count(nodes, name="n_nodes")
         return n.join(joined, "step", "left").select(
             "step", (F.col("n_nodes") - F.coalesce("joins", F.lit(0))).alias("n_components"), F.coalesce("biggest", F.least("n_nodes", F.lit(1))).alias("biggest"))

@@ -5,12 +5,17 @@ that are valid all over it join components, and below only their representatives
 A step's number of components is its number of nodes less the joins in the ranges that hold it; its largest component is the largest that any of
 these ranges has made. So no edge is repeated for every step, and what is written shrinks from length to length.
 
-``components_in_windows`` first cuts the grid into aligned windows whose edges fit one task each, as long as possible. A task goes down its window
-in the same way, with numpy. Steps that have too many edges even alone take the way by joins.
+``components_in_windows`` cuts the grid into aligned windows of one task each, as long as possible. A task reads the edges that are valid all over its
+window as a stream and keeps only the root of every node. Edges that begin or end inside the window follow; those that still join roots are kept, and with
+them the task goes down its window in the same way, with numpy. So its memory is one number per node and what begins or ends in the window, however many
+edges a step has. Edges travel as blocks of numbers, not as rows. Graphs with more nodes than a task has room for take the way by joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,10 +26,14 @@ from .dyadic import ancestors, cover, levels
 from .fixpoint import weak_components
 from .lineage import cut
 
-#: Edges, loops left out, that are valid somewhere in a window of one task; it bounds the task's memory, not the result.
-WINDOW_EDGES = 4_000_000
+#: First and last steps of edges, loops left out, in a window of one task; it bounds the task's memory, not the result. A window of one step may have any number.
+WINDOW_EDGES = 24_000_000
 #: Windows are at most the grid's dyadic length divided by this power of two, so that there are several tasks.
 WINDOW_SPLITS = 4
+#: Nodes, with an edge or without, of a graph whose roots a task can hold (4 bytes each, and some copies).
+WINDOW_NODES = 1 << 25
+#: Edges that a task weighs or sends at once.
+_BLOCK = 1 << 19
 
 
 def _pieces(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -84,10 +93,12 @@ def components_over_steps(edges: DataFrame, grid: Grid) -> DataFrame:
 
 
 def _windows(edges: DataFrame, grid: Grid, most: int) -> DataFrame:
-    """``step, first, last, fits, w, opened``: each step's window, the windows' numbers in order, and how many steps up to this one fit none."""
+    """``step, first, last, fits, w``: each step's window and the windows' numbers in order; a row of ``edges`` counts as often as its ``n`` says, if it has one."""
     spark = edges.sparkSession
+    times = F.col("n") if "n" in edges.columns else F.lit(1)
     mark = lambda c, begun, ended: F.struct(F.col(c).alias("step"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
-    marks = edges.select(F.explode(F.array(mark("_lo", 1, 0), mark("_hi", 0, 1))).alias("m")).groupBy("m.step").agg(F.sum("m.begun").alias("begun"), F.sum("m.ended").alias("ended"))
+    marks = edges.select(times.alias("n"), F.explode(F.array(mark("_lo", 1, 0), mark("_hi", 0, 1))).alias("m")).groupBy("m.step").agg(
+        F.sum(F.col("n") * F.col("m.begun")).alias("begun"), F.sum(F.col("n") * F.col("m.ended")).alias("ended"))
     so_far = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over one row per step
     here = grid.frame(spark).select("step").join(marks, "step", "left").na.fill(0, ["begun", "ended"])
     totals = here.select("step", F.sum("begun").over(so_far).alias("begun"), (F.sum("ended").over(so_far) - F.col("ended")).alias("gone"))
@@ -99,20 +110,28 @@ def _windows(edges: DataFrame, grid: Grid, most: int) -> DataFrame:
     fits, level = F.col("level").isNotNull(), F.coalesce("level", F.lit(0))
     bounds = longest.select("step", fits.alias("fits"), level.alias("level")).withColumn("first", F.expr("shiftleft(shiftright(step, level), level)"))
     last = F.least(F.expr("first + shiftleft(1L, level) - 1"), F.lit(grid.size - 1))
-    return cut(bounds.select("step", "first", last.alias("last"), "fits", F.dense_rank().over(Window.orderBy("first")).alias("w"),
-                             F.sum((~F.col("fits")).cast("long")).over(so_far).alias("opened")))
+    return bounds.select("step", "first", last.alias("last"), "fits", F.dense_rank().over(Window.orderBy("first")).alias("w"))
+
+
+def numbered(names: DataFrame) -> tuple[DataFrame, int]:
+    """``uid, _number``: numbers from 0 without gaps for the distinct names, and how many there are."""
+    rows = cut(names.distinct().withColumn("_id", F.monotonically_increasing_id()))  # the upper bits are the partition's number
+    part = F.shiftright("_id", 33)
+    counts = dict(rows.groupBy(part).count().collect())  # one row per partition
+    before = np.cumsum([0, *(counts.get(k, 0) for k in range(max(counts, default=0) + 1))]).tolist()
+    number = F.element_at(F.array(*map(F.lit, before)), (part + 1).cast("int")) + F.col("_id") - F.shiftleft(part, 33)
+    return rows.select(names.columns[0], number.cast("long").alias("_number")), before[-1]
 
 
 def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Roots of the nodes after the edges (a, b) too; ``parent`` holds the roots before and stays as it is."""
-    parent = parent.copy()
+    """Roots of the nodes after the edges (a, b) too; ``parent`` holds the roots before and is written over."""
     while True:
         a, b = parent[a], parent[b]
         apart = a != b
         if not apart.any():
             return parent
         a, b = a[apart], b[apart]
-        parent[np.maximum(a, b)] = np.minimum(a, b)  # of several edges of a root one counts; the others come again
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))  # of several edges of a root the smallest other end counts; the others come again
         while True:
             up = parent[parent]
             if np.array_equal(up, parent):
@@ -120,50 +139,133 @@ def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def _steps_of_window(first: int, last: int, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, n_nodes: int) -> list[tuple[int, int, int]]:
-    """``step, joins, biggest`` of the steps at which edges join nodes; edges go on below only as far as they still join roots."""
-    found, ranges = [], [(first, last, lo, hi, a, b, np.arange(n_nodes, dtype=np.int32))]
+def _steps_of_window(first: int, last: int, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, joins: int, biggest: int) -> list[tuple[int, int, int]]:
+    """``step, joins, biggest`` of the steps at which edges join nodes.
+
+    ``a`` and ``b`` are roots, ``size`` says how many nodes each stands for, ``joins`` and ``biggest`` what the edges have made that led to them. Edges go on
+    below only as far as they still join roots, and roots only as far as such an edge is at them.
+    """
+    found, ranges = [], [(first, last, lo, hi, a, b, size, joins, biggest)]
     while ranges:
-        first, last, lo, hi, a, b, root = ranges.pop()
+        first, last, lo, hi, a, b, size, joins, biggest = ranges.pop()
+        if not len(a):
+            found += [(step, joins, biggest) for step in range(first, last + 1) if joins]
+            continue
+        touched = np.zeros(len(size), bool)
+        touched[a] = touched[b] = True
+        number = np.cumsum(touched, dtype=np.int32) - 1
+        a, b, size = number[a], number[b], size[touched]
         whole = (lo <= first) & (hi >= last)
         if whole.any():
-            root = _connect(root, a[whole], b[whole])
-        if first == last:
-            sizes = np.bincount(root, minlength=n_nodes)
-            if joins := n_nodes - int((sizes > 0).sum()):
-                found.append((first, joins, int(sizes.max())))
-            continue
-        a, b = root[a], root[b]
+            root = _connect(np.arange(len(size), dtype=np.int32), a[whole], b[whole])
+            joins += int((root != np.arange(len(size))).sum())
+            size = np.bincount(root, weights=size, minlength=len(size)).astype(np.int64)
+            biggest = max(biggest, int(size.max()))
+            a, b = root[a], root[b]
         go_on = ~whole & (a != b)
         lo, hi, a, b = lo[go_on], hi[go_on], a[go_on], b[go_on]
+        if first == last:
+            found += [(first, joins, biggest)] if joins else []
+            continue
         middle = (first + last) // 2
         for low, high in ((first, middle), (middle + 1, last)):
             touch = (lo <= high) & (hi >= low)
-            ranges.append((low, high, lo[touch], hi[touch], a[touch], b[touch], root))
+            ranges.append((low, high, lo[touch], hi[touch], a[touch], b[touch], size, joins, biggest))
     return found
 
 
-def _window_components(edges: pa.Table) -> pa.Table:
-    ends = pa.chunked_array([*edges["src"].chunks, *edges["dst"].chunks]).combine_chunks().dictionary_encode()
-    codes, n = ends.indices.to_numpy(), edges.num_rows
-    lo, hi = (edges[c].to_numpy() for c in ("_lo", "_hi"))
-    found = _steps_of_window(edges["first"][0].as_py(), edges["last"][0].as_py(), lo, hi, codes[:n], codes[n:], len(ends.dictionary))
-    return pa.table({name: pa.array([r[k] for r in found], pa.int64()) for k, name in enumerate(("step", "joins", "biggest"))})
-
-
-def components_in_windows(edges: DataFrame, grid: Grid, most: int | None = None) -> DataFrame:
-    """``step, joins, biggest`` as ``components_over_steps`` gives them, by windows of at most ``most`` edges; the rest of the steps go there."""
-    edges = cut(edges.filter("src <> dst").select("src", "dst", "_lo", "_hi"))
-    steps = _windows(edges, grid, WINDOW_EDGES if most is None else most)
-    at = lambda end: steps.select(F.col("step").alias(f"_{end}"), F.col("w").alias(f"w_{end}"), F.col("opened").alias(f"opened_{end}"), F.col("fits").alias(f"fits_{end}"))
-    placed = edges.join(at("lo"), "_lo").join(at("hi"), "_hi")
-    windows = steps.filter("fits").select("w", "first", "last").distinct()
-    # an edge goes to each window that it touches
-    grouped = placed.select("src", "dst", *(F.col(c).cast("int").alias(c) for c in ("_lo", "_hi")), F.explode(F.sequence("w_lo", "w_hi")).alias("w")).join(
-        windows.select("w", *(F.col(c).cast("int").alias(c) for c in ("first", "last"))), "w")
-    result = grouped.groupBy("w").applyInArrow(_window_components, "step long, joins long, biggest long")
-    rest = steps.filter("NOT fits").select("step")
-    if rest.isEmpty():
-        return result
-    touching = placed.filter(~F.col("fits_lo") | (F.col("opened_hi") > F.col("opened_lo"))).select("src", "dst", "_lo", "_hi")
-    return result.unionByName(components_over_steps(touching, grid).join(rest, "step", "left_semi"))
+def _blocks(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, lasts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``w, inside, ends``: edges that touch window ``w``, as columns of numbers: both ends and, of those that begin or end ``inside`` it, first and last step."""
+
+    def of(block: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = np.concatenate(block, axis=1)
+        opens, closes = (np.searchsorted(firsts, columns[k], "right") - 1 for k in (2, 3))
+        for w in range(opens.min(), closes.max() + 1):
+            here = (opens <= w) & (closes >= w)
+            whole = here & (columns[2] <= firsts[w]) & (columns[3] >= lasts[w])
+            for inside, chosen in ((False, columns[:2, whole]), (True, columns[:, here & ~whole])):
+                if chosen.shape[1]:
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([inside]), pa.array([chosen.tobytes()], pa.binary())], ["w", "inside", "ends"])
+
+    block, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            block.append(np.stack([batch.column(c).to_numpy() for c in ("src", "dst", "_lo", "_hi")]))
+            held += batch.num_rows
+        if held >= _BLOCK:
+            yield from of(block)
+            block, held = [], 0
+    if held:
+        yield from of(block)
+
+
+class _Stream:
+    """What a task keeps of the edges of its window; those that are valid all over it come first."""
+
+    def __init__(self, n_nodes: int):
+        self.root = np.arange(n_nodes, dtype=np.int32)
+        self.waiting, self.n_waiting, self.inside = [], 0, []
+
+    def connect(self) -> None:
+        if self.waiting:
+            a, b = np.concatenate(self.waiting, axis=1)
+            self.root = _connect(self.root, a, b)
+        self.waiting, self.n_waiting = [], 0
+
+    def add(self, inside: bool, ends: np.ndarray) -> None:
+        if inside:
+            self.connect()
+            a, b, lo, hi = ends
+            a, b = self.root[a], self.root[b]
+            apart = a != b
+            self.inside.append(np.stack([a[apart], b[apart], lo[apart], hi[apart]]))
+            return
+        self.waiting.append(ends)
+        self.n_waiting += ends.shape[1]
+        if self.n_waiting >= max(_BLOCK, len(self.root)):  # a round goes over all nodes
+            self.connect()
+
+    def steps(self, first: int, last: int) -> pa.RecordBatch:
+        self.connect()
+        size = np.bincount(self.root, minlength=len(self.root))
+        a, b, lo, hi = np.concatenate(self.inside or [np.empty((4, 0), np.int32)], axis=1)
+        self.inside = []
+        found = _steps_of_window(first, last, lo, hi, a, b, size, int((size == 0).sum()), int(size.max()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["step", "joins", "biggest"])
+
+
+def _window_components(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, lasts: np.ndarray, n_nodes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a window follow each other, those with ``inside`` last."""
+    w, stream = None, None
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch["w"][k].as_py() != w:
+                if stream:
+                    yield stream.steps(int(firsts[w]), int(lasts[w]))
+                w, stream = batch["w"][k].as_py(), _Stream(n_nodes)
+            inside = batch["inside"][k].as_py()
+            stream.add(inside, np.frombuffer(batch["ends"][k].as_buffer(), np.int32).reshape(4 if inside else 2, -1))
+    if stream:
+        yield stream.steps(int(firsts[w]), int(lasts[w]))
+
+
+def components_in_windows(edges: DataFrame, grid: Grid, most: int | None = None, n_nodes: int | None = None) -> DataFrame:
+    """``step, joins, biggest`` as ``components_over_steps`` gives them, by windows in which at most ``most`` edges begin or end, or of one step.
+
+    ``n_nodes`` says that the ends are numbers below it; others are numbered here.
+    """
+    edges = edges.filter("src <> dst").select("src", "dst", "_lo", "_hi")
+    if n_nodes is None:
+        edges = cut(edges)
+        numbers, n_nodes = numbered(edges.select(F.explode(F.array("src", "dst")).alias("uid")))
+        for end in ("src", "dst"):
+            edges = edges.join(numbers.withColumnRenamed("uid", end), end).drop(end).withColumnRenamed("_number", end)
+    if n_nodes > WINDOW_NODES:
+        return components_over_steps(edges, grid)
+    edges = cut(edges.select(*(F.col(c).cast("int").alias(c) for c in ("src", "dst", "_lo", "_hi"))))
+    turns = edges.select(F.explode(F.array("_lo", "_hi")).alias("_lo")).groupBy("_lo").agg(F.count(F.lit(1)).alias("n")).withColumn("_hi", F.col("_lo"))
+    windows = sorted(_windows(turns, grid, WINDOW_EDGES if most is None else most).select("first", "last").distinct().collect())  # one row per window
+    firsts, lasts = (np.array([r[k] for r in windows], np.int64) for k in range(2))
+    blocks = edges.mapInArrow(partial(_blocks, firsts=firsts, lasts=lasts), "w int, inside boolean, ends binary")
+    placed = blocks.repartitionById(max(1, len(windows)), F.col("w")).sortWithinPartitions("w", "inside")
+    return placed.mapInArrow(partial(_window_components, firsts=firsts, lasts=lasts, n_nodes=n_nodes), "step long, joins long, biggest long")

@@ -172,3 +172,54 @@ def test_weak_components_of_a_grid_take_windows(spark, monkeypatch):
     monkeypatch.setattr(connectivity, "weak_components", lambda *a, **k: pytest.fail("a loop of joins"))
     _, series, _, _ = random_graph(spark, 4)
     assert len(series.component_count(directed=False).collect()) == 25
+
+
+@pytest.mark.parametrize("metric", ["largest_component", "component_count"])
+def test_steps_with_many_edges_take_no_loop_of_joins(spark, monkeypatch, metric):
+    """Before, a step with more edges than a window may have took the way by joins, and at 60 times sf0.1 every step has."""
+    from chronoplex.plans import connectivity
+
+    _, series, at, _ = random_graph(spark, 8, m=60)
+    monkeypatch.setattr(connectivity, "weak_components", lambda *a, **k: pytest.fail("a loop of joins"))
+    monkeypatch.setattr(connectivity, "WINDOW_EDGES", 2)
+    got = {r.step: r.value for r in getattr(series, metric)(directed=False).collect()}
+    for k in range(25):
+        nodes, edges = at(day(k))
+        comp = {i: i for i in nodes}
+        for a, b in edges:
+            if a in comp and b in comp:
+                comp = {i: comp[a] if c == comp[b] else c for i, c in comp.items()}
+        sizes = [list(comp.values()).count(c) for c in set(comp.values())]
+        assert got[k] == (max(sizes, default=0) if metric == "largest_component" else len(sizes))
+
+
+def test_a_task_keeps_the_roots_and_not_the_edges_of_its_window():
+    """40 blocks of edges that are valid all over a window, a star whose rounds must not follow its leaves, and edges inside the window that join nothing any more."""
+    import numpy as np
+
+    from chronoplex.plans.connectivity import _Stream, _blocks
+
+    n, rng = 1000, np.random.default_rng(1)
+    stream = _Stream(n)
+    for _ in range(40):
+        stream.add(False, rng.integers(0, n - 2, (2, 50_000), dtype=np.int32))
+        assert sum(x.shape[1] for x in stream.waiting) < 1_000_000
+    inside = np.array([*rng.integers(0, n - 2, (2, 50_000)), *np.sort(rng.integers(0, 8, (2, 50_000)), axis=0)], dtype=np.int32)
+    stream.add(True, inside)
+    stream.add(True, np.array([[0], [n - 2], [2], [3]], dtype=np.int32))
+    assert sum(x.shape[1] for x in stream.inside) == 1
+    found = {r["step"]: r["biggest"] for r in stream.steps(0, 7).to_pylist()}
+    assert found == {k: n - 2 + (k in (2, 3)) for k in range(8)}
+    leaves = np.arange(200_000, dtype=np.int32)
+    star = _Stream(200_001)
+    star.add(False, np.stack([leaves, np.full_like(leaves, 200_000)]))
+    assert star.steps(0, 0).to_pylist() == [{"step": 0, "joins": 200_000, "biggest": 200_001}]
+    assert list(_blocks(iter([]), np.array([0]), np.array([7]))) == []
+
+
+def test_numbers_have_no_gaps(spark):
+    from chronoplex.plans.connectivity import numbered
+
+    found, n = numbered(spark.range(0, 500, 1, 7).selectExpr("concat('n', id % 300) AS uid"))
+    assert n == 300 and sorted(r._number for r in found.collect()) == list(range(300)) and found.select("uid").distinct().count() == 300
+    assert numbered(found.filter("uid IS NULL").select("uid"))[1] == 0
