@@ -32,8 +32,9 @@ WINDOW_EDGES = 24_000_000
 WINDOW_SPLITS = 4
 #: Nodes, with an edge or without, of a graph whose roots a task can hold (4 bytes each, and some copies).
 WINDOW_NODES = 1 << 25
-#: Edges that a task weighs or sends at once.
+#: Edges that a task sends, and connects, at once.
 _BLOCK = 1 << 19
+_ROUND = 1 << 21
 
 
 def _pieces(edges: DataFrame, grid: Grid) -> DataFrame:
@@ -125,29 +126,34 @@ def numbered(names: DataFrame) -> tuple[DataFrame, int]:
 
 def _connect(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Roots of the nodes after the edges (a, b) too; ``parent`` holds the roots before and is written over."""
-    while True:
-        a, b = parent[a], parent[b]
-        apart = a != b
-        if not apart.any():
-            return parent
+    a, b = parent[a], parent[b]
+    while (apart := a != b).any():
         a, b = a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))  # of several edges of a root the smallest other end counts; the others come again
-        while True:
-            up = parent[parent]
-            if np.array_equal(up, parent):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(parent, high, low)  # of several edges of a root the smallest other end counts; the others come again
+        while True:  # roots that have become others' children; what lies below them follows at the end
+            up = parent[parent[high]]
+            if np.array_equal(up, parent[high]):
                 break
-            parent = up
+            parent[high] = up
+        a, b = parent[low], up
+    while not np.array_equal(up := parent[parent], parent):
+        parent = up
+    return parent
 
 
-def _steps_of_window(first: int, last: int, lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, joins: int, biggest: int) -> list[tuple[int, int, int]]:
+def _steps_of_window(first: int, last: int, edges: tuple[np.ndarray, ...], size: np.ndarray, joins: int, biggest: int) -> list[tuple[int, int, int]]:
     """``step, joins, biggest`` of the steps at which edges join nodes.
 
-    ``a`` and ``b`` are roots, ``size`` says how many nodes each stands for, ``joins`` and ``biggest`` what the edges have made that led to them. Edges go on
-    below only as far as they still join roots, and roots only as far as such an edge is at them.
+    ``edges`` are first steps, last steps and both ends, as roots; ``size`` says how many nodes each root stands for, ``joins`` and ``biggest`` what the edges have
+    made that led to them. Edges go on below only as far as they still join roots, and roots only as far as such an edge is at them.
     """
-    found, ranges = [], [(first, last, lo, hi, a, b, size, joins, biggest)]
+    found, ranges = [], [(first, last, edges, size, joins, biggest)]
+    del edges  # a range's edges are held by the ranges below that still wait
     while ranges:
-        first, last, lo, hi, a, b, size, joins, biggest = ranges.pop()
+        first, last, (lo, hi, a, b), size, joins, biggest = ranges.pop()
+        touch = (lo <= last) & (hi >= first) & (a != b)
+        lo, hi, a, b = lo[touch], hi[touch], a[touch], b[touch]
         if not len(a):
             found += [(step, joins, biggest) for step in range(first, last + 1) if joins]
             continue
@@ -162,15 +168,11 @@ def _steps_of_window(first: int, last: int, lo: np.ndarray, hi: np.ndarray, a: n
             size = np.bincount(root, weights=size, minlength=len(size)).astype(np.int64)
             biggest = max(biggest, int(size.max()))
             a, b = root[a], root[b]
-        go_on = ~whole & (a != b)
-        lo, hi, a, b = lo[go_on], hi[go_on], a[go_on], b[go_on]
         if first == last:
-            found += [(first, joins, biggest)] if joins else []
+            found.append((first, joins, biggest))
             continue
         middle = (first + last) // 2
-        for low, high in ((first, middle), (middle + 1, last)):
-            touch = (lo <= high) & (hi >= low)
-            ranges.append((low, high, lo[touch], hi[touch], a[touch], b[touch], size, joins, biggest))
+        ranges += [(low, high, (lo, hi, a, b), size, joins, biggest) for low, high in ((first, middle), (middle + 1, last))]
     return found
 
 
@@ -202,7 +204,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, lasts: np.nda
 class _Stream:
     """What a task keeps of the edges of its window; those that are valid all over it come first."""
 
-    def __init__(self, n_nodes: int):
+    def __init__(self, n_nodes: int, first: int, last: int):
+        self.first, self.last = first, last
         self.root = np.arange(n_nodes, dtype=np.int32)
         self.waiting, self.n_waiting, self.inside = [], 0, []
 
@@ -215,23 +218,26 @@ class _Stream:
     def add(self, inside: bool, ends: np.ndarray) -> None:
         if inside:
             self.connect()
-            a, b, lo, hi = ends
-            a, b = self.root[a], self.root[b]
+            a, b = self.root[ends[0]], self.root[ends[1]]
             apart = a != b
-            self.inside.append(np.stack([a[apart], b[apart], lo[apart], hi[apart]]))
+            short = np.min_scalar_type(self.last - self.first)  # steps count from the window's first
+            lo, hi = (np.clip(c[apart], self.first, self.last) - self.first for c in ends[2:])
+            self.inside.append((lo.astype(short), hi.astype(short), a[apart], b[apart]))
             return
         self.waiting.append(ends)
         self.n_waiting += ends.shape[1]
-        if self.n_waiting >= max(_BLOCK, len(self.root)):  # a round goes over all nodes
+        if self.n_waiting >= min(_ROUND, max(_BLOCK, len(self.root))):  # connecting goes over all nodes
             self.connect()
 
-    def steps(self, first: int, last: int) -> pa.RecordBatch:
+    def _kept(self) -> tuple[np.ndarray, ...]:
+        parts, self.inside = self.inside, []
+        return tuple(np.concatenate([p[k] for p in parts] or [np.empty(0, np.int32)]) for k in range(4))
+
+    def steps(self) -> pa.RecordBatch:
         self.connect()
         size = np.bincount(self.root, minlength=len(self.root))
-        a, b, lo, hi = np.concatenate(self.inside or [np.empty((4, 0), np.int32)], axis=1)
-        self.inside = []
-        found = _steps_of_window(first, last, lo, hi, a, b, size, int((size == 0).sum()), int(size.max()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], ["step", "joins", "biggest"])
+        found = _steps_of_window(0, self.last - self.first, self._kept(), size, int((size == 0).sum()), int(size.max()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] + add for r in found], pa.int64()) for k, add in enumerate((self.first, 0, 0))], ["step", "joins", "biggest"])
 
 
 def _window_components(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, lasts: np.ndarray, n_nodes: int) -> Iterator[pa.RecordBatch]:
@@ -241,12 +247,13 @@ def _window_components(batches: Iterator[pa.RecordBatch], firsts: np.ndarray, la
         for k in range(batch.num_rows):
             if batch["w"][k].as_py() != w:
                 if stream:
-                    yield stream.steps(int(firsts[w]), int(lasts[w]))
-                w, stream = batch["w"][k].as_py(), _Stream(n_nodes)
+                    yield stream.steps()
+                w = batch["w"][k].as_py()
+                stream = _Stream(n_nodes, int(firsts[w]), int(lasts[w]))
             inside = batch["inside"][k].as_py()
             stream.add(inside, np.frombuffer(batch["ends"][k].as_buffer(), np.int32).reshape(4 if inside else 2, -1))
     if stream:
-        yield stream.steps(int(firsts[w]), int(lasts[w]))
+        yield stream.steps()
 
 
 def components_in_windows(edges: DataFrame, grid: Grid, most: int | None = None, n_nodes: int | None = None) -> DataFrame:

@@ -200,20 +200,20 @@ def test_a_task_keeps_the_roots_and_not_the_edges_of_its_window():
     from chronoplex.plans.connectivity import _Stream, _blocks
 
     n, rng = 1000, np.random.default_rng(1)
-    stream = _Stream(n)
+    stream = _Stream(n, 0, 7)
     for _ in range(40):
         stream.add(False, rng.integers(0, n - 2, (2, 50_000), dtype=np.int32))
         assert sum(x.shape[1] for x in stream.waiting) < 1_000_000
     inside = np.array([*rng.integers(0, n - 2, (2, 50_000)), *np.sort(rng.integers(0, 8, (2, 50_000)), axis=0)], dtype=np.int32)
     stream.add(True, inside)
     stream.add(True, np.array([[0], [n - 2], [2], [3]], dtype=np.int32))
-    assert sum(x.shape[1] for x in stream.inside) == 1
-    found = {r["step"]: r["biggest"] for r in stream.steps(0, 7).to_pylist()}
+    assert sum(len(x[0]) for x in stream.inside) == 1 and stream.inside[0][0].itemsize == 1
+    found = {r["step"]: r["biggest"] for r in stream.steps().to_pylist()}
     assert found == {k: n - 2 + (k in (2, 3)) for k in range(8)}
     leaves = np.arange(200_000, dtype=np.int32)
-    star = _Stream(200_001)
+    star = _Stream(200_001, 0, 0)
     star.add(False, np.stack([leaves, np.full_like(leaves, 200_000)]))
-    assert star.steps(0, 0).to_pylist() == [{"step": 0, "joins": 200_000, "biggest": 200_001}]
+    assert star.steps().to_pylist() == [{"step": 0, "joins": 200_000, "biggest": 200_001}]
     assert list(_blocks(iter([]), np.array([0]), np.array([7]))) == []
 
 
